@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("q_markup",)
+NAMES = ("q_markup", "q_mail")
 
 
 def modules() -> list:
