@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("q_markup", "q_mail")
+NAMES = ("q_markup", "q_mail", "q_pii")
 
 
 def modules() -> list:
