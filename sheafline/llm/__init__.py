@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("q_markup", "q_mail", "q_pii")
+NAMES = ("q_markup", "q_mail", "q_pii", "q_leak", "q_mix")
 
 
 def modules() -> list:
