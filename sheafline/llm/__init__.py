@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("q_markup", "q_mail", "q_pii", "q_leak", "q_mix")
+NAMES = ("q_markup", "q_mail", "q_pii", "q_leak", "q_mix", "q_scan")
 
 
 def modules() -> list:
