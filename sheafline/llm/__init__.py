@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("q_markup", "q_mail", "q_pii", "q_leak", "q_mix", "q_scan")
+NAMES = ("q_markup", "q_near", "q_scan", "q_mail", "q_leak", "q_mix", "q_pii")
 
 
 def modules() -> list:
