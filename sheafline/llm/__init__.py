@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("q_markup", "q_near", "q_scan", "q_mail", "q_leak", "q_mix", "q_pii")
+NAMES = ("q_knn", "q_markup", "q_near", "q_scan", "q_mail", "q_leak", "q_mix", "q_pii")
 
 
 def modules() -> list:
