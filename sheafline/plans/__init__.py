@@ -3,7 +3,7 @@
 import importlib
 
 #: In the order they are listed.
-NAMES = ("pipeline",)
+NAMES = ("pipeline", "analytics", "search")
 
 
 def core_modules() -> list:
