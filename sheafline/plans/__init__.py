@@ -3,7 +3,7 @@
 import importlib
 
 #: In the order they are listed.
-NAMES = ("pipeline", "analytics", "search")
+NAMES = ("pipeline", "analytics", "search", "relational")
 
 
 def core_modules() -> list:
