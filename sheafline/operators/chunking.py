@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SIZE, OVERLAP, LEAST = 1400, 200, 60
 _PARAGRAPH = re.compile(r"\n\s*\n")
@@ -90,9 +91,14 @@ def chunk_documents(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
     bounded by the size of a file, never by the corpus.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        got = chunk_blocks([(t, loc, h) for t, loc, h in zip(pdf["text"], pdf["loc"], pdf["heading"]) if isinstance(t, str)], size, overlap, least)
-        return pd.DataFrame([(pdf["path"].iloc[0], i, t, loc, h) for i, (t, loc, h) in enumerate(got)], columns=["path", "ord", "text", "loc", "heading"])
+    doc = blocks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "text", "loc", "heading"))).alias("x"))
 
-    return blocks.select("path", "block", "text", "loc", "heading").groupBy("path").applyInPandas(one, "path string, ord long, text string, loc string, heading string")
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for path, x in zip(pdf["path"], pdf["x"]):
+                got = chunk_blocks([(b["text"], b["loc"], b["heading"]) for b in x], size, overlap, least)
+                out += [(path, i, t, loc, h) for i, (t, loc, h) in enumerate(got)]
+            yield pd.DataFrame(out, columns=["path", "ord", "text", "loc", "heading"])
+
+    return doc.mapInPandas(run, "path string, ord long, text string, loc string, heading string")
