@@ -34,4 +34,13 @@ def p1_search(spark, sf_dir):
 
 
 QUERIES = {"p1_found": p1_found, "p1_search": p1_search}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    # Every pair; the index may miss one in thousands, so the SQL is also a measure of its recall.
+    "p1_found": """
+with l as (select distinct v.vec_row as r, v.vec::double[64] as v from vectors v join chunks c on c.vec_row = v.vec_row where v.vec is not null),
+u as (select r, v, sqrt(array_inner_product(v, v)) as n from l),
+p as (select a.r as a, b.r as b, array_inner_product(a.v, b.v) / a.n / b.n as c from u a, u b where a.r <> b.r and a.n > 0 and b.n > 0),
+t as (select a, b, c, row_number() over (partition by a order by c desc, b) as k from p)
+select distinct least(a, b) as row_a, greatest(a, b) as row_b from t where k <= 10 and c >= 0.92
+"""
+}

@@ -28,4 +28,14 @@ def p3_links(spark, sf_dir):
 
 
 QUERIES = {"p3_found": p3_found, "p3_links": p3_links}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p3_found": """
+with w as (select id, file_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from chunks where text is not null),
+s as (select distinct id, file_id, array_to_string(w[k : k + 2], ' ') as s from (select id, file_id, w, unnest(range(1, len(w) - 1)) as k from w where len(w) >= 3)),
+n as (select id, count(*) as n from s group by 1),
+j as (select a.id as a, b.id as b, count(*) as c from s a join s b on a.s = b.s and a.id < b.id and a.file_id is distinct from b.file_id group by 1, 2),
+f as (select id, regexp_replace(lower(trim(hash)), '^(sha-?256|sha-?1|md5)\\s*[:=]\\s*', '') as h from files where hash is not null)
+select 'chunk' as kind, a as id_a, b as id_b from j join n x on x.id = a join n y on y.id = b where c >= 0.7 * (x.n + y.n - c) - 1e-9
+union all select 'file', x.id, y.id from f x join f y on x.h = y.h and x.id < y.id where x.h <> ''
+"""
+}
