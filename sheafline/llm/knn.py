@@ -23,6 +23,8 @@ PART, PER_PART, MAX_SAMPLE = 1024, 64, 32_768
 #: Members and queries of one group of the ranking; larger parts are split into blocks of these.
 BLOCK = 4096
 NEIGHBOURS = 10
+#: Shuffled bytes of vectors for one task of the ranking.
+PARTITION_BYTES = 16 << 20
 
 
 @dataclass
@@ -355,6 +357,11 @@ def search(base: DataFrame, model: Model | None, k: int, queries: DataFrame | No
         cat = lambda p, d: np.concatenate(p).astype(d) if p else np.empty(0, d)
         return pa.table({"id": cat(out_a, np.int64), "other": cat(out_b, np.int64), "cosine": cat(out_c, np.float64)})
 
+    # As many partitions as the shuffled vectors need at a few MB each, so a task's share does not grow with the data.
+    width = 4 * model.weights.shape[0] + 24
+    need = int((sum(members.values()) + sum(asked.values())) * width / PARTITION_BYTES) + 1
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(need, min(shuffle, int(start[-1]))), "grp")
     found = rows.groupBy("grp").applyInArrow(rank, _FOUND)
     # A few lists of k per query are merged; a query's rows are bounded by parts x blocks x k.
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
