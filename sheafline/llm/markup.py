@@ -300,6 +300,7 @@ def clean_markup(docs: DataFrame, hosts: DataFrame | None = None, on: str = "fil
     are independent but for the vote, so repeated ids give repeated rows.  Texts without any
     sign of markup never leave the JVM; only texts with HTML containers take part in the vote.
     """
+    docs = docs.select("id", "text", *([on] if hosts is not None else []))
     sign = F.coalesce(F.col("text").rlike(ANY_SIGN), F.lit(False))
     plain = docs.where(~sign).select("id", F.col("text").alias("clean"), *[F.lit(0).alias(f"n_{k}") for k in KINDS])
     some = docs.where(sign)

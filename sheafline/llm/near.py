@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, groups:
     is on the signatures' radius; a pair just at a threshold of 0.7 misses all tables with a
     probability of 0.003, at 0.75 of 0.0003 with the default of 4 groups.
     """
+    docs = docs.select("id", "grp", "text")
     m = cut(members(docs, k))
     return similar_classes(docs, m, threshold, k, groups), m
 
