@@ -51,7 +51,7 @@ def stage_summary(scan: DataFrame) -> DataFrame:
 def decode(b: bytes) -> str:
     """The text of bytes in the first encoding that fits."""
     if b[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return b.decode("utf-16", "replace")
+        return b.decode("utf-16", "replace").removeprefix("\ufeff")
     for e in ENCODINGS:
         if e == "utf-16":
             continue
