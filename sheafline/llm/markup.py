@@ -56,7 +56,7 @@ EXT_LINK = re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:[ \t]+([^\[\]\n]+))?\]")
 TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
 WIKI_HEAD = re.compile(r"^[ \t]*(={1,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", re.M)
 WIKI_QUOTES = re.compile(r"'{2,5}(?=[^'\s])([^'\n]*(?:'[^'\n]+)*[^'\s])'{2,5}")
-WIKI_TABLE = re.compile(r"^[ \t]*(?:\{\|.*|\|\}.*|\|-+.*)$", re.M)
+WIKI_TABLE = re.compile(r"^[ \t]*(?:\{\|.*|\|\}.*|\|-+[ \t]*(?:\w+[ \t]*=.*)?)$", re.M)
 WIKI_CELL = re.compile(r"^[ \t]*[!|](?![|}-])[ \t]*(.*)$", re.M)
 DOUBLE_BAR = re.compile(r"^[ \t]*\|\|(.+?)\|\|[ \t]*$", re.M)
 BRACE_MACRO = re.compile(r"\{(code|noformat|quote|panel|info|note|warning|tip|color|toc)(?::[^{}\n]*)?\}")

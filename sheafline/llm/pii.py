@@ -215,7 +215,7 @@ class Finder:
         def put(a: int, b: int) -> None:
             while b > a and t[b - 1] in ", ":
                 b -= 1
-            if free(a, b) and not COMPANY.match(t[b:]):
+            if b > a and free(a, b) and not COMPANY.match(t[b:]):
                 add(a, b, "name", t[a:b])
 
         for m in BEFORE.finditer(t):
@@ -344,7 +344,15 @@ def permute_date(day: datetime.date, key: bytes, first: datetime.date = datetime
 def placeholder(kind: str, value: str, shown: str, key: bytes) -> str:
     """[KIND pseudonym]: numbers keep their form, other kinds get a keyed tag of six signs."""
     if kind in ("phone", "idno"):
-        return f"[{kind.upper()} {feistel(value, key, kind)}]"
+        # The pseudonym is that of the plain value, so other spellings get the same; it is laid out as shown.
+        signs = iter(feistel(value, key, kind))
+        at = [i for i, c in enumerate(shown) if c.isascii() and (c.isdigit() or kind == "idno" and c.isalpha())]
+        if len(at) != len(value):
+            return f"[{kind.upper()} {''.join(signs)}]"
+        out = list(shown)
+        for i in at:
+            out[i] = next(signs)
+        return f"[{kind.upper()} {''.join(out)}]"
     tag = hashlib.blake2b(value.lower().encode(), key=key[:64], digest_size=3).hexdigest()
     return f"[{kind.upper()} {tag}]"
 
