@@ -56,3 +56,20 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per context, where it is not installed for them."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_sheafline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="sheafline-")) / "sheafline.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(at))
+    sc._sheafline_shipped = True
