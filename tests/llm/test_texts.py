@@ -110,9 +110,9 @@ def test_defects_of_pages(spark):
         (3, 2, "A title of its own\n\nThe intake va1ve recorded the agreed tolerance."),
         (4, 2, "The inlet- and outlet-\nside checks were done in- and out of the sum mer break."),
         (5, 2, "The intake valve recorded the agreed\n[13]\ntolerance, teh valve of code B10-O2."),
-        (6, 3, None), (7, 3, ""), (8, None, "The valve."),
+        (6, 3, None), (7, 3, ""), (10, 4, "The agreed tol\nerance and the valve.\n\n2l"), (8, None, "The valve."),
     ]
-    want = {(1, "header"), (1, "hyphen"), (1, "page"), (2, "header"), (3, "chars"), (4, "chars"), (5, "page")}
+    want = {(1, "header"), (1, "hyphen"), (1, "page"), (2, "header"), (3, "chars"), (4, "chars"), (5, "page"), (10, "chars"), (10, "page")}
     assert set(found(spark, rows)) == want
 
 
