@@ -78,9 +78,12 @@ def _blocks(lines: list[str]) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(lines)]))
 
 
-def _near(name: list[str], s: str) -> bool:
+def _near(name: list[str], local: str, s: str) -> bool:
+    """Whether a line calls the sender: by the names, or by a word of the local part (jstone, stone_j)."""
     low = s.lower()
-    return bool(name) and sum(p in low for p in name) >= min(2, len(name))
+    if name and sum(p in low for p in name) >= min(2, len(name)):
+        return True
+    return len(low) <= 60 and any(w in local for w in re.findall(r"[^\W\d_]{4,}", low))
 
 
 def decode(text: str | None) -> list[tuple[int, str]]:
@@ -91,15 +94,19 @@ def decode(text: str | None) -> list[tuple[int, str]]:
     head, body = (text[: m.end()], text[m.end() :]) if m else ("", text)
     lines = body.split("\n")
     # The sender's names: from the name in the head, else from the local part of the address.
-    who = re.search(r"(?:From|Von|De)\s?:\s*([^<\n]*)(?:<?([\w.+-]+)@)?", head)
-    name = [w.lower() for w in re.findall(r"[^\W\d_]{2,}", (who.group(1) if who and "@" not in who.group(1) and who.group(1).strip() else (who.group(2) or who.group(1)) if who else "") or "")]
-    name = [w for w in name if len(w) > 2]
+    who = re.search(r"(?:From|Von|De)\s?:\s*([^\n]*)", head)
+    line = who.group(1) if who else ""
+    at = re.search(r"([\w.+-]+)@[\w.-]+", line)
+    local = at.group(1).lower() if at else ""
+    address = at.group(0).lower() if at else "\0"
+    shown = re.split(r"[<(]|[\w.+-]+@", line)[0]
+    name = [w for w in re.findall(r"[^\W\d_]{3,}", (shown if shown.strip() else local).lower())]
     blocks = _blocks(lines)
     n = len(blocks)
     if not n:
         return []
     long_lines = any(len(x) > 90 for x in lines)
-    emit, start, phone, called, legal, short = [], [], [], [], [], []
+    emit, start, phone, called, legal, marked = [], [], [], [], [], []
     for b, (i, j) in enumerate(blocks):
         ls = [x for x in lines[i:j] if x.strip()]
         joined = " ".join(x.strip() for x in ls)
@@ -136,14 +143,16 @@ def decode(text: str | None) -> list[tuple[int, str]]:
         is_short = bool(tail) and len(tail) <= 6 and all(len(x) <= 70 and not SENTENCE.search(x) for x in tail)
         ph = any(CONTACT.match(x) for x in tail) or any(PIPES.match(x.strip()) and PHONE.search(x) for x in tail)
         ml = any(MAIL_ONLY.match(x) for x in tail)
-        nm = any(_near(name, x) for x in tail[:2])
+        nm = any(_near(name, local, x) for x in tail[:2])
         if DEVICE.match(first) and len(ls) <= 2 and len(joined) <= 90:
             e[SIGNATURE] += 7
         elif is_short and marks == 0 and heads < 2:
             if ph:
                 e[SIGNATURE] += 4.5
             if ml and len(tail) >= 2:
-                e[SIGNATURE] += 3.5
+                e[SIGNATURE] += 4
+                if any(address in x.lower() for x in tail):
+                    e[SIGNATURE] += 2
             if nm and len(tail) >= 2:
                 e[SIGNATURE] += 1.5
             if tail is not ls and (nm or ph or ml):
@@ -170,7 +179,7 @@ def decode(text: str | None) -> list[tuple[int, str]]:
             e[AUTHORED] += 1
         for k in range(4):
             e[k] += PRIOR[k]
-        emit.append(e), start.append(st), phone.append(ph or ml), called.append(nm), legal.append(hits), short.append(is_short)
+        emit.append(e), start.append(st), phone.append(ph or ml), called.append(nm), legal.append(hits), marked.append(marks > 0)
     # Semi-Markov Viterbi: best[b][k] = best score of the blocks before b when a span of label k ends there.
     cum = [[0.0] * 4]
     for e in emit:
@@ -192,6 +201,9 @@ def decode(text: str | None) -> list[tuple[int, str]]:
                     # A quote that opens with a cue runs on over plain text.
                     if start[i][k] > 0 or emit[i][k] > 3:
                         s += 1.6 * (length - 1)
+                        # What follows an attribution without marks is the text it announces.
+                        if length > 1 and start[i][k] > 0 and not marked[i + 1]:
+                            s += 2.5
                 elif k == DISCLAIMER:
                     s += 1.0 if sum(legal[i:j]) >= 2 else 0.0
                 for p in range(4):
