@@ -46,7 +46,7 @@ ID_FORMS = (
     re.compile(r"(?<![\w.-])\d{8}-?[A-HJ-NP-TV-Za-hj-np-tv-z](?![\w])"),
     re.compile(r"(?<![\w-])\d{2}[A-Z]{2}\d{5}(?![\w])"),
     re.compile(r"(?<![\w-])[A-Z]{1,2}\d{7,8}(?![\w])"),
-    re.compile(r"(?<![\w-])[CFGHJKLMNPRTVWXYZ](?=[A-Z0-9]*\d)[0-9CFGHJKLMNPRTVWXYZ]{8}\d?(?![\w])"),
+    re.compile(r"(?<![\w-])(?=[A-Z]+\d[A-Z0-9]*\d)[A-Z][A-Z0-9]{8}\d?(?![\w])"),
     re.compile(r"(?<![\w.-])[1-478]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}\s?\d{2}(?![\w-]|\s?\d)"),
     re.compile(r"(?<![\w.-])\d{2}\s\d{3}\s\d{3}\s\d{3}(?![\w-]|\s\d)"),
     re.compile(r"(?<![\w.+/-])\d{11}(?![\w-])"),

@@ -186,7 +186,7 @@ FINDER = pii.Finder(["Hugo", "Carmen", "May", "Rose", "Will", "Petra"], ["Stone"
 FOUND = [
     ("Write to Carmen21 [at] post.tallow.example for it.", {("email", "carmen21@post.tallow.example")}), ("mail=<a.b@c.test>;", {("email", "a.b@c.test")}), ("Contact: ilse dot x at nordpump dot invalid", {("email", "ilse.x@nordpump.invalid")}),
     ("Call +44 20 7946 0963 before noon", {("phone", "442079460963")}), ("The night line is +1-555-555-0151 (ext. 14).", {("phone", "15555550151")}), ("Tel.: 555-229-315", {("phone", "555229315")}), ("Mobil: 0049 (0)30 23125710 Das", {("phone", "004903023125710")}),
-    ("National ID: QQ 05 79 29 C", {("idno", "QQ057929C")}), ("NIE Y-0026166-D El", {("idno", "Y0026166D")}), ("Die Steuer-ID lautet 07588367287", {("idno", "07588367287")}), ("Passport 971-20-4810 was shown", {("idno", "971204810")}),
+    ("National ID: QQ 05 79 29 C", {("idno", "QQ057929C")}), ("NIE Y-0026166-D El", {("idno", "Y0026166D")}), ("Die Steuer-ID lautet 07588367287", {("idno", "07588367287")}), ("Personalausweis L0A41PW48 lag vor", {("idno", "L0A41PW48")}), ("Passport 971-20-4810 was shown", {("idno", "971204810")}),
     ("lives at 99A Mill Road.", {("address", "99A Mill Road")}), ("Send to Flat 3, 131 Oak Street.", {("address", "131 Oak Street")}), ("Anschrift: Dosemstraße 99b, Ulm", {("address", "Dosemstraße 99b")}), ("Livrer au 133 bis, avenue Sulehe, 08960 X", {("address", "133 bis, avenue Sulehe")}), ("Entregar en Paseo del Velisste, n.º 33, 06874 C", {("address", "Paseo del Velisste, n.º 33")}),
     ("We spoke with Hugo Stone about it.", {("name", "Hugo Stone")}), ("cc STONE, Carmen The order", {("name", "STONE, Carmen")}), ("raised by Mr Winter last week", {("name", "Winter")}), ("Approved by: Ilse Sulor-Baker The pump", {("name", "Ilse Sulor-Baker")}), ("Thanks to Petra L. for it", {("name", "Petra L.")}), ("B. Wixa signed the protocol.", {("name", "B. Wixa")}),
 ]
