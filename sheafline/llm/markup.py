@@ -80,6 +80,7 @@ TEX_COMMENT = re.compile(r"(?<![\\\w%])%%+[^\n]*$", re.M)
 MAIL_START = re.compile(r"\A\s*(?:From|Von|De|Para|To|An|Subject|Betreff|Asunto|Objet|Date|Datum|Fecha)\s*:", re.I)
 #: A text without any of these characters holds no markup at all.
 ANY_SIGN = r"[`{]|<[A-Za-z/!?]|&[A-Za-z#][A-Za-z0-9]*;|\*[^\s*]|\][\[(:]|\[\[|\[\^|\[[ xX]\]|\[(?:https?|ftp):|\\[A-Za-z(\[\\%&#_{}$]|\$[^\s\d]|\$\d[^$\n]*[\\^_={}]|~~|''|(?:^|[^\w_])_[^\s]|(?:^|\n)[ \t]*(?:[|!=>]|#{1,6}[ \t]|h[1-6]\.[ \t]|[-=]{3,}[ \t]*(?:\n|$))"
+_ANY = re.compile(ANY_SIGN)
 
 KINDS = ("html", "markdown", "wiki", "latex")
 
@@ -121,7 +122,7 @@ def convert(text: str | None, frames: frozenset[str] | set[str] = frozenset()) -
     `frames` are container paths to leave out.  Null gives null, an empty text stays empty, and
     a text without markup is returned as it is.
     """
-    if not text:
+    if not text or not _ANY.search(text):
         return text, (0, 0, 0, 0)
     n = [0, 0, 0, 0]
     mail = MAIL_START.match(text) is not None
@@ -297,14 +298,11 @@ def clean_markup(docs: DataFrame, hosts: DataFrame | None = None, on: str = "fil
 
     hosts: (on, host), each `on` once; without it, or for rows it lacks, all pages are of one
     host.  Null texts stay null, texts without markup stay as they are with counts of 0.  Rows
-    are independent but for the vote, so repeated ids give repeated rows.  Texts without any
-    sign of markup never leave the JVM; only texts with HTML containers take part in the vote.
+    are independent but for the vote, so repeated ids give repeated rows.  A text is looked at
+    once; only texts with HTML containers take part in the vote.
     """
     docs = docs.select("id", "text", *([on] if hosts is not None else []))
-    sign = F.coalesce(F.col("text").rlike(ANY_SIGN), F.lit(False))
-    plain = docs.where(~sign).select("id", F.col("text").alias("clean"), *[F.lit(0).alias(f"n_{k}") for k in KINDS])
-    some = docs.where(sign)
-    boxed = F.col("text").rlike("(?i)<(" + "|".join(CONTAINERS.split()) + r")[\s>]")
+    boxed = F.coalesce(F.col("text").rlike("(?i)<(" + "|".join(CONTAINERS.split()) + r")[\s>]"), F.lit(False))
 
     def make():
         def f(ids, texts, frames=None):
@@ -313,11 +311,11 @@ def clean_markup(docs: DataFrame, hosts: DataFrame | None = None, on: str = "fil
 
         return f
 
-    pages = some.where(boxed)
+    pages = docs.where(boxed)
     if hosts is not None:
         pages = pages.join(hosts.select(on, "host"), on, "left")
     else:
         pages = pages.withColumn("host", F.lit(""))
     pages = pages.select("id", "text", F.coalesce("host", F.lit("")).alias("host"))
     paged = pages.join(frame_paths(pages), "host", "left")
-    return plain.unionByName(map_rows(some.where(~boxed), ["id", "text"], make, SCHEMA)).unionByName(map_rows(paged, ["id", "text", "paths"], make, SCHEMA))
+    return map_rows(docs.where(~boxed), ["id", "text"], make, SCHEMA).unionByName(map_rows(paged, ["id", "text", "paths"], make, SCHEMA))
