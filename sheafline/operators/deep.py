@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions.text import query_terms
 from sheafline.operators import retrieval
+from sheafline.operators.bounds import stated
 
 MOST_PARTS, REWRITES = 4, 3
 
@@ -82,7 +83,7 @@ def embed(df: DataFrame, text: str, embedder: Callable[[Sequence[str]], np.ndarr
 
 def rerank(hits: DataFrame, texts: DataFrame, questions: DataFrame, scorer: Callable[[str, str], float], most_signs: int = 2000) -> DataFrame:
     """Hits (qid, doc) with the score of an injected scorer on the question and the text's start."""
-    j = hits.select("qid", "doc").join(texts, "doc").join(F.broadcast(questions), "qid")  # questions are a stated small set
+    j = hits.select("qid", "doc").join(texts, "doc").join(stated(questions, retrieval.MOST_QUERIES, "questions"), "qid")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:

@@ -109,27 +109,28 @@ def value_counts(foot: DataFrame, load_col: str, parts: int | None = None) -> Da
     return counts.groupBy("load", "column", "value", "num").agg(F.sum("n").alias("n"))
 
 
-def exact_median(counts: DataFrame, keys: Sequence[str], value: str = "num", n: str = "n") -> DataFrame:
+def exact_median(counts: DataFrame, keys: Sequence[str], value: str = "num", n: str = "n", buckets: int = 256) -> DataFrame:
     """keys + (median): exact, also for a group that holds most of the rows.
 
-    `counts` has one row per group and distinct value.  A mergeable sketch brackets the middle
-    of each group; only the counts inside the bracket are sorted, the rest is only summed.
-    Groups without values are left out.
+    `counts` has one row per group and distinct value.  Approximate quantiles of a group's
+    distinct values cut it into buckets, the counts per bucket tell in which one the middle lies,
+    and only that bucket (two at a boundary) is sorted.  Groups without values are left out.
     """
-    keys = list(keys)
-    c = counts.where(F.col(value).isNotNull() & ~F.isnan(value))
-    b = c.groupBy(*keys).agg(F.sum(n).alias("_tot"), F.expr(f"percentile_approx({value}, array(0.49, 0.51), 2000)").alias("_b_plain"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.max(n).alias("_top"))
-    # The sketch sees distinct values, not their counts: where values repeat, the bracket is the whole range.
-    b = b.select(*keys, "_tot", F.when(F.col("_top") == 1, F.col("_b_plain")[0]).otherwise(F.col("_min")).alias("_lo"), F.when(F.col("_top") == 1, F.col("_b_plain")[1]).otherwise(F.col("_max")).alias("_hi"))
-    j = c.join(b, keys)
-    below = j.groupBy(*keys).agg(F.sum(F.when(F.col(value) < F.col("_lo"), F.col(n)).otherwise(0)).alias("_below"))
-    mid = j.where((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi"))).groupBy(*keys, value, "_tot").agg(F.sum(n).alias("_c")).join(below, keys)
     from pyspark.sql import Window
 
-    run = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy(value))
-    at = mid.select(*keys, F.col(value).alias("_v"), "_tot", run.alias("_to"), (run - F.col("_c")).alias("_from"))
+    keys = list(keys)
+    c = counts.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"), F.col(n).alias("_n"))
+    cuts = c.groupBy(*keys).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"), F.sum("_n").alias("_tot"))
+    placed = c.join(cuts, keys).select(*keys, "_v", "_n", "_tot", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_b"))
     low, high = F.floor((F.col("_tot") - 1) / 2), F.floor(F.col("_tot") / 2)
-    return at.groupBy(*keys).agg(((F.max(F.when((F.col("_from") <= low) & (low < F.col("_to")), F.col("_v"))) + F.max(F.when((F.col("_from") <= high) & (high < F.col("_to")), F.col("_v")))) / 2).alias("median"))
+    per = placed.groupBy(*keys, "_b", "_tot").agg(F.sum("_n").alias("_m"))
+    to = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b"))  # at most `buckets` rows a group
+    per = per.select(*keys, "_b", to.alias("_to"), (to - F.col("_m")).alias("_from"), low.alias("_low"), high.alias("_high"))
+    hit = per.where(((F.col("_from") <= F.col("_low")) & (F.col("_low") < F.col("_to"))) | ((F.col("_from") <= F.col("_high")) & (F.col("_high") < F.col("_to")))).select(*keys, "_b", "_from", "_low", "_high")
+    run = F.col("_from") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    at = placed.drop("_tot").join(hit, [*keys, "_b"]).select(*keys, "_v", "_low", "_high", run.alias("_end"), (run - F.col("_n")).alias("_begin"))
+    pick = lambda r: F.max(F.when((F.col("_begin") <= F.col(r)) & (F.col(r) < F.col("_end")), F.col("_v")))
+    return at.groupBy(*keys).agg(((pick("_low") + pick("_high")) / 2).alias("median"))
 
 
 def filled(c: Column) -> Column:

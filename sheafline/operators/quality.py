@@ -37,10 +37,12 @@ def nulls(df: DataFrame, columns: list[str]) -> DataFrame:
     return s.select(F.lit("null").alias("check"), "column", sev.alias("severity"), F.col("miss").cast("long").alias("n"), F.round("p", 4).alias("share"), F.lit(None).cast("string").alias("detail"))
 
 
-def constant(df: DataFrame, column: str) -> DataFrame:
-    """One value only, over ten rows and more."""
-    a = df.agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("filled"))
-    return _finding(a.where("n >= 10 and filled > 0 and lo = hi"), "constant", column, F.lit("low"), F.col("filled"), F.lit(100.0), F.col("lo"))
+def constant(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of one value only, over ten rows and more; one pass for all columns."""
+    per = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("filled"), F.min(c).cast("string").alias("lo"), (F.min(c) == F.max(c)).alias("one"))
+    a = df.agg(F.count(F.lit(1)).alias("_n"), F.array(*[per(c) for c in columns]).alias("x")).select("_n", F.explode("x").alias("x")).select("_n", "x.*")
+    a = a.where("_n >= 10 and filled > 0 and one")
+    return a.select(F.lit("constant").alias("check"), "column", F.lit("low").alias("severity"), F.col("filled").cast("long").alias("n"), F.lit(100.0).alias("share"), F.col("lo").alias("detail"))
 
 
 def p99(df: DataFrame, column: str) -> DataFrame:
@@ -107,9 +109,7 @@ def duplicate_values(df: DataFrame, column: str, ratio: float = 0.9) -> DataFram
 
 def scan(df: DataFrame, numbers: list[str] = (), dates: list[str] = (), columns: list[str] | None = None, as_of: str | None = None, most: int = 60) -> DataFrame:
     """All checks of a table, by severity and column, the first `most` (a report)."""
-    out = nulls(df, columns or df.columns)
-    for c in columns or df.columns:
-        out = out.unionByName(constant(df, c))
+    out = nulls(df, columns or df.columns).unionByName(constant(df, *(columns or df.columns)))
     for c in numbers:
         for f in (outlier, negative, sentinel):
             out = out.unionByName(f(df, c))

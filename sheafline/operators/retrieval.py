@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import dot, unit_vector, words
+from sheafline.operators.bounds import stated
 
 K1, B, RRF_K = 1.2, 0.75, 60
+MOST_QUERIES = 10_000
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,14 +52,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 40, doc: str = "doc_id",
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 40, scope: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score, rank): exact cosine of every query (qid, vec) with vectors (doc, vec).
 
-    The queries are a stated small set and are broadcast.  A vector without direction has no
+    The queries are a stated set of at most MOST_QUERIES and are broadcast; more are refused.  A vector without direction has no
     score.  The scope is applied before ranks are given.
     """
     if scope is not None:
         vectors = vectors.join(scope.select(F.col(scope.columns[0]).alias("doc")).distinct(), "doc", "left_semi")
     v = vectors.select("doc", unit_vector(F.col("vec")).alias("v")).where(F.col("v").isNotNull())
     q = queries.select("qid", unit_vector(F.col("vec")).alias("q")).where(F.col("q").isNotNull())
-    s = v.crossJoin(F.broadcast(q)).select("qid", "doc", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
+    s = v.crossJoin(stated(q, MOST_QUERIES, "queries")).select("qid", "doc", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
     win = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
     return s.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
 
@@ -127,7 +129,7 @@ def synonyms(questions: DataFrame, glossary: DataFrame, most: int = 3) -> DataFr
 
     glossary: (term, alternative), a small declared list; whole words, also in the plural.
     """
-    g = F.broadcast(glossary)
+    g = stated(glossary, MOST_QUERIES, "glossary entries")
     rx = F.concat(F.lit("(?i)\\b"), F.col("term"), F.lit("s?\\b"))
     hit = questions.crossJoin(g).where(F.expr("regexp_like(question, concat('(?i)\\\\b', term, 's?\\\\b'))"))
     v = hit.select("qid", F.lower(F.regexp_replace("question", rx, F.col("alternative"))).alias("variant"), "question").where(F.col("variant") != F.lower("question")).select("qid", "variant").distinct()
