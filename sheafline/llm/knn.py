@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Vectors of a part, sample vectors of a part, and the most vectors the index is fitted on.
 PART, PER_PART, MAX_SAMPLE = 1024, 64, 32_768
 #: Members and queries of one group of the ranking; larger parts are split into blocks of these.
-BLOCK = 4096
+BLOCK = 16_384
 NEIGHBOURS = 10
 #: Shuffled bytes of vectors for one task of the ranking.
 PARTITION_BYTES = 16 << 20

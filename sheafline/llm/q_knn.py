@@ -21,7 +21,7 @@ def live_vectors(spark, sf_dir):
 def p1_found(spark, sf_dir):
     """Pairs of cosine 0.92 and more where one is among the ten most similar of the other."""
     v = live_vectors(spark, sf_dir)
-    model = knn.fit(v, v.count(), COSINE)
+    model = knn.fit(v, v.count(), COSINE, 0.9999)
     s = knn.search(v, model, K, min_cosine=COSINE)
     return s.select(F.least("id", "other").alias("row_a"), F.greatest("id", "other").alias("row_b")).distinct()
 
