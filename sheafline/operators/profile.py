@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafline.operators.ranks import value_at_rank
 from sheafline.session import load
 
 COUNTS = "load string, column string, value string, num double, n long"
@@ -109,28 +110,13 @@ def value_counts(foot: DataFrame, load_col: str, parts: int | None = None) -> Da
     return counts.groupBy("load", "column", "value", "num").agg(F.sum("n").alias("n"))
 
 
-def exact_median(counts: DataFrame, keys: Sequence[str], value: str = "num", n: str = "n", buckets: int = 256) -> DataFrame:
-    """keys + (median): exact, also for a group that holds most of the rows.
-
-    `counts` has one row per group and distinct value.  Approximate quantiles of a group's
-    distinct values cut it into buckets, the counts per bucket tell in which one the middle lies,
-    and only that bucket (two at a boundary) is sorted.  Groups without values are left out.
-    """
-    from pyspark.sql import Window
-
+def exact_median(counts: DataFrame, keys: Sequence[str], value: str = "num", n: str = "n") -> DataFrame:
+    """keys + (median) of counted values: exact, also for a group that holds most of the rows
+    (`ranks.value_at_rank`).  Groups without values are left out."""
     keys = list(keys)
-    c = counts.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"), F.col(n).alias("_n"))
-    cuts = c.groupBy(*keys).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"), F.sum("_n").alias("_tot"))
-    placed = c.join(cuts, keys).select(*keys, "_v", "_n", "_tot", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_b"))
-    low, high = F.floor((F.col("_tot") - 1) / 2), F.floor(F.col("_tot") / 2)
-    per = placed.groupBy(*keys, "_b", "_tot").agg(F.sum("_n").alias("_m"))
-    to = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b"))  # at most `buckets` rows a group
-    per = per.select(*keys, "_b", to.alias("_to"), (to - F.col("_m")).alias("_from"), low.alias("_low"), high.alias("_high"))
-    hit = per.where(((F.col("_from") <= F.col("_low")) & (F.col("_low") < F.col("_to"))) | ((F.col("_from") <= F.col("_high")) & (F.col("_high") < F.col("_to")))).select(*keys, "_b", "_from", "_low", "_high")
-    run = F.col("_from") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
-    at = placed.drop("_tot").join(hit, [*keys, "_b"]).select(*keys, "_v", "_low", "_high", run.alias("_end"), (run - F.col("_n")).alias("_begin"))
-    pick = lambda r: F.max(F.when((F.col("_begin") <= F.col(r)) & (F.col(r) < F.col("_end")), F.col("_v")))
-    return at.groupBy(*keys).agg(((pick("_low") + pick("_high")) / 2).alias("median"))
+    c = counts.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("v"), F.col(n).alias("c"))
+    mid = value_at_rank(c, {"low": F.floor((F.col("n") + 1) / 2), "high": F.floor(F.col("n") / 2) + 1}, keys)
+    return mid.groupBy(*keys).agg((F.sum("at") / 2).alias("median"))
 
 
 def filled(c: Column) -> Column:

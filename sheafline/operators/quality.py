@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import label_key, months_between_dates
-from sheafline.operators.ranks import value_at_rank
+from sheafline.operators.ranks import AROUND_P99, value_at_rank
 
 #: Values that stand for "unknown" when one of them is most frequent.
 SENTINELS = (0, -1, 9, 99, 999, 9999, 99999, 999999)
@@ -46,11 +46,9 @@ def constant(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def p99(df: DataFrame, column: str) -> DataFrame:
-    """(p99, hi, n): nearest rank floor(0.99 n), at least the first, exact without one sorted task:
-    values are counted first and only the counts are ranked."""
-    v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    tot = v.agg(F.sum("c").alias("n"), F.max("v").alias("hi"))
-    return value_at_rank(v, tot, F.greatest(F.lit(1), F.floor(F.col("n") * 0.99)))
+    """(at, hi, n): the value at rank floor(0.99 n), at least the first; exact."""
+    v = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), F.lit(1).cast("long").alias("c"))
+    return value_at_rank(v, {"p99": F.greatest(F.lit(1), F.floor(F.col("n") * 0.99))}, near=AROUND_P99).select("at", "hi", "n")
 
 
 def outlier(df: DataFrame, column: str) -> DataFrame:

@@ -1,26 +1,37 @@
-"""Exact order statistics without sorting all rows in one task."""
+"""Exact order statistics without sorting all rows of a group in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+AROUND_MEDIAN = (0.1, 0.25, 0.4, 0.45, 0.48, 0.49, 0.495, 0.499, 0.501, 0.505, 0.51, 0.52, 0.55, 0.6, 0.75, 0.9)
+AROUND_P99 = (0.5, 0.75, 0.9, 0.95, 0.97, 0.98, 0.985, 0.988, 0.989, 0.991, 0.992, 0.995)
+
 
-def value_at_rank(counts: DataFrame, totals: DataFrame, rank: Column, buckets: int = 512) -> DataFrame:
-    """totals + (at): the value at a 1-based rank of values `v` that occur `c` times.
+def value_at_rank(rows: DataFrame, ranks: dict[str, Column], keys: Sequence[str] = (), near: Sequence[float] = AROUND_MEDIAN) -> DataFrame:
+    """keys + (n, hi, which, at): the value at 1-based ranks of values `v` that occur `c` times.
 
-    totals is one row with n (and what the caller adds), rank an expression of it.  Values fall
-    into ranges between approximate quantiles; only the range that holds the rank is sorted.
+    ranks are expressions of the group's total `n`.  Approximate quantiles near the ranks cut a
+    group; exact counts below each cut tell between which two a rank lies, and only the values
+    between them are sorted.  However rough the quantiles, the result is exact.
     """
-    q = counts.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    placed = counts.crossJoin(F.broadcast(q)).select("v", "c", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("b"))
-    per = placed.groupBy("b").agg(F.sum("c").alias("m"))  # at most `buckets` rows
-    w = Window.orderBy("b")
-    per = per.select("b", F.sum("m").over(w).alias("upto"), (F.sum("m").over(w) - F.col("m")).alias("before"))
-    want = totals.withColumn("_r", rank)
-    hit = per.crossJoin(F.broadcast(want)).where((F.col("before") < F.col("_r")) & (F.col("_r") <= F.col("upto")))
-    inside = placed.join(F.broadcast(hit), "b")
-    run = F.sum("c").over(Window.orderBy("v"))
-    inside = inside.withColumn("_to", F.col("before") + run)
-    at = inside.where((F.col("_to") >= F.col("_r")) & (F.col("_to") - F.col("c") < F.col("_r")))
-    return at.select(*totals.columns, F.col("v").alias("at"))
+    keys = list(keys)
+    rows = rows.select(*keys, "v", "c")
+    a = rows.groupBy(*keys).agg(F.percentile_approx("v", list(near), 10_000).alias("p"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")).where(F.col("n").isNotNull())
+    a = a.select(*keys, "n", "hi", F.concat(F.array("lo"), "p", F.array("hi")).alias("cuts"))
+    joined = rows.join(a, keys) if keys else rows.crossJoin(F.broadcast(a))  # without keys `a` is one row
+    k = len(near) + 2
+    count = lambda test: F.array(*[F.sum(F.when(test(F.col("v"), F.col("cuts")[i]), F.col("c")).otherwise(0)) for i in range(k)])
+    s = joined.groupBy(*keys).agg(F.max("n").alias("n"), F.max("hi").alias("hi"), F.max("cuts").alias("cuts"), count(lambda v, x: v < x).alias("lt"), count(lambda v, x: v <= x).alias("le"))
+    s = s.select(*keys, "n", "hi", "cuts", "lt", "le", F.explode(F.array(*[F.struct(F.lit(w).alias("which"), r.cast("long").alias("r")) for w, r in ranks.items()])).alias("x")).select("*", "x.*").drop("x")
+    below = F.filter(F.arrays_zip("lt", "cuts"), lambda z: z["lt"] < F.col("r"))
+    reach = F.filter(F.arrays_zip("le", "cuts"), lambda z: z["le"] >= F.col("r"))
+    s = s.select(*keys, "n", "hi", "which", "r", F.array_max(below).alias("b"), F.array_min(F.transform(reach, lambda z: z["cuts"])).alias("_to")).select(*keys, "n", "hi", "which", "r", F.col("b.lt").alias("before"), F.col("b.cuts").alias("_from"), "_to")
+    m = rows.join(s, keys) if keys else rows.crossJoin(F.broadcast(s))  # a row per rank
+    m = m.where((F.col("v") >= F.col("_from")) & (F.col("v") <= F.col("_to"))).groupBy(*keys, "n", "hi", "which", "r", "before", "v").agg(F.sum("c").alias("c"))
+    end = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "which").orderBy("v"))
+    m = m.withColumn("_end", end)
+    return m.where((F.col("_end") >= F.col("r")) & (F.col("_end") - F.col("c") < F.col("r"))).select(*keys, "n", "hi", "which", F.col("v").alias("at"))
