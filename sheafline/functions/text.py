@@ -50,9 +50,13 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+# Marks of turns in chat templates.
+CONTROL_TOKENS = "(?im)<\\|[^|>\\n]{0,48}\\|>|<</?SYS>>|\\[/?INST\\]|</?s>|^\\s*###\\s*(?:system|instruction|assistant|user)\\s*:"
+
+
 def harden(c: Column) -> Column:
     """Chat control tokens to blanks."""
-    return F.regexp_replace(c, "(?im)<\\|[^|>\\n]{0,48}\\|>|<</?SYS>>|\\[/?INST\\]|</?s>|^\\s*###\\s*(?:system|instruction|assistant|user)\\s*:", " ")
+    return F.regexp_replace(c, CONTROL_TOKENS, " ")
 
 
 # Small talk and words that point back to an earlier turn.
@@ -79,7 +83,7 @@ def number_text(c: Column) -> Column:
     return F.when(F.trim(c).rlike(form), F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("double"))
 
 
-#: Accepted forms of a date, tried in this order.
+# Accepted forms of a date, tried in this order.
 DATE_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd-MMM-yyyy", "yyyy/MM/dd")
 
 

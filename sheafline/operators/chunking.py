@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Signs of a chunk, of its overlap, and of the least part.
 SIZE, OVERLAP, LEAST = 1400, 200, 60
+# Where a text may be cut.
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+(?=[A-Z0-9(\[\"'])")
 

@@ -197,3 +197,17 @@ class Dashboards:
             r = run_sql(s, p.sql, PANEL_ROWS, PANEL_SECONDS)
             out.append({"name": p.name, "result": r, "chart": infer_chart(r, roles) if r.ok else None, "notes": [describe_range(lo, hi)] if frames and (lo or hi) else []})
         return out
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """A result as CSV files with a header."""
+    df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def export_html(result: Result) -> str:
+    """A small result as an HTML table."""
+    from html import escape
+
+    cell = lambda tag, v: f"<{tag}>{escape('' if v is None else str(v))}</{tag}>"
+    head = "".join(cell("th", c) for c in result.columns)
+    return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in result.rows) + "</table>"

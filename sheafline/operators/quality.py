@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sheafline.functions.text import label_key, months_between_dates
 from sheafline.operators.ranks import AROUND_P99, value_at_rank
 
-#: Values that stand for "unknown" when one of them is most frequent.
+# Numbers that stand for "unknown" when one of them is most frequent.
 SENTINELS = (0, -1, 9, 99, 999, 9999, 99999, 999999)
 RANK = {"high": 0, "medium": 1, "low": 2}
 FINDING = ("check", "column", "severity", "n", "share", "detail")

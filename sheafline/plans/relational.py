@@ -80,6 +80,29 @@ shared("pivot", "orders", "select * from (select o_orderstatus, o_orderpriority,
 shared("hashes", "documents", "select doc_id, sha2(text, 256) as h256, sha1(text) as h1 from documents where text is not null", "select doc_id, sha256(text) as h256, sha1(text) as h1 from documents where text is not null")
 
 
+shared("distinct_ordered", "part", "select distinct p_type from part order by p_type limit 40")
+shared("subquery_derived", "orders", "select m, count(*) as customers from (select o_custkey, count(*) as m from orders group by o_custkey) x group by m")
+
+
+@query("select k, v from (select k, v, row_number() over (partition by k order by src desc) as r from (select 'n_files' as k, (select count(*) from files)::varchar as v, 1 as src union all select 'n_files', '0', 0 union all select 'kept', 'yes', 0)) where r = 1")
+def meta_upsert(spark, sf):
+    old = spark.createDataFrame([("n_files", "0"), ("kept", "yes")], "k string, v string")
+    new = load(spark, sf, "files").agg(F.count(F.lit(1)).cast("string").alias("v")).select(F.lit("n_files").alias("k"), "v")
+    return store.upsert(old, new, "k")
+
+
+@query("select least(a.lo, b.lo) as lo, greatest(a.hi, b.hi) as hi from (select strftime(min(o_orderdate), '%Y-%m-%d') as lo, strftime(max(o_orderdate), '%Y-%m-%d') as hi from orders) a, (select strftime(min(l_shipdate), '%Y-%m-%d') as lo, strftime(max(l_shipdate), '%Y-%m-%d') as hi from lineitem) b")
+def filter_bounds(spark, sf):
+    lo, hi = present.date_bounds({"orders": (load(spark, sf, "orders"), "o_orderdate"), "lineitem": (load(spark, sf, "lineitem"), "l_shipdate")})
+    return spark.createDataFrame([(lo, hi)], "lo string, hi string")
+
+
+@query()
+def random_sample(spark, sf):
+    """A hundred rows in the order of a seeded hash: the same ones in every run."""
+    return load(spark, sf, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(100).select("doc_id")
+
+
 @query("select user_id, time_bucket(interval '1 hour', ts) as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def window_tumbling(spark, sf):
     return ingest.windowed(load(spark, sf, "events"), "ts", "1 hour", keys=("user_id",), value="value").select("user_id", "start", "n", F.round("total", 4).alias("total"))

@@ -145,3 +145,37 @@ def file_stats(spark, sf):
 @query("select doc_id, regexp_matches(trim(text), '(?i)^\\s*(hi+|hello|thanks?|ok(ay)?)\\b[\\s!.?,]*$') as small from documents where text is not null")
 def intent(spark, sf):
     return load(spark, sf, "documents").where("text is not null").select("doc_id", t.is_small_talk(F.col("text")).alias("small"))
+
+
+@query("select id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\\x00\\xa0]', ' ', 'g'), '[ \\t\\x0b\\f\\r]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\\n{3,}', E'\\n\\n', 'g'), E' \\n') as c from chunks where text is not null")
+def xml_strip(spark, sf):
+    return load(spark, sf, "chunks").where("text is not null").select("id", t.strip_xml(F.col("text")).alias("c"))
+
+
+@query("select item_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', ' ', 'g')), '\\s+'), lambda w: length(w) > 1)[1:32], ' ') as terms from eval_items")
+def query_terms(spark, sf):
+    return load(spark, sf, "eval_items").select("item_id", F.array_join(t.query_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("select id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as s from files where name is not null")
+def slugs(spark, sf):
+    return load(spark, sf, "files").where("name is not null").select("id", t.slug(F.col("name")).alias("s"))
+
+
+@query("select doc_id, regexp_replace(case when doc_id % 3 = 0 then '<|im_start|>' || text || ' [INST]' else text end, '(?im)<\\|[^|>\\n]{0,48}\\|>|<</?SYS>>|\\[/?INST\\]|</?s>|^\\s*###\\s*(?:system|instruction|assistant|user)\\s*:', ' ', 'g') as s from documents where text is not null")
+def harden(spark, sf):
+    d = load(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", t.harden(F.expr("case when doc_id % 3 = 0 then concat('<|im_start|>', text, ' [INST]') else text end")).alias("s"))
+
+
+@query("select c.id, concat_ws(' | ', 'file: ' || nullif(trim(f.name), ''), 'folder: ' || split_part(f.rel_path, '/', 1), 'section: ' || nullif(trim(c.heading), ''), 'at: ' || nullif(trim(c.loc), '')) || chr(10) || c.text as e from chunks c join files f on f.id = c.file_id where c.text is not null")
+def embed_text(spark, sf):
+    f = load(spark, sf, "files").select(F.col("id").alias("file_id"), F.trim("name").alias("name"), F.substring_index("rel_path", "/", 1).alias("folder"))
+    c = load(spark, sf, "chunks").where("text is not null").join(f, "file_id")
+    return c.select("id", r.embed_text(F.col("name"), F.col("folder"), F.trim("heading"), F.trim("loc"), F.col("text")).alias("e"))
+
+
+@query("select table_name, _row, coalesce(try_strptime(trim(closed_date), '%Y-%m-%d'), try_strptime(trim(closed_date), '%d/%m/%Y')) as d, case when regexp_full_match(trim(product_code), '[-+]?\\d{1,3}(,\\d{3})*(\\.\\d+)?|[-+]?\\d*\\.?\\d+') then replace(trim(product_code), ',', '')::double end as n from tickets where length(trim(closed_date)) = 10 and (closed_date like '%-%-%' or closed_date like '%/%/%')")
+def parse_cells(spark, sf):
+    d = load(spark, sf, "tickets").where("length(trim(closed_date)) = 10 and (closed_date like '%-%-%' or closed_date like '%/%/%')")
+    return d.select("table_name", "_row", t.date_text(F.col("closed_date")).alias("d"), t.number_text(F.col("product_code")).alias("n"))

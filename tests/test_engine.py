@@ -97,3 +97,19 @@ def test_search_with_injected_models(spark):
     parts = spark.createDataFrame([(1, 0, "pump housing"), (1, 1, "gasket prices")], "qid long, part long, question string")
     d = deep.deep_search(parts, docs)
     assert {x.id for x in d.collect()} == {1, 2, 3} and {x.part: x.hits for x in deep.coverage(d).collect()} == {0: 2, 1: 1}
+
+
+def test_investigate_export_and_clustering(spark, tmp_path):
+    from sheafline.guard import Result
+    from sheafline.operators import present, store
+
+    replies = iter([{"sql": "drop table x"}, {"sql": "select 1 as n"}, {"report": "done"}])
+    got = explore.investigate(spark, "why?", lambda m: next(replies), "schema")
+    assert got["report"] == "done" and [s["ok"] for s in got["steps"]] == [False, True]
+    assert explore.investigate(spark, "why?", lambda m: {"sql": "select 1"}, "s", steps=2)["report"] == ""
+    assert present.export_html(Result(["a"], [["<x>"], [None]])) == "<table><tr><th>a</th></tr><tr><td>&lt;x&gt;</td></tr><tr><td></td></tr></table>"
+    df = spark.range(100).selectExpr("id % 10 as k", "id as v")
+    present.export_csv(df.limit(3), str(tmp_path / "c"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 3
+    store.clustered(df, ["k"], 4).write.parquet(str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).where("k = 3").count() == 10
