@@ -139,6 +139,8 @@ class Index:
 
 #: Items are held by every task; more of them than this are taken in slices, one pass each.
 ITEMS_AT_ONCE = 20_000
+#: A stated query set; a larger one is refused, so that the caller passes it in parts.
+MOST_ITEMS = 1_000_000
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
@@ -152,7 +154,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, radius:
     """
     got: DataFrame | None = None
     todo = items.select("item_id", "text").where("item_id is not null").distinct().orderBy("item_id")
-    rows = [(r.item_id, r.text) for r in todo.toLocalIterator()]
+    rows = [(r.item_id, r.text) for r in todo.limit(MOST_ITEMS + 1).toLocalIterator()]
+    if len(rows) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items; pass them in parts")
     for k in range(0, max(1, len(rows)), at_once):
         part = rows[k : k + at_once]
 
