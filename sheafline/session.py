@@ -59,17 +59,31 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Gives the executors this package, once per context, where it is not installed for them."""
+    """Gives the executors this package, once per context, where it is not installed for them.
+
+    The archive lies in the session's shared folder; only local mode without one uses a
+    temporary folder.
+    """
+    import io
+    import uuid
     import zipfile
     from pathlib import Path
 
     sc = spark.sparkContext
     if getattr(sc, "_sheafline_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    at = Path(tempfile.mkdtemp(prefix="sheafline-")) / "sheafline.zip"
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+    root, b = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))
-    sc.addPyFile(str(at))
+    if sc.getConf().get("spark.checkpoint.dir", None) or not sc.master.startswith("local"):
+        at = f"{checkpoint_dir(spark)}/sheafline-{uuid.uuid4().hex}/sheafline.zip"
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(b.getvalue()))
+        out.close()
+    else:
+        at = str(Path(tempfile.mkdtemp(prefix="sheafline-")) / "sheafline.zip")
+        Path(at).write_bytes(b.getvalue())
+    sc.addPyFile(at)
     sc._sheafline_shipped = True
