@@ -34,10 +34,10 @@ def words(text: str | None) -> list[str]:
 
 
 class _Hashes(dict):
-    """64 bits of a word; forgets all once it holds a million words."""
+    """64 bits of a word; forgets all once it holds 400,000 words."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[w] = h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return h

@@ -36,10 +36,10 @@ MAX_RUN = 256
 
 
 class _Words(dict):
-    """64 bits of a word, forgotten once a million words are held."""
+    """64 bits of a word, forgotten once 400,000 words are held."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[w] = h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return h
@@ -116,7 +116,7 @@ def _buckets(docs: DataFrame, k: int, groups: int) -> DataFrame:
                 if c not in seen:
                     seen.add(c)
                     keep.append(i)
-            if len(seen) > 2_000_000:
+            if len(seen) > 500_000:
                 seen.clear()  # only saves work; copies meet again behind the shuffle
             if not keep:
                 continue
