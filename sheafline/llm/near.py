@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,13 @@ MAX_RUN = 256
 
 
 class _Words(dict):
-    """64 bits of a word, forgotten once 400,000 words are held."""
+    """64-bit hashes of the words of a piece of text without blanks, forgotten once 400,000
+    pieces are held."""
 
-    def __missing__(self, w: str) -> int:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) > 400_000:
             self.clear()
-        self[w] = h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self[piece] = h = tuple(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in _RUN.findall(piece))
         return h
 
 
@@ -56,9 +57,10 @@ def shingle_hashes(texts: list[str | None], k: int, words: _Words) -> tuple[np.n
     n = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         if t:
-            w = _RUN.findall(t.lower())
-            n[i] = len(w)
-            flat += [words[x] for x in w]
+            # Words never span blanks, so most pieces are known and cost one lookup.
+            before = len(flat)
+            flat.extend(chain.from_iterable(map(words.__getitem__, t.lower().split())))
+            n[i] = len(flat) - before
     at = np.concatenate([[0], np.cumsum(n)])
     w = np.array(flat, np.uint64)
     if len(w) < k:
