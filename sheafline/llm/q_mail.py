@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sheafline.llm import mail
-from sheafline.session import load
+from sheafline.llm.library import chunks_of
 
 MAIL_EXT = (".eml", ".msg")
 
 
 def mails(spark, sf_dir):
-    f = load(spark, sf_dir, "files").where(F.lower(F.trim("ext")).isin(*MAIL_EXT)).select(F.col("id").alias("file_id"))
-    return load(spark, sf_dir, "chunks").select("id", "file_id", "text").join(f, "file_id", "left_semi")
+    return chunks_of(spark, sf_dir, MAIL_EXT)[0]
 
 
 def p6_authored(spark, sf_dir):
