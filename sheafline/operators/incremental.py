@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafline.session import cut
+
 #: Children of a node, and levels below the root: 64 ** 2 leaves by default.
 FANOUT_BITS = 6
 LEVELS = 2
@@ -116,7 +118,10 @@ def changes(files: DataFrame, run_log: DataFrame, scan: DataFrame, levels: int =
     all_known = committed_state(files, run_log)
     known = all_known.where(F.col("has_row") | F.col("done"))
     saved_size, saved_mtime = F.when(F.col("failed"), F.col("f_size")).otherwise(F.col("size")), F.when(F.col("failed"), F.col("f_mtime")).otherwise(F.col("mtime"))
-    dirty = changed_leaves(tree(now, _stamp(F.col("size"), F.col("mtime")), "path", levels, bits), tree(known, _stamp(saved_size, saved_mtime), "path", levels, bits), levels, bits)
+    # The trees are small whatever the tables hold; cut, the descent works on them and not on the tables.
+    t_now = cut(tree(now, _stamp(F.col("size"), F.col("mtime")), "path", levels, bits))
+    t_saved = cut(tree(known, _stamp(saved_size, saved_mtime), "path", levels, bits))
+    dirty = changed_leaves(t_now, t_saved, levels, bits)
     # The leaves are at most 2**(levels*bits) numbers (4,096 by default): small enough to broadcast by construction.
     dirty = F.broadcast(dirty)
 
