@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sheafline.functions import text as t
 from sheafline.operators import ann, chunking, insight, locate, quality, retrieval, store
-from sheafline.operators.quality import Rule
 from sheafline.streaming import ingest
 
 
