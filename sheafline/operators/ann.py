@@ -10,15 +10,19 @@ from __future__ import annotations
 import io
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafline.session import cut
+
 SAMPLE, WORDS, SPHERICAL_ROUNDS = 250_000, 256, 10
 EXACT_BELOW, LEAST_PROBES, LEAST_SHORTLIST, PROBE_SHARE = 200_000, 64, 512, 0.02
+#: Recall that an index is calibrated to, and about how many vectors are held out for it.
+RECALL, HELD = 0.92, 300
 
 
 def cells_for(n: int) -> int:
@@ -106,6 +110,8 @@ class IvfPq:
     centroids: np.ndarray
     books: np.ndarray
     covers: int
+    nprobe: int = 0
+    shortlist: int = 0
 
     @property
     def m(self) -> int:
@@ -119,13 +125,13 @@ class IvfPq:
 
     def dump(self) -> bytes:
         b = io.BytesIO()
-        np.savez(b, rotation=self.rotation, centroids=self.centroids, books=self.books, covers=self.covers)
+        np.savez(b, rotation=self.rotation, centroids=self.centroids, books=self.books, covers=self.covers, nprobe=self.nprobe, shortlist=self.shortlist)
         return b.getvalue()
 
     @staticmethod
     def load(b: bytes) -> IvfPq:
         z = np.load(io.BytesIO(b))
-        return IvfPq(z["rotation"], z["centroids"], z["books"], int(z["covers"]))
+        return IvfPq(z["rotation"], z["centroids"], z["books"], int(z["covers"]), *[int(z[f]) for f in ("nprobe", "shortlist") if f in z])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -150,9 +156,12 @@ def _vecs(b: pa.RecordBatch, i: int) -> np.ndarray:
 
 def build(vectors: DataFrame, sample: int = SAMPLE, cells: int | None = None, seed: int = 0) -> tuple[IvfPq, DataFrame]:
     """(index, codes) of vectors (id, vec): codes (cell, id, code).  Every vector is indexed; the
-    sample of at most `sample` vectors only fits the parameters."""
+    sample of at most `sample` vectors only fits the parameters.  From EXACT_BELOW vectors on, the
+    probes and the shortlist are calibrated on vectors that the fit does not see."""
     n = vectors.count()
-    part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    large = n >= EXACT_BELOW
+    seen = vectors.where(~_held(n)) if large else vectors
+    part = seen if n <= sample else seen.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     got = part.select("vec").limit(int(1.1 * sample) + 16).toArrow().column(0).combine_chunks()
     index = train(got.flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1), n, cells, seed)
 
@@ -162,26 +171,104 @@ def build(vectors: DataFrame, sample: int = SAMPLE, cells: int | None = None, se
                 cell, code = index.encode(_unit(_vecs(b, 1)))
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0), pa.array([r.tobytes() for r in code], pa.binary())], names=["cell", "id", "code"])
 
-    return index, vectors.select("id", "vec").mapInArrow(run, "cell int, id long, code binary")
+    codes = vectors.select("id", "vec").mapInArrow(run, "cell int, id long, code binary")
+    if large:
+        codes = cut(codes)
+        index, _ = calibrate(index, codes, vectors)
+    return index, codes
 
 
-def search(index: IvfPq, codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None, shortlist: int | None = None) -> DataFrame:
-    """(qid, id, score): the k best of every query (qid, vec), a stated small set.
+def _held(n: int):
+    return F.pmod(F.xxhash64("id", F.lit("held")), F.lit(n)) < HELD
 
-    The likeliest cells of all queries prune the codes; codes are scored by lookup tables, the
-    shortlist of each query is scored again with its exact cosine.
-    """
+
+def _queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of queries (qid, vec), a stated small set."""
     q = queries.select("qid", "vec").limit(100_001).toArrow()
     if q.num_rows > 100_000:
         raise ValueError("more than 100,000 queries at once; pass them in blocks")
-    spark = codes.sparkSession
     if not q.num_rows:
-        return spark.createDataFrame([], "qid long, id long, score double")
+        return np.empty(0, np.int64), np.empty((0, 0), np.float32)
     qid = q.column(0).to_numpy()
-    qx = _unit(q.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(qid), -1).astype(np.float32))
+    return qid, _unit(q.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(qid), -1).astype(np.float32))
+
+
+def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the k best of every query (qid, vec) among all vectors (id, vec)."""
+    qid, qx = _queries(queries)
+    if not len(qid):
+        return vectors.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if not b.num_rows:
+                continue
+            ids, x = b.column(0).to_numpy(), _unit(_vecs(b, 1)).astype(np.float64)
+            most = min(k, len(ids))
+            for i in range(0, len(qid), 256):
+                s = np.round(x @ qx[i : i + 256].T.astype(np.float64), 9)
+                rows, cols = np.nonzero(s >= np.partition(s, len(ids) - most, axis=0)[len(ids) - most])
+                o = np.lexsort((ids[rows], -s[rows, cols], cols))
+                rows, cols = rows[o], cols[o]
+                top = np.arange(len(cols)) - np.searchsorted(cols, cols) < most
+                rows, cols = rows[top], cols[top]
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i + cols]), pa.array(ids[rows]), pa.array(s[rows, cols])], names=["qid", "id", "score"])
+
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    s = vectors.select("id", "vec").mapInArrow(run, "qid long, id long, score double")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def calibrate(index: IvfPq, codes: DataFrame, vectors: DataFrame, k: int = 10, recall: float = RECALL) -> tuple[IvfPq, float]:
+    """(index, its recall) with the probes and the shortlist that find `recall` of the true k
+    neighbours of the held-out vectors; a vector does not count as its own neighbour."""
+    q = cut(vectors.where(_held(index.covers)).select(F.col("id").alias("qid"), "vec"))
+    qid, qx = _queries(q)
+    true = cut(exact(vectors, q, k + 1).where("id <> qid").select("qid", "id"))
+    want: dict[int, set[int]] = {}
+    cells = np.zeros(len(index.centroids), np.int64)
+    place = {int(v): i for i, v in enumerate(qid)}
+    order = np.argsort(-(qx @ index.rotation @ index.centroids.T), axis=1) if len(qid) else np.empty((0, len(cells)), np.int64)
+    for r in true.join(codes.select("cell", "id"), "id").collect():  # at most a few thousand rows
+        want.setdefault(r.qid, set()).add(r.id)
+        cells[int(np.flatnonzero(order[place[r.qid]] == r.cell)[0])] += 1
+    total = int(cells.sum())
+    if not total:
+        return index, 1.0
+    # Cells that hold more than the recall asked for, so that the shortlist may lose some.
+    need = int(np.searchsorted(np.cumsum(cells), (1 + recall) / 2 * total)) + 1
+    nprobe, shortlist = min(len(cells), max(probes_for(len(cells)), need)), max(8 * k, LEAST_SHORTLIST)
+    while True:
+        got = search(index, codes, vectors, q, k + 1, nprobe, shortlist).select("qid", "id").collect()
+        share = sum(r.id in want.get(r.qid, ()) for r in got) / total
+        if share >= recall or shortlist >= index.covers:
+            return replace(index, nprobe=nprobe, shortlist=shortlist), share
+        shortlist *= 2
+
+
+def find(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): exact below EXACT_BELOW vectors, through an index from there on."""
+    if vectors.count() < EXACT_BELOW:
+        return exact(vectors, queries, k)
+    index, codes = build(vectors)
+    return search(index, codes, vectors, queries, k)
+
+
+def search(index: IvfPq, codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None, shortlist: int | None = None) -> DataFrame:
+    """(qid, id, score): the k best of every query (qid, vec), a stated small set.
+
+    Without `nprobe` and `shortlist`, an index over less than EXACT_BELOW vectors is not used: all
+    vectors are compared; a larger one uses what it was calibrated to.  The likeliest cells of all queries prune the codes; codes are scored by lookup tables, the
+    shortlist of each query is scored again with its exact cosine.
+    """
+    if nprobe is None and shortlist is None and index.covers < EXACT_BELOW:
+        return exact(vectors, queries, k)
+    qid, qx = _queries(queries)
+    if not len(qid):
+        return codes.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
     z = qx @ index.rotation
     near = z @ index.centroids.T
-    n = min(nprobe or probes_for(len(index.centroids)), len(index.centroids))
+    n = min(nprobe or index.nprobe or probes_for(len(index.centroids)), len(index.centroids))
     probed = np.argpartition(-near, n - 1, axis=1)[:, :n]
     wanted = sorted({int(c) for r in probed for c in r})
     by_cell: dict[int, list[int]] = {}
@@ -190,7 +277,7 @@ def search(index: IvfPq, codes: DataFrame, vectors: DataFrame, queries: DataFram
             by_cell.setdefault(int(c), []).append(i)
     # table[q, s, w]: what codeword w of slice s adds to the score of query q.
     table = np.einsum("qsd,swd->qsw", z.reshape(len(z), index.m, -1), index.books)
-    most = shortlist or max(8 * k, LEAST_SHORTLIST)
+    most = shortlist or max(8 * k, LEAST_SHORTLIST, index.shortlist)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -200,9 +200,8 @@ def sheet_text(spark, sf):
 @query()
 def ann_search(spark, sf):
     v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    index, codes = ann.build(v)
     q = v.where("id < 20").select(F.col("id").alias("qid"), "vec")
-    return ann.search(index, codes, v, q, 10).select("qid", "id", F.round("score", 6).alias("score"))
+    return ann.find(v, q, 10).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 @query()

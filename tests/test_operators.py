@@ -150,6 +150,30 @@ def test_ann_recall_tail_and_files(spark, tmp_path):
     assert ann.cells_for(2_000_000) == 5656 and ann.slices_for(384) == 32 and ann.probes_for(10_000) == 200
 
 
+def test_ann_is_exact_below_the_bound_and_calibrated_above(spark, monkeypatch):
+    """Vectors without clusters, which few cells cannot hold."""
+    x = np.random.default_rng(1).normal(size=(6000, 24)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<float>")
+    q = v.where("id % 300 = 0").select(F.col("id").alias("qid"), "vec")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: set(np.argsort(-(u @ u[i]))[:10].tolist()) for i in range(0, 6000, 300)}
+
+    def recall(rows):
+        return np.mean([r.id in want[r.qid] for r in rows])
+
+    index, codes = ann.build(v, cells=100)
+    got = ann.search(index, codes, v, q, 10).collect()
+    assert len(got) == 200 and recall(got) == 1.0
+    assert recall(ann.find(v, q, 10).collect()) == 1.0
+    monkeypatch.setattr(ann, "EXACT_BELOW", 5000)
+    monkeypatch.setattr(ann, "LEAST_PROBES", 2)
+    monkeypatch.setattr(ann, "LEAST_SHORTLIST", 20)
+    assert recall(ann.search(index, codes, v, q, 10, nprobe=2, shortlist=80).collect()) < 0.9
+    index, codes = ann.build(v, cells=100)
+    assert 2 < index.nprobe <= 100 and ann.IvfPq.load(index.dump()).shortlist == index.shortlist >= 20
+    assert recall(ann.search(index, codes, v, q, 10).collect()) >= 0.88  # 200 neighbours only
+
+
 def test_locate():
     assert locate.asks_where("where is the turnover report") and not locate.asks_where("where does the report say the deadline is")
     assert locate.score("open turnover report.xlsx", "turnover report.xlsx") == 1.0
