@@ -53,6 +53,14 @@ def test_masks_cover_three_positions_of_a_group():
         assert any(not set(m) & set(bad) for m in near.MASKS)
 
 
+def test_pairs_at_the_threshold_meet():
+    """4,000 pairs of similarity 0.70: 70 hashes of both sets, 15 of each alone."""
+    h = np.random.default_rng(4).integers(0, 1 << 63, (4000, 100), np.uint64)
+    at = np.arange(0, 4000 * 85 + 1, 85)
+    a, b = near.table_keys(h[:, :85].ravel(), at), near.table_keys(np.hstack([h[:, :70], h[:, 85:]]).ravel(), at)
+    assert (a == b).any(axis=1).all()
+
+
 def test_hot_buckets_lose_nothing(spark, monkeypatch):
     """Copies and near copies by the hundred; buckets beyond the limit take the exact way."""
     monkeypatch.setattr(near, "MAX_RUN", 8)
