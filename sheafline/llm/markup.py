@@ -140,10 +140,17 @@ def convert(text: str | None, frames: frozenset[str] | set[str] = frozenset()) -
         return f"\x00{len(kept) - 1}\x00"
 
     if frames and "<" in t:
-        for path, a, b, _, _ in sorted(containers(t), key=lambda c: -c[1]):
-            if path in frames:
-                t = t[:a] + "\n" + t[b:]
-                n[0] += 1
+        spans = sorted((a, b) for path, a, b, _, _ in containers(t) if path in frames)
+        n[0] += len(spans)
+        # Frames within frames go with the outermost one, so that no offset is stale.
+        outer: list[list[int]] = []
+        for a, b in spans:
+            if outer and a < outer[-1][1]:
+                outer[-1][1] = max(outer[-1][1], b)
+            else:
+                outer.append([a, b])
+        for a, b in reversed(outer):
+            t = t[:a] + "\n" + t[b:]
     # Code and formulas first: nothing inside them is markup of the text.
     if "```" in t or "~~~" in t:
         parts, open_at = [], None

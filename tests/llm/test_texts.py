@@ -47,6 +47,13 @@ def test_hosts_vote_on_frames(spark):
     assert markup.clean_markup(docs.where("id < 0"), hosts).count() == 0
 
 
+def test_frames_within_frames_leave_the_body():
+    body = "BODY TEXT OF THE PAGE THAT MUST STAY, all of it."
+    nav = '<nav><ul><li><a href="/a">one link</a></ul><ul><li><a href="/b">two</a></ul></nav>'
+    got, n = markup.convert(nav + body + nav, {"nav", "nav/ul"})
+    assert got.strip() == body and n[0] == 6
+
+
 def test_very_long_texts():
     t = "word <b>x</b> " * 40_000
     assert sum(markup.convert(t)[1]) == 80_000
