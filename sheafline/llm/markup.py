@@ -281,22 +281,27 @@ def frame_paths(pages: DataFrame) -> DataFrame:
     """(host, paths) of the container paths that are link frames of a host.
 
     pages: (id, host, text).  Each page scores its containers; the vote sums text and links per
-    (host, path) with partial sums before the shuffle.  A path is a frame when it stands on at
+    (host, path) with partial sums before the shuffle; a path counts once per page.  A path is a frame when it stands on at
     least FRAME_PAGES pages of the host and links hold at least FRAME_LINKS of its text.
     """
 
     def make():
-        def f(hosts, texts):
-            h, p, own, links = [], [], [], []
-            for host, text in zip(hosts, texts):
+        def f(ids, hosts, texts):
+            i, h, p, own, links = [], [], [], [], []
+            for page, host, text in zip(ids, hosts, texts):
+                score: dict[str, list[int]] = {}
                 for path, _, _, a, b in containers(text or ""):
-                    h.append(host), p.append(path), own.append(a), links.append(b)
-            return h, p, own, links
+                    s = score.setdefault(path, [0, 0])
+                    s[0] += a
+                    s[1] += b
+                for path, (a, b) in score.items():
+                    i.append(page), h.append(host), p.append(path), own.append(a), links.append(b)
+            return i, h, p, own, links
 
         return f
 
-    votes = map_rows(pages, ["host", "text"], make, "host string, path string, own long, links long")
-    won = votes.groupBy("host", "path").agg(F.sum("own").alias("own"), F.sum("links").alias("links"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= FRAME_PAGES) & (F.col("own") > 0) & (F.col("links") >= FRAME_LINKS * F.col("own")))
+    votes = map_rows(pages, ["id", "host", "text"], make, "id long, host string, path string, own long, links long")
+    won = votes.groupBy("host", "path").agg(F.sum("own").alias("own"), F.sum("links").alias("links"), F.countDistinct("id").alias("n")).where((F.col("n") >= FRAME_PAGES) & (F.col("own") > 0) & (F.col("links") >= FRAME_LINKS * F.col("own")))
     return won.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 

@@ -47,6 +47,14 @@ def test_hosts_vote_on_frames(spark):
     assert markup.clean_markup(docs.where("id < 0"), hosts).count() == 0
 
 
+def test_many_lists_of_one_page_are_no_frame(spark):
+    page = "<p>Body.</p>" + "".join(f'<ul><li><a href="/{i}">reference {i}</a></ul>' for i in range(5))
+    docs = spark.createDataFrame([(1, page), (1, page), (1, page), (2, page)], "id long, text string")
+    assert all("reference 4" in r.clean for r in markup.clean_markup(docs).collect())
+    third = docs.unionByName(spark.createDataFrame([(3, page)], docs.schema))
+    assert all("reference" not in r.clean for r in markup.clean_markup(third).collect())
+
+
 def test_frames_within_frames_leave_the_body():
     body = "BODY TEXT OF THE PAGE THAT MUST STAY, all of it."
     nav = '<nav><ul><li><a href="/a">one link</a></ul><ul><li><a href="/b">two</a></ul></nav>'
