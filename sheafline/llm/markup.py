@@ -79,7 +79,7 @@ TEX_COMMENT = re.compile(r"(?<![\\\w%])%%+[^\n]*$", re.M)
 #: Lines of a mail that may look like markup and are none: its rules of signs.
 MAIL_START = re.compile(r"\A\s*(?:From|Von|De|Para|To|An|Subject|Betreff|Asunto|Objet|Date|Datum|Fecha)\s*:", re.I)
 #: A text without any of these characters holds no markup at all.
-ANY_SIGN = r"[`{]|<[A-Za-z/!?]|&[A-Za-z#][A-Za-z0-9]*;|\*[^\s*]|\][\[(:]|\[\[|\[\^|\[[ xX]\]|\[(?:https?|ftp):|\\[A-Za-z(\[\\%&#_{}$]|\$[^\s\d]|\$\d[^$\n]*[\\^_={}]|~~|''|(?:^|[^\w_])_[^\s]|(?:^|\n)[ \t]*(?:[|!=>]|#{1,6}[ \t]|h[1-6]\.[ \t]|[-=]{3,}[ \t]*(?:\n|$))"
+ANY_SIGN = r"[`{]|<[A-Za-z/!?]|&[A-Za-z#][A-Za-z0-9]*;|\*[^\s*]|\][\[(:]|\[\[|\[\^|\[[ xX]\]|\[(?:https?|ftp):|\\[A-Za-z(\[\\%&#_{}$]|\$[^\s\d]|\$\d[^$\n]*[\\^_={}]|~~|''|(?:^|[^\w_])_[^\s]|(?:^|\n)[ \t]*(?:[|!=>]|#{1,6}[ \t]|h[1-6]\.[ \t]|[-=]{3,}[ \t]*(?:\n|$)|:?-{2,}:?[ \t]*\|)|__(?:NO|FORCE)?TOC__|__NOEDITSECTION__"
 _ANY = re.compile(ANY_SIGN)
 
 KINDS = ("html", "markdown", "wiki", "latex")

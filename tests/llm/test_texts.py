@@ -36,6 +36,19 @@ def test_the_sign_filter_misses_nothing(spark):
     assert spark.createDataFrame(rows, "id long, text string").where(~F.col("text").rlike(markup.ANY_SIGN)).count() == 0
 
 
+SIGNS = {
+    "TAG": "<b>", "COMMENT": "<!-- x -->", "DROPPED": "<style>x</style>", "ENTITY": "&amp;", "FENCE": "~~~", "INLINE_CODE": "`x`", "IMAGE": "![a](b)", "LINK": "[a](b)", "REF_LINK": "[a][b]", "REF_DEF": "[a]: /b",
+    "FOOTNOTE": "x[^1]", "ATX": "# x", "SETEXT": "x\n---", "TABLE_RULE": "Part | Qty\n--- | ---\nPump | 3", "TABLE_ROW": "| a |", "STRONG": "**x**", "EMPH": "*x*", "UNDER": "_x_", "STRIKE": "~~x~~", "TASK": "- [ ] x",
+    "BLOCKQUOTE": "> x", "WIKI_LINK": "[[x]]", "EXT_LINK": "[http://x y]", "TEMPLATE": "{{x}}", "WIKI_HEAD": "= x =", "WIKI_QUOTES": "''x''", "DOUBLE_BAR": "||x||", "BRACE_MACRO": "{code}", "H_DOT": "h1. x", "MAGIC": "x__TOC__",
+    "DISPLAY": "$$x$$", "PAREN_MATH": "\\(x\\)", "DOLLAR_MATH": "$x$", "ENVIRON": "\\begin{x}", "TEX_ITEM": "\\item x", "TEX_HEAD": "\\section{x}", "TEX_NOTE": "\\cite{x}", "TEX_STYLE": "\\emph{x}", "TEX_BARE": "\\par", "TEX_ESCAPE": "\\%", "TEX_BREAK": "x\\\\",
+}
+
+
+@pytest.mark.parametrize("name,text", [*SIGNS.items(), ("TABLE_RULE", "a | b\n:-- | --:\nc | d"), ("TABLE_RULE", "a | b\n  -- | --\nc | d")])
+def test_each_pattern_passes_the_sign_filter(name, text):
+    assert getattr(markup, name).search(text) and markup._ANY.search(text) and sum(markup.convert(text)[1]) > 0
+
+
 def test_hosts_vote_on_frames(spark):
     page = '<div class="nav7"><a href="/a">one of the links</a> <a href="/b">another link</a></div><div class="body">Real text {} with <a href="x">one link</a> that stays.</div>'
     docs = spark.createDataFrame([(i, 1, page.format(i), "x", 9) for i in range(4)] + [(9, 2, page.format(9), "x", 9), (10, None, None, "x", 9), (11, 1, "", "x", 9)], "id long, file_id long, text string, host string, n_html int")
