@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +207,24 @@ FREQUENT = 50_000
 EVENTS = "id long, kind string, a string, b string"
 
 
-def _events(text: str, head_lines, frequent: set) -> list[tuple[str, str | None, str | None]]:
+#: Bits of the map of all words that stand twice in clean texts; a full map only costs time.
+WORD_BITS = 1 << 24
+
+
+def word_map(vocab: DataFrame) -> bytes:
+    """A bit for the hash of each word with n >= 2: what has no bit is no such word."""
+    h = vocab.where("n >= 2").select(F.crc32(F.encode("word", "UTF-8")).bitwiseAND(F.lit(WORD_BITS - 1)).cast("int").alias("h")).distinct().toArrow()
+    bits = np.zeros(WORD_BITS, bool)
+    bits[h.column(0).to_numpy()] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _maybe(word: str, words: bytes) -> bool:
+    h = crc32(word.encode("utf-8", "surrogatepass")) & (WORD_BITS - 1)
+    return bool(words[h >> 3] >> (h & 7) & 1)
+
+
+def _events(text: str, head_lines, frequent: set, safe: set, words: bytes) -> list[tuple[str, str | None, str | None]]:
     """What a page shows: ('page'|'header'|'hyphen', ..), words to look up ('token'), possible
     splits ('pair') and breaks whose hyphen may belong to the text ('break')."""
     out: list[tuple[str, str | None, str | None]] = []
@@ -233,13 +252,12 @@ def _events(text: str, head_lines, frequent: set) -> list[tuple[str, str | None,
             before = re.search(r"(\S*)[" + HYPHENS + r"]\Z", x).group(1)
             skip[k] = len(right)
             whole = (left + right.split("'")[0].split("’")[0]).lower()
-            if whole not in frequent:
+            if whole not in safe:
                 out.append(("token", whole, None))  # a broken word may be misread as well
             if x[-1] in SOFT:
                 out.append(("hyphen", None, None))
             else:
                 out.append(("break", (left + right).lower(), (re.sub(r"^\W+", "", before) + "-" + right).lower()))
-    known = frequent
     last = None  # the last word of the line before, which a line end may have cut off
     for k, x in enumerate(body):
         toks = list(_tokens(x))
@@ -251,15 +269,16 @@ def _events(text: str, head_lines, frequent: set) -> list[tuple[str, str | None,
         last = None
         for t, a, b in toks:
             low = t.lower()
-            if low not in known:
-                if low.strip("!|") not in known or "|" in low:
+            if low not in safe:
+                bare = low.strip("!|")
+                if bare == low or "|" in low or bare not in frequent:
                     out.append(("token", low, None))
             near = prev is not None and (a == prev[2] + 1 and x[prev[2]] == " " if prev[2] >= 0 else not x[:a].strip())
             if near and prev[0].isalpha() and t.isalpha():
                 pl = prev[0].lower()
                 if x[b : b + 1] in ("'", "’"):
                     pass  # an elided article, not half a word
-                elif pl not in known or low not in known or pl + low in known:
+                elif _maybe(pl + low, words):
                     if not (t[0].isupper() and not prev[0].isupper()):
                         out.append(("pair", pl, low))
             prev = (t, a, b)
@@ -268,15 +287,17 @@ def _events(text: str, head_lines, frequent: set) -> list[tuple[str, str | None,
     return list(dict.fromkeys(out))
 
 
-def events(pages: DataFrame, head_lines: DataFrame, frequent: list[str]) -> DataFrame:
+def events(pages: DataFrame, head_lines: DataFrame, frequent: list[str], odd: list[str], words: bytes) -> DataFrame:
+    """`odd` are those of the frequent words that the vocabulary may call misread."""
     known = set(frequent)
+    safe = known - set(odd)
     j = pages.join(head_lines, "id", "left")
 
     def make():
         def f(ids, texts, hs):
             a, b, c, d = [], [], [], []
             for i, t, h in zip(ids, texts, hs):
-                for k, x, y in _events(t or "", h, known):
+                for k, x, y in _events(t or "", h, known, safe, words):
                     a.append(i), b.append(k), c.append(x), d.append(y)
             return a, b, c, d
 
@@ -291,6 +312,24 @@ RARER = 50
 SPLIT_RARER = 4
 
 
+def misreadings(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, fix) of the tokens (token, own) that a far more frequent word explains."""
+
+    def make():
+        def f(tokens, own):
+            a, b, c = [], [], []
+            for t, n in zip(tokens, own):
+                for s in corrections(t):
+                    a.append(t), b.append(n), c.append(s)
+            return a, b, c
+
+        return f
+
+    tries = map_rows(tokens, ["token", "own"], make, "token string, own long, word string")
+    best = tries.join(words, "word").where((F.col("n") >= 2) & (F.col("n") >= RARER * F.col("own"))).groupBy("token").agg(F.max(F.struct("n", "word")).alias("w"))
+    return best.select("token", F.col("w.word").alias("fix"))
+
+
 def findings(pages: DataFrame, clean: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """(id, defect, a, b, fix): every defect of every scanned page.
 
@@ -303,10 +342,13 @@ def findings(pages: DataFrame, clean: DataFrame, frequent: int = FREQUENT) -> Da
     pages, clean = pages.select("id", "file_id", "text"), clean.select("text")
     vocab = cut(vocabulary(clean, pages))
     # At most `frequent` words, whatever the size of the corpus; ties go by the word.
-    top = [r.word for r in vocab.where("n >= 2").orderBy(F.desc("n"), "word").select("word").limit(frequent).collect()]
-    ev = cut(events(pages.where("text is not null"), heads(pages), top))
-    sure = ev.where(F.col("kind").isin("page", "header", "hyphen")).select("id", F.col("kind").alias("defect"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("fix"))
+    # They only save lookups: those that may be misread themselves are looked up like the rest.
+    most = cut(vocab.where("n >= 2").orderBy(F.desc("n"), "word").select(F.col("word").alias("token"), F.col("n").alias("own")).limit(frequent))
+    top = [r.token for r in most.select("token").collect()]
     words = vocab.select("word", "n", "m")
+    doubted = [r.token for r in misreadings(most, words).select("token").collect()]
+    ev = cut(events(pages.where("text is not null"), heads(pages), top, doubted, word_map(vocab)))
+    sure = ev.where(F.col("kind").isin("page", "header", "hyphen")).select("id", F.col("kind").alias("defect"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("fix"))
 
     # Breaks: the hyphen belongs to the text where the hyphenated form is a word and the joined one is not.
     br = ev.where("kind = 'break'").select("id", "a", "b")
@@ -317,20 +359,10 @@ def findings(pages: DataFrame, clean: DataFrame, frequent: int = FREQUENT) -> Da
     # Misread tokens: each distinct one is looked up once.
     tok = ev.where("kind = 'token'").select("id", F.col("a").alias("token"))
     odd = tok.select("token").distinct().join(words.select(F.col("word").alias("token"), F.col("n").alias("own")), "token", "left").fillna({"own": 0})
-
-    def make():
-        def f(tokens, own):
-            a, b, c = [], [], []
-            for t, n in zip(tokens, own):
-                for s in corrections(t):
-                    a.append(t), b.append(n), c.append(s)
-            return a, b, c
-
-        return f
-
-    tries = map_rows(odd, ["token", "own"], make, "token string, own long, word string")
-    best = tries.join(words, "word").where((F.col("n") >= 2) & (F.col("n") >= RARER * F.col("own"))).groupBy("token").agg(F.max(F.struct("n", "word")).alias("w"))
-    misread = tok.join(best.select("token", F.col("w.word").alias("fix")), "token").select("id", F.lit("chars").alias("defect"), F.col("token").alias("a"), F.lit(None).cast("string").alias("b"), "fix")
+    # A word with an exclamation mark is read as it stands, however rare the word is.
+    marked = odd.where("token like '%!%' and not contains(token, '|')").select("token", F.expr("trim(both '!' from token)").alias("word")).where("word <> token")
+    odd = odd.join(marked.join(words.where("n >= 2"), "word").select("token"), "token", "left_anti")
+    misread = tok.join(misreadings(odd, words), "token").select("id", F.lit("chars").alias("defect"), F.col("token").alias("a"), F.lit(None).cast("string").alias("b"), "fix")
 
     # Split words: the halves make a word, and one half is none or the pair is rare against the word.
     pr = ev.where("kind = 'pair'").select("id", "a", "b", F.concat("a", "b").alias("word"))

@@ -144,6 +144,14 @@ def test_defects_of_pages(spark):
     assert set(found(spark, rows)) == want
 
 
+def test_frequent_words_do_not_decide(spark):
+    clean = spark.createDataFrame([(t,) for t in [*CLEAN, *CLEAN, *["Some sum and mer. "] * 500, "It is warrn.", "So warrn it is."]], "text string")
+    rows = [(1, 1, "The cup was warrn today."), (2, 2, "They met before the sum mer break."), *[(10 + i, 10 + i, f"The summer of the form {i} was warm.") for i in range(6)]]
+    for frequent in (0, 5, 50_000):
+        got = {(r.id, r.a, r.b, r.fix) for r in scan.findings(pages(spark, [(*r, 1, "x") for r in rows]), clean, frequent).collect() if r.defect == "chars"}
+        assert got == {(1, "warrn", None, "warm"), (2, "sum", "mer", "summer")}
+
+
 def test_repair(spark):
     p = pages(spark, [(1, 1, "Acme   The report   Rev. 5\n\nThe intake va1ve recorded the agreed tole-\nrance before the sum mer break.\n\n— 12 —", 1, "x"), (2, 1, "Acme   The report   Rev. 5\n\nMore.", 1, "x"), (3, 1, None, 1, "x")])
     got = {r.id: r.repaired for r in scan.repair(p, spark.createDataFrame([(t,) for t in CLEAN], "text string")).collect()}
