@@ -86,14 +86,13 @@ def date_spread(df: DataFrame, column: str, source: str, months: int = 6) -> Dat
     return g.select(F.lit("date_spread").alias("check"), F.lit(column).alias("column"), F.lit("medium").alias("severity"), F.col("n").cast("long").alias("n"), F.col("m").cast("double").alias("share"), F.col("src").alias("detail"))
 
 
-def near_labels(df: DataFrame, column: str, most: int = 200) -> DataFrame:
-    """(label, same_as): spellings of one label, of the `most` frequent labels of 2 to 400.
+def near_labels(df: DataFrame, column: str) -> DataFrame:
+    """(label, same_as, n): spellings of one label, over all labels whatever their number.
 
     Each label is paired with the most frequent one of the same key (ties: the least label).
     """
     v = df.where(~blank(F.col(column))).groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("c"))
-    d = v.agg(F.count(F.lit(1)).alias("d"))
-    v = v.orderBy(F.desc("c"), "label").limit(most).crossJoin(F.broadcast(d)).where("d between 2 and 400").withColumn("key", label_key(F.col("label")))
+    v = v.withColumn("key", label_key(F.col("label")))
     w = Window.partitionBy("key").orderBy(F.desc("c"), "label")
     return v.where("key <> ''").withColumn("same_as", F.first("label").over(w)).where("label <> same_as").select("label", "same_as", F.col("c").alias("n"))
 

@@ -174,6 +174,12 @@ def test_ann_is_exact_below_the_bound_and_calibrated_above(spark, monkeypatch):
     assert recall(ann.search(index, codes, v, q, 10).collect()) >= 0.88  # 200 neighbours only
 
 
+def test_near_labels_of_many(spark):
+    rows = [(f"Dealer {i}",) for i in range(500) for _ in range(2)] + [("DEALER 7 Ltd",), ("the dealer 499",)]
+    got = {(r.label, r.same_as) for r in quality.near_labels(spark.createDataFrame(rows, "dealer string"), "dealer").collect()}
+    assert got == {("DEALER 7 Ltd", "Dealer 7"), ("the dealer 499", "Dealer 499")}
+
+
 def test_locate():
     assert locate.asks_where("where is the turnover report") and not locate.asks_where("where does the report say the deadline is")
     assert locate.score("open turnover report.xlsx", "turnover report.xlsx") == 1.0
