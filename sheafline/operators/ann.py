@@ -246,12 +246,22 @@ def calibrate(index: IvfPq, codes: DataFrame, vectors: DataFrame, k: int = 10, r
         shortlist *= 2
 
 
-def find(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): exact below EXACT_BELOW vectors, through an index from there on."""
-    if vectors.count() < EXACT_BELOW:
-        return exact(vectors, queries, k)
-    index, codes = build(vectors)
-    return search(index, codes, vectors, queries, k)
+def find(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """(qid, id, score, rank): exact below EXACT_BELOW vectors, through an index from there on.
+
+    Any number of queries: about `block` of them are searched at once.
+    """
+    small = vectors.count() < EXACT_BELOW
+    index, codes = (None, None) if small else build(vectors)
+    blocks = max(1, math.ceil(queries.count() / block))
+    out = None
+    for i in range(blocks):
+        q = queries.where(F.pmod(F.xxhash64("qid", F.lit("block")), F.lit(blocks)) == i)
+        part = exact(vectors, q, k) if small else search(index, codes, vectors, q, k)
+        # The tables of a block are not kept for the next one.
+        part = cut(part.select("qid", "id", "score", "rank")) if blocks > 1 else part
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def search(index: IvfPq, codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None, shortlist: int | None = None) -> DataFrame:

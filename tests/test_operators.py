@@ -174,6 +174,17 @@ def test_ann_is_exact_below_the_bound_and_calibrated_above(spark, monkeypatch):
     assert recall(ann.search(index, codes, v, q, 10).collect()) >= 0.88  # 200 neighbours only
 
 
+def test_ann_takes_every_fiftieth_query_in_blocks(spark):
+    from sheafline.plans.relational import QUERIES
+
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "id long, vec array<float>")
+    q = v.selectExpr("id as qid", "vec")
+    assert sorted(map(tuple, ann.find(v, q, 3, block=100).collect())) == sorted(map(tuple, ann.find(v, q, 3).collect()))
+    got = QUERIES["ann_search"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.qid for r in got} == set(range(0, 500, 50)) and len(got) == 100
+
+
 def test_near_labels_of_many(spark):
     rows = [(f"Dealer {i}",) for i in range(500) for _ in range(2)] + [("DEALER 7 Ltd",), ("the dealer 499",)]
     got = {(r.label, r.same_as) for r in quality.near_labels(spark.createDataFrame(rows, "dealer string"), "dealer").collect()}
