@@ -24,7 +24,7 @@ def files_of(spark, sf_dir: str, exts: Sequence[str]) -> DataFrame:
 
 
 def chunks_of(spark, sf_dir: str, exts: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Chunks (id, file_id, text) of files with one of the extensions, and all other chunks."""
+    """Chunks (id, file_id, ord, page, text) of files with one of the extensions, and all other chunks."""
     f = files_of(spark, sf_dir, exts)
-    c = load(spark, sf_dir, "chunks").select("id", "file_id", "text")
+    c = load(spark, sf_dir, "chunks").select("id", "file_id", "ord", F.expr(r"try_cast(regexp_extract(loc, '(?i)^\\s*(?:page|seite|página)\\s+([0-9]{1,6})', 1) as long)").alias("page"), "text")
     return c.join(f, "file_id", "left_semi"), c.join(f, "file_id", "left_anti")

@@ -1,10 +1,12 @@
 """Noise in text from scanned pages: running heads, page numbers, broken words, misread signs.
 
 Running heads are short lines that recur, under a fold of look-alike signs, on other pages of
-the same file; page numbers are lines (or ends of head lines) of a number's form.  What remains
-is joined and checked with a vocabulary counted over the whole corpus: a break is a hyphenation
-unless the hyphenated form is a word of its own, and a token is misread when it is no word but
-undoing one or two look-alike confusions makes it one.
+the same file.  Page numbers are lines (or ends of head lines) whose number continues a sequence
+over the pages of the file; a number that stands alone in its file needs marks of its own
+("- 7 -", "Page 7") or the edge of the page, and every other number belongs to the body.  What
+remains is joined and checked with a vocabulary counted over the whole corpus: a break is a
+hyphenation unless the hyphenated form is a word of its own, and a token is misread when it is no
+word but undoing one or two look-alike confusions makes it one.
 """
 
 from __future__ import annotations
@@ -66,19 +68,77 @@ def fold(line: str) -> str:
     return s
 
 
-def page_parts(line: str) -> tuple[bool, str]:
-    """(holds a page number, the rest of the line)."""
+#: Lines with a page number at one end hold at most so many other signs; a running head is no longer either.
+HEAD_SIGNS = 160
+
+
+def page_token(line: str) -> tuple[str | None, str]:
+    """(what may be a page number, the rest of the line)."""
     if not line.strip():
-        return False, ""
+        return None, ""
     if PAGE_LINE.match(line):
-        return True, ""
+        return line.strip(), ""
     m = PAGE_LEFT.match(line)
-    if m and len(line) - m.end() <= 80:
-        return True, line[m.end() :].strip()
+    if m and len(line) - m.end() <= HEAD_SIGNS:
+        return m.group(1), line[m.end() :].strip()
     m = PAGE_RIGHT.search(line)
-    if m and m.start() <= 80:
-        return True, line[: m.start()].strip()
-    return False, line.strip()
+    if m and m.start() <= HEAD_SIGNS:
+        return m.group(1), line[: m.start()].strip()
+    return None, line.strip()
+
+
+def page_parts(line: str) -> tuple[bool, str]:
+    """(may hold a page number, the rest of the line)."""
+    token, rest = page_token(line)
+    return token is not None, rest
+
+
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+_AS_DIGIT = str.maketrans("OoIlSsBZz|!", "00115582211")
+#: Forms that are marked as page numbers; the others (plain, ratio, roman) are only numbers.
+MARKED = ("dash", "bracket", "word")
+
+
+def page_value(token: str) -> tuple[str, int]:
+    """(form, number) of a page number: 'dash', 'bracket', 'word', 'ratio', 'plain' or 'roman'."""
+    t = token.strip()
+    if t[0] in "—–−-":
+        form = "dash"
+    elif t[0] in "[(":
+        form = "bracket"
+    elif not any(c.isdigit() for c in t) and all(c.lower() in _ROMAN for c in t) and (t.islower() or t.isupper()) and t not in ("l", "I"):
+        v = [_ROMAN[c] for c in t.lower()]
+        return "roman", sum(-x if y > x else x for x, y in zip(v, [*v[1:], 0]))
+    elif t[0].isalpha() and not re.match(_NUM, t):
+        form = "word"
+    elif re.match(r"[Ss](?:e[i!]t|[c.])", t):
+        form = "word"
+    else:
+        form = "ratio" if "/" in t else "plain"
+    m = re.search(rf"(?<![^\W\d_]){_NUM}{{1,4}}(?![^\W\d_])", t if form != "word" else re.sub(r"\A[^\s.\d]+[.\s]?", " ", t))
+    return form, int(m.group(0).translate(_AS_DIGIT)) if m else -1
+
+
+def page_spots(lines: list[str]) -> list[tuple[int, str, int, bool]]:
+    """(line number, form, number, stands apart) of possible page numbers.
+
+    A line stands apart at the edge of the text where no sentence runs on over it: after a blank
+    line or the end of a sentence, or before a blank line or the start of one.
+    """
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    out = []
+    for at, i in enumerate(full):
+        token, rest = page_token(lines[i])
+        if token is None:
+            continue
+        apart = False
+        if not rest and at == len(full) - 1:
+            apart = at == 0 or full[at - 1] < i - 1 or lines[full[at - 1]].rstrip()[-1] in ".!?:"
+        if not rest and at == 0 and len(full) > 1:
+            nxt = lines[full[1]].lstrip()[0]
+            apart = full[1] > i + 1 or nxt.isupper() or not nxt.isalpha()
+        out.append((i, *page_value(token), apart))
+    return out
 
 
 def head_candidates(text: str) -> list[tuple[int, list[str]]]:
@@ -88,7 +148,7 @@ def head_candidates(text: str) -> list[tuple[int, list[str]]]:
     out = []
     for at, i in enumerate(body):
         page, line = parts[i]
-        if len(line) > 80 or line[-1] in ".,;:?!" + HYPHENS and not re.search(r"\s{2,}|\s[–—/|·]\s", line):
+        if len(line) > HEAD_SIGNS or line[-1] in ".,;:?!" + HYPHENS and not re.search(r"\s{2,}|\s[–—/|·]\s", line):
             continue
         if not re.search(r"[^\W\d_]{3}", line) or line[0] in "-*•>|#":
             continue
@@ -115,26 +175,71 @@ def head_candidates(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def heads(pages: DataFrame) -> DataFrame:
-    """(id, head_lines) of pages (id, file_id, text) with lines that recur on other pages.
+#: How far a printed number may be from the page it stands on (unnumbered leaves before it).
+SHIFT = 2
+#: Chunks and numbers that a sequence may skip: cells of the grid in which numbers are compared.
+NEAR_ORD, NEAR_PAGE = 16, 64
+
+
+def _in_sequence(spots: DataFrame) -> DataFrame:
+    """(file_id, form, ord, value) of the numbers that another page of the file continues.
 
-    Keys are counted per file with partial sums; no page of a file is compared with another one.
+    Distinct numbers lie in cells of NEAR_ORD chunks and NEAR_PAGE pages, so however long a file
+    is, a cell holds a bounded number of them, and a number meets only its own cell and the next.
+    """
+    one = spots.where("ord is not null and value >= 0").select("file_id", "form", "ord", "value").distinct()
+    cell = lambda c, n: F.floor(F.col(c) / n)
+    a = one.withColumn("_o", cell("ord", NEAR_ORD)).withColumn("_v", cell("value", NEAR_PAGE))
+    around = F.explode(F.array(*[F.struct((cell("ord", NEAR_ORD) + i).alias("o"), (cell("value", NEAR_PAGE) + j).alias("v")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    b = one.select("file_id", "form", F.col("ord").alias("ord_b"), F.col("value").alias("value_b"), around.alias("c")).select("file_id", "form", "ord_b", "value_b", F.col("c.o").alias("_o"), F.col("c.v").alias("_v"))
+    steps, pages = F.col("ord_b") - F.col("ord"), F.col("value_b") - F.col("value")
+    fits = (F.signum(steps) == F.signum(pages)) & (steps != 0) & (F.abs(pages) * 2 >= F.abs(steps)) & (F.abs(pages) <= 3 * F.abs(steps) + 2)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "file_id" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("file_id", "form", "_o", "_v")]
+    on = same[0] & same[1] & same[2] & same[3]
+    return a.alias("a").join(b.alias("b"), on & fits, "left_semi").select("file_id", "form", "ord", "value")
+
+
+def marks(pages: DataFrame) -> DataFrame:
+    """(id, head_lines, page_lines) of pages (id, file_id, ord, page, text) with running heads or page numbers.
+
+    Keys of heads are counted per file with partial sums; no page of a file is compared with
+    another one.  Numbers of one form are compared along the file (`_in_sequence`), and with
+    the page that the text was read from, where that is known (page).  A number outside of any
+    sequence is a page number only where its form has no sequence in the file: if it is marked
+    as one, or if its line stands apart at the edge of the page.
     """
 
     def make():
-        def f(ids, files, texts):
-            a, b, c, d = [], [], [], []
-            for i, g, t in zip(ids, files, texts):
-                for line, keys in head_candidates(t or ""):
+        def f(ids, files, ords, nos, texts):
+            out = [[] for _ in range(9)]
+            for i, g, o, n, t in zip(ids, files, ords, nos, texts):
+                t = t or ""
+                for line, keys in head_candidates(t):
                     for k in keys:
-                        a.append(i), b.append(g), c.append(line), d.append(k)
-            return a, b, c, d
+                        for c, v in zip(out, (i, g, o, line, k, None, None, None, None)):
+                            c.append(v)
+                for line, form, value, edge in page_spots(t.split("\n")):
+                    for c, v in zip(out, (i, g, o, line, None, form, value, edge, n is not None and abs(n - value) <= SHIFT)):
+                        c.append(v)
+            return out
 
         return f
 
-    c = map_rows(pages, ["id", "file_id", "text"], make, "id long, file_id long, line int, key string")
-    seen = c.groupBy("file_id", "key").agg((F.min("id") != F.max("id")).alias("again")).where("again").drop("again")
-    return c.join(seen, ["file_id", "key"], "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("head_lines"))
+    c = cut(map_rows(pages, ["id", "file_id", "ord", "page", "text"], make, "id long, file_id long, ord long, line int, key string, form string, value long, edge boolean, placed boolean"))
+    keyed = c.where("key is not null").select("id", "file_id", "line", "key")
+    seen = keyed.groupBy("file_id", "key").agg((F.min("id") != F.max("id")).alias("again")).where("again").drop("again")
+    heads_ = keyed.join(seen, ["file_id", "key"], "left_semi").select("id", "line").distinct()
+    spots = c.where("form is not null").drop("key")
+    runs = cut(_in_sequence(spots))
+    forms = runs.select("file_id", "form").distinct().withColumn("_other", F.lit(True))
+    s, r, o = spots.alias("s"), runs.withColumn("_run", F.lit(True)).alias("r"), forms.alias("o")
+    file_ = lambda t: F.col("s.file_id").eqNullSafe(F.col(f"{t}.file_id")) & (F.col("s.form") == F.col(f"{t}.form"))
+    j = s.join(r, file_("r") & (F.col("s.ord") == F.col("r.ord")) & (F.col("s.value") == F.col("r.value")), "left").join(o, file_("o"), "left").select("s.id", "s.line", "s.form", "s.edge", "s.placed", "_run", "_other")
+    # A number beside a running head is its page number.
+    j = j.join(heads_.withColumn("_head", F.lit(True)), ["id", "line"], "left")
+    taken = F.col("placed") | F.col("_run").isNotNull() | F.col("_head").isNotNull() | (F.col("_other").isNull() & (F.col("form").isin(*MARKED) | F.col("edge")))
+    both = heads_.select("id", F.col("line").alias("h"), F.lit(None).cast("int").alias("p")).unionByName(j.where(taken).select("id", F.lit(None).cast("int").alias("h"), F.col("line").alias("p")))
+    return both.groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("head_lines"), F.sort_array(F.collect_set("p")).alias("page_lines"))
 
 
 def vocabulary(clean: DataFrame, pages: DataFrame) -> DataFrame:
@@ -165,8 +270,14 @@ def vocabulary(clean: DataFrame, pages: DataFrame) -> DataFrame:
     return whole.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
+#: Tokens of more signs are no words (links, tables without blanks) and are not corrected.
+WORD_SIGNS = 200
+
+
 def corrections(token: str) -> set[str]:
     """Words a misread token may stand for: one or two confusions undone."""
+    if len(token) > WORD_SIGNS:
+        return set()
     once: set[tuple[str, int]] = set()
 
     def undo(s: str, start: int) -> set[tuple[str, int]]:
@@ -180,9 +291,8 @@ def corrections(token: str) -> set[str]:
 
     once = undo(token, 0)
     found = {s for s, _ in once}
-    if len(token) <= 40:
-        for s, k in once:
-            found.update(x for x, _ in undo(s, k))
+    for s, k in once:
+        found.update(x for x, _ in undo(s, k))
     signs = [s for s in found if s.isalpha()]
     return set(signs) - {token}
 
@@ -224,40 +334,53 @@ def _maybe(word: str, words: bytes) -> bool:
     return bool(words[h >> 3] >> (h & 7) & 1)
 
 
-def _events(text: str, head_lines, frequent: set, safe: set, words: bytes) -> list[tuple[str, str | None, str | None]]:
+def line_break(line: str, after: str) -> tuple[str, str, str, str | None] | None:
+    """(left half, right half, joined, hyphenated) of a word that the end of a line breaks, else
+    None; hyphenated is None where the hyphen is a sign that no word is written with."""
+    if not line or line[-1] not in HYPHENS:
+        return None
+    m, n = re.search(r"([^\W_]*[^\W\d_])[" + HYPHENS + r"]\Z", line), re.match(r"\s*(\S+)", after)
+    if not m or not n:
+        return None
+    left, right = m.group(1), n.group(1).strip(".,;:()[]\"“”„«»?!")
+    if not right or not right[0].isalpha() and right[0] not in "!|1@0569$" or right.split("'")[0].lower() in JOINERS:
+        return None
+    if not right[0].islower() and right[0].isalpha() and not line.isupper():
+        return None
+    before = re.search(r"(\S*)[" + HYPHENS + r"]\Z", line).group(1)
+    kept = (re.sub(r"^\W+", "", before) + "-" + right).lower()
+    return left, right, (left + right).lower(), None if line[-1] in SOFT else kept
+
+
+def body_lines(text: str, head_lines, page_lines) -> list[str]:
+    """The lines of a page without running heads and page numbers; blank lines stay as ''."""
+    heads_at, pages_at, out = set(head_lines or ()), set(page_lines or ()), []
+    for i, x in enumerate(text.split("\n")):
+        if i in heads_at:
+            continue
+        rest = page_token(x)[1] if i in pages_at else x.rstrip(" \t")
+        if rest.strip() or i not in pages_at:
+            out.append(rest if rest.strip() else "")
+    return out
+
+
+def _events(text: str, head_lines, page_lines, frequent: set, safe: set, words: bytes) -> list[tuple[str, str | None, str | None]]:
     """What a page shows: ('page'|'header'|'hyphen', ..), words to look up ('token'), possible
     splits ('pair') and breaks whose hyphen may belong to the text ('break')."""
     out: list[tuple[str, str | None, str | None]] = []
-    lines, heads_at = text.split("\n"), set(head_lines or ())
-    body = []
-    for i, x in enumerate(lines):
-        page, rest = page_parts(x)
-        if page and (not rest or i in heads_at or PAGE_LEFT.match(x) or PAGE_RIGHT.search(x)):
-            out.append(("page", None, None))
-        if i in heads_at:
-            out.append(("header", None, None))
-        elif rest:
-            body.append(rest if page else x.rstrip(" \t"))
+    out += [("page", None, None)] if page_lines else []
+    out += [("header", None, None)] if head_lines else []
+    body = [x for x in body_lines(text, head_lines, page_lines) if x]
     skip: dict[int, int] = {}
     for k, x in enumerate(body[:-1]):
-        if x and x[-1] in HYPHENS:
-            m, n = re.search(r"([^\W_]*[^\W\d_])[" + HYPHENS + r"]\Z", x), re.match(r"\s*(\S+)", body[k + 1])
-            if not m or not n:
-                continue
-            left, right = m.group(1), n.group(1).strip(".,;:()[]\"“”„«»?!")
-            if not right or not right[0].isalpha() and right[0] not in "!|1@0569$" or right.split("'")[0].lower() in JOINERS:
-                continue
-            if not right[0].islower() and right[0].isalpha() and not x.isupper():
-                continue
-            before = re.search(r"(\S*)[" + HYPHENS + r"]\Z", x).group(1)
+        got = line_break(x, body[k + 1])
+        if got:
+            left, right, joined, kept = got
             skip[k] = len(right)
             whole = (left + right.split("'")[0].split("’")[0]).lower()
             if whole not in safe:
                 out.append(("token", whole, None))  # a broken word may be misread as well
-            if x[-1] in SOFT:
-                out.append(("hyphen", None, None))
-            else:
-                out.append(("break", (left + right).lower(), (re.sub(r"^\W+", "", before) + "-" + right).lower()))
+            out.append(("hyphen", None, None) if kept is None else ("break", joined, kept))
     last = None  # the last word of the line before, which a line end may have cut off
     for k, x in enumerate(body):
         toks = list(_tokens(x))
@@ -287,23 +410,23 @@ def _events(text: str, head_lines, frequent: set, safe: set, words: bytes) -> li
     return list(dict.fromkeys(out))
 
 
-def events(pages: DataFrame, head_lines: DataFrame, frequent: list[str], odd: list[str], words: bytes) -> DataFrame:
+def events(pages: DataFrame, marked: DataFrame, frequent: list[str], odd: list[str], words: bytes) -> DataFrame:
     """`odd` are those of the frequent words that the vocabulary may call misread."""
     known = set(frequent)
     safe = known - set(odd)
-    j = pages.join(head_lines, "id", "left")
+    j = pages.join(marked, "id", "left")
 
     def make():
-        def f(ids, texts, hs):
+        def f(ids, texts, hs, ps):
             a, b, c, d = [], [], [], []
-            for i, t, h in zip(ids, texts, hs):
-                for k, x, y in _events(t or "", h, known, safe, words):
+            for i, t, h, p in zip(ids, texts, hs, ps):
+                for k, x, y in _events(t or "", h, p, known, safe, words):
                     a.append(i), b.append(k), c.append(x), d.append(y)
             return a, b, c, d
 
         return f
 
-    return map_rows(j, ["id", "text", "head_lines"], make, EVENTS)
+    return map_rows(j, ["id", "text", "head_lines", "page_lines"], make, EVENTS)
 
 
 #: A correction must be a word this much more frequent than what was read.
@@ -330,16 +453,15 @@ def misreadings(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return best.select("token", F.col("w.word").alias("fix"))
 
 
-def findings(pages: DataFrame, clean: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(id, defect, a, b, fix): every defect of every scanned page.
+def _pages(pages: DataFrame) -> DataFrame:
+    """(id, file_id, ord, page, text), cut: the texts are read several times."""
+    at = [(F.col(c).cast("long") if c in pages.columns else F.lit(None).cast("long")).alias(c) for c in ("ord", "page")]
+    return cut(pages.select("id", "file_id", *at, "text"))
 
-    pages: (id, file_id, text) of scanned files, clean: (text) of the rest of the corpus, whose
-    words make the vocabulary (without any, misread signs cannot be told and are not reported).
-    defect is 'page', 'header', 'hyphen' or 'chars'; a, b and fix tell a misread token, or the
-    two halves of a split word, and the word meant.  Null and empty texts have no defects; a
-    page that stands alone in its file has no running head; repeated ids are one page.
-    """
-    pages, clean = pages.select("id", "file_id", "text"), clean.select("text")
+
+def _analysed(pages: DataFrame, marked: DataFrame, clean: DataFrame, frequent: int) -> DataFrame:
+    """(id, defect, a, b, fix) of cut pages; 'kept' are breaks whose hyphen belongs to the word (a)."""
+    clean = clean.select("text")
     vocab = cut(vocabulary(clean, pages))
     # At most `frequent` words, whatever the size of the corpus; ties go by the word.
     # They only save lookups: those that may be misread themselves are looked up like the rest.
@@ -347,14 +469,15 @@ def findings(pages: DataFrame, clean: DataFrame, frequent: int = FREQUENT) -> Da
     top = [r.token for r in most.select("token").collect()]
     words = vocab.select("word", "n", "m")
     doubted = [r.token for r in misreadings(most, words).select("token").collect()]
-    ev = cut(events(pages.where("text is not null"), heads(pages), top, doubted, word_map(vocab)))
+    ev = cut(events(pages.where("text is not null"), marked, top, doubted, word_map(vocab)))
     sure = ev.where(F.col("kind").isin("page", "header", "hyphen")).select("id", F.col("kind").alias("defect"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("fix"))
 
     # Breaks: the hyphen belongs to the text where the hyphenated form is a word and the joined one is not.
     br = ev.where("kind = 'break'").select("id", "a", "b")
     forms = br.select(F.explode(F.array("a", "b")).alias("word")).distinct().join(words, "word").select("word", F.col("n").alias("c"))
     br = br.join(forms.select(F.col("word").alias("a"), F.col("c").alias("joined")), "a", "left").join(forms.select(F.col("word").alias("b"), F.col("c").alias("kept")), "b", "left")
-    hyphen = br.where(~(F.coalesce("kept", F.lit(0)) > F.coalesce("joined", F.lit(0)))).select("id", F.lit("hyphen").alias("defect"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("fix"))
+    own = F.coalesce("kept", F.lit(0)) > F.coalesce("joined", F.lit(0))
+    hyphen = br.select("id", F.when(own, "kept").otherwise("hyphen").alias("defect"), F.when(own, F.col("b")).alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("fix"))
 
     # Misread tokens: each distinct one is looked up once.
     tok = ev.where("kind = 'token'").select("id", F.col("a").alias("token"))
@@ -374,30 +497,48 @@ def findings(pages: DataFrame, clean: DataFrame, frequent: int = FREQUENT) -> Da
     return sure.unionByName(hyphen).unionByName(misread).unionByName(halves)
 
 
-def repair_text(text: str, head_lines, fixes: dict, frequent: set) -> str:
-    """Continuous paragraphs: heads and page numbers out, breaks joined, misread words put right."""
-    heads_at, out, open_par = set(head_lines or ()), [], ""
+def findings(pages: DataFrame, clean: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """(id, defect, a, b, fix): every defect of every scanned page.
+
+    pages: (id, file_id, text) of scanned files and, where known, their order in the file (ord) and
+    the page that they were read from (page); clean: (text) of the rest of the corpus, whose words make the vocabulary (without any, misread
+    signs cannot be told and are not reported).
+    defect is 'page', 'header', 'hyphen' or 'chars'; a, b and fix tell a misread token, or the
+    two halves of a split word, and the word meant.  Null and empty texts have no defects; a
+    page that stands alone in its file has no running head; without ord and page no number
+    continues a sequence; repeated ids are one page.
+    """
+    pages = _pages(pages)
+    return _analysed(pages, marks(pages), clean, frequent).where("defect <> 'kept'")
+
+
+def repair_text(text: str, head_lines, page_lines, fixes: dict) -> str:
+    """Continuous paragraphs: heads and page numbers out, breaks joined, misread words put right.
+
+    fixes: (token, None) or (half, half) to the word meant; ("kept", form) for breaks whose hyphen
+    stays.
+    """
+    out, open_par, before = [], "", ""
 
     def cased(new: str, old: str) -> str:
         return new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() else new
 
     paragraphs: list[str] = []
-    for i, x in enumerate(text.split("\n")):
-        page, rest = page_parts(x)
-        if i in heads_at or (page and not rest):
-            continue
-        line = (rest if page else x).strip()
+    for x in body_lines(text, head_lines, page_lines):
+        line = x.strip()
         if not line:
             if open_par and open_par[-1] in ".!?:":
                 paragraphs.append(open_par)
                 open_par = ""
             continue
-        if open_par and open_par[-1] in HYPHENS and line[:1].isalpha() and line.split(" ")[0].lower().strip(".,") not in JOINERS:
-            head, tail = re.search(r"(\S*)\Z", open_par[:-1]).group(1), line.split(" ", 1)[0]
-            keep = open_par[-1] == "-" and fixes.get(("keep", (re.sub(r"^\W+", "", head) + "-" + tail.strip(".,;:!?")).lower()))
-            open_par = (open_par if keep else open_par[:-1]) + line
+        got = line_break(before, line) if open_par else None
+        if got and not (got[3] is not None and ("kept", got[3]) in fixes):
+            open_par = open_par[:-1] + line
+        elif got or open_par and open_par[-1] in HYPHENS and not open_par[-2:-1].isspace() and line[:1].isalnum() and line.split(" ")[0].lower().strip(".,") not in JOINERS:
+            open_par += line  # the hyphen stays
         else:
             open_par = open_par + " " + line if open_par else line
+        before = x.rstrip()
     if open_par:
         paragraphs.append(open_par)
     for p in paragraphs:
@@ -423,14 +564,19 @@ def repair_text(text: str, head_lines, fixes: dict, frequent: set) -> str:
 
 def repair(pages: DataFrame, clean: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """(id, repaired) of every scanned page; null stays null, an empty text stays empty."""
-    pages = pages.select("id", "file_id", "text")
-    f = findings(pages, clean, frequent).where("defect = 'chars'").groupBy("id").agg(F.collect_set(F.struct("a", "b", "fix")).alias("fixes"))
-    j = pages.join(heads(pages), "id", "left").join(f, "id", "left")
+    pages = _pages(pages)
+    marked = cut(marks(pages))
+    f = _analysed(pages, marked, clean, frequent).where("defect in ('chars', 'kept')").groupBy("id").agg(F.collect_set(F.struct("defect", "a", "b", "fix")).alias("fixes"))
+    j = pages.join(marked, "id", "left").join(f, "id", "left")
 
     def make():
-        def g(ids, texts, hs, fx):
-            return ids, [None if t is None else repair_text(t, h, {(x["a"], x["b"]): x["fix"] for x in (f or ())}, set()) for t, h, f in zip(texts, hs, fx)]
+        def g(ids, texts, hs, ps, fx):
+            out = []
+            for t, h, p, f in zip(texts, hs, ps, fx):
+                fixes = {("kept", x["a"]) if x["defect"] == "kept" else (x["a"], x["b"]): x["fix"] for x in (f or ())}
+                out.append(None if t is None else repair_text(t, h, p, fixes))
+            return ids, out
 
         return g
 
-    return map_rows(j, ["id", "text", "head_lines", "fixes"], make, "id long, repaired string")
+    return map_rows(j, ["id", "text", "head_lines", "page_lines", "fixes"], make, "id long, repaired string")

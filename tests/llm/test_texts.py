@@ -170,6 +170,68 @@ def test_page_numbers(line, page, rest):
     assert scan.page_parts(line) == (page, rest)
 
 
+def ordered(spark, rows, page=None):
+    return spark.createDataFrame([(*r, page) for r in rows], "id long, file_id long, ord long, text string, page long")
+
+
+def repaired(spark, rows, page=None, clean=CLEAN):
+    return {r.id: r.repaired for r in scan.repair(ordered(spark, rows, page), spark.createDataFrame([(t,) for t in clean], "text string")).collect()}
+
+
+def test_numbers_of_the_body_stay(spark):
+    body = "Pumps delivered in week 12:\n42\nwere counted. Size is\nXL\nand area\n1999"
+    flat = body.replace("\n", " ")
+    assert repaired(spark, [(1, 1, None, body)]) == {1: flat}
+    # Neither do numbers without a sequence go where the file's own page numbers are known.
+    run = [(i, 1, i, f"{body}\n\n{30 + 2 * i}") for i in range(4)]
+    assert repaired(spark, run) == {i: flat for i in range(4)}
+
+
+def test_page_numbers_continue_over_the_file(spark):
+    rows = [(i, 1, i, f"The intake valve recorded the\n{7 + i}\nagreed tolerance {i * i}.\n\n{90 - 31 * i % 17}") for i in range(40)]
+    got = scan.findings(ordered(spark, rows), spark.createDataFrame([], "text string")).where("defect = 'page'").select("id").distinct().count()
+    assert got == 40
+    out = repaired(spark, rows)
+    assert all(out[i].startswith(f"The intake valve recorded the agreed tolerance {i * i}.") for i in range(40))
+    assert repaired(spark, [(1, 1, 0, "The intake valve recorded\n12\nthe agreed tolerance.")], 11) == {1: "The intake valve recorded the agreed tolerance."}
+
+
+def test_written_hyphens_stay(spark):
+    clean = [*CLEAN, *["A well-known state-of-the-art design."] * 3]
+    rows = [(1, 1, 0, "It is a state-of-the-\nart valve, well-\nknown for its tole-\nrance, in- and\nInlet-\nOutlet."), (2, 1, 1, "Range 5-\n7 of it -\nand more.")]
+    got = repaired(spark, rows, clean=clean)
+    assert got == {1: "It is a state-of-the-art valve, well-known for its tolerance, in- and Inlet-Outlet.", 2: "Range 5-7 of it - and more."}
+    found_ = scan.findings(ordered(spark, rows), spark.createDataFrame([(t,) for t in clean], "text string")).where("defect = 'hyphen'").count()
+    assert found_ == 1
+
+
+def test_repair_loses_no_sign_of_the_body(spark):
+    import re
+
+    r = random.Random(4)
+    words = "valve 42 XL tolerance ix 3/4 [13] agreed-upon état 1999 in- and Page p. 7".split()
+    rows = [(i, i % 3, i, "\n".join(" ".join(r.choice(words) for _ in range(r.randint(1, 7))) for _ in range(12))) for i in range(60)]
+    plain = ordered(spark, rows)
+    gone = {x.id: (set(x.head_lines), set(x.page_lines)) for x in scan.marks(plain).collect()}
+    out = repaired(spark, rows, clean=[])
+    squeeze = lambda s: re.sub(r"[\s-]", "", s)
+    for i, _, _, t in rows:
+        h, p = gone.get(i, (set(), set()))
+        left = "".join(scan.page_token(x)[1] if k in p else x for k, x in enumerate(t.split("\n")) if k not in h)
+        assert squeeze(out[i]) == squeeze(left)
+
+
+@pytest.mark.parametrize("token,want", [("— 12 —", ("dash", 12)), ("Page 3 / 9", ("word", 3)), ("p. 4O", ("word", 40)), ("xiv", ("roman", 14)), ("[3O]", ("bracket", 30)), ("2l", ("plain", 21)), ("3/4", ("ratio", 3)), ("Se!te 2", ("word", 2)), ("S. 4", ("word", 4))])
+def test_values_of_page_numbers(token, want):
+    assert scan.page_value(token) == want
+
+
+def test_long_tokens_are_corrected():
+    w = "Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft".lower()
+    assert w in scan.corrections(w.replace("d", "cl", 1).replace("m", "rn", 1))
+    assert scan.corrections("m" * 100_000) == set()
+
+
 # --- leaks -----------------------------------------------------------------------------
 def brute_run(a, b):
     best = 0
