@@ -1,24 +1,27 @@
 """Column-level data quality profile from columnar files.
 
-The footers of the files are read first, as a Spark job with a row per (file, row group).  A
-column chunk whose footer holds exact statistics (null count, and extrema of a numeric type)
-and whose row group belongs to one load needs no decoding for rates and ranges.  Where distinct
-counts or value checks are asked for, dictionary-encoded chunks are read as dictionaries: the
-distinct candidates are the dictionary, and counts are taken per entry.  All else is scanned,
-column by column, one row group at a time, so a task never holds more than a row group.
+The footers of the files are read first, as a Spark job with a row per (file, row group, column).
+Each column chunk then takes the cheapest way that is exact (`plan`):
+
+* `footer`: all values null, or one repeated integer, in a row group of one load: nothing is read;
+* `dictionary`: exact statistics (null count, and extrema of a numeric type) in a row group of one
+  load, and no one asks for counts: rates and ranges come from the footer, and the dictionary's
+  entries are the distinct candidates;
+* `scan`: all else, column by column, one row group at a time, so a task never holds more than a
+  row group.  Values are counted where they lie, by dictionary code where the chunk has one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafline.operators.ranks import value_at_rank
-from sheafline.session import load
+from sheafline.session import cut, load
 
 COUNTS = "load string, column string, value string, num double, n long"
 
@@ -30,37 +33,46 @@ def footers(spark: SparkSession, path: str, load_col: str, columns: Sequence[str
     and hi may be used as they stand (statistics present, numeric type, no NaN possible or seen).
     An empty table gives no rows.
     """
-    files = spark.read.parquet(path).inputFiles()
-    if not files:
-        return spark.createDataFrame([], "file string, row_group int, column string, rows long, load string, nulls long, lo string, hi string, exact boolean, dictionary boolean")
+    columns = list(columns)
+    schema = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("column", pa.string()), ("rows", pa.int64()), ("load", pa.string()), ("nulls", pa.int64()), ("lo", pa.string()), ("hi", pa.string()), ("exact", pa.bool_()), ("floating", pa.bool_()), ("dictionary", pa.bool_())])
 
-    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        for pdf in it:
-            for uri in pdf["file"]:
+        for batch in it:
+            for uri in batch.column(0).to_pylist():
                 with _opened(uri) as src:
                     md = pq.ParquetFile(src).metadata
-                names = [md.schema.column(i).path for i in range(md.num_columns)]
+                names = {md.schema.column(i).path: i for i in range(md.num_columns)}
                 out = []
                 for g in range(md.num_row_groups):
                     rg = md.row_group(g)
                     one = None
-                    if load_col in names and (s := rg.column(names.index(load_col)).statistics) is not None and s.has_min_max and s.null_count == 0 and s.min == s.max:
+                    # Bounds of texts may be cut short: two equal bounds name the load only if they are short enough to be whole.
+                    if load_col in names and (s := rg.column(names[load_col]).statistics) is not None and s.has_min_max and s.null_count == 0 and s.min == s.max and len(str(s.min)) < SHORT:
                         one = str(s.min)
                     for c in columns:
                         if c not in names:
                             continue
-                        ch = rg.column(names.index(c))
+                        ch = rg.column(names[c])
                         s = ch.statistics
-                        numeric = ch.physical_type in ("INT32", "INT64", "DOUBLE", "FLOAT")
+                        numeric = ch.physical_type in ("INT32", "INT64", "DOUBLE", "FLOAT") and md.schema.column(names[c]).logical_type.type in NUMBERS
                         whole = s is not None and s.has_null_count
                         has = whole and s.has_min_max and numeric
                         exact = whole and (has or s.null_count == rg.num_rows)
-                        out.append((uri, g, c, rg.num_rows, one, s.null_count if whole else None, str(s.min) if has else None, str(s.max) if has else None, bool(exact), "RLE_DICTIONARY" in ch.encodings or "PLAIN_DICTIONARY" in ch.encodings))
-                yield pd.DataFrame(out, columns=["file", "row_group", "column", "rows", "load", "nulls", "lo", "hi", "exact", "dictionary"])
+                        out.append((uri, g, c, rg.num_rows, one, s.null_count if whole else None, str(s.min) if has else None, str(s.max) if has else None, bool(exact), ch.physical_type in ("DOUBLE", "FLOAT"), "RLE_DICTIONARY" in ch.encodings or "PLAIN_DICTIONARY" in ch.encodings))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
-    return spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files) if len(files) < 10_000 else 10_000).mapInPandas(read, "file string, row_group int, column string, rows long, load string, nulls long, lo string, hi string, exact boolean, dictionary boolean")
+    # The names of the files stay in Spark; their bytes are not touched.
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return names.mapInArrow(read, FOOTER)
+
+
+FOOTER = "file string, row_group int, column string, rows long, load string, nulls long, lo string, hi string, exact boolean, floating boolean, dictionary boolean"
+#: Writers cut bounds of texts at 64 bytes or more.
+SHORT = 32
+NUMBERS = ("INT", "NONE")
 
 
 def _opened(uri: str):
@@ -75,39 +87,79 @@ def _opened(uri: str):
     return f.open_input_file(p)
 
 
+def plan(foot: DataFrame, counted: Sequence[str] = ()) -> DataFrame:
+    """`foot` with `way`: footer, dictionary or scan.  counted: columns whose values must be counted."""
+    alone = F.col("load").isNotNull() & F.col("exact")
+    constant = (F.col("nulls") == F.col("rows")) | ((F.col("nulls") == 0) & (F.col("lo") == F.col("hi")) & ~F.col("floating"))
+    way = F.when(alone & constant, "footer").when(alone & F.col("dictionary") & ~F.col("column").isin(list(counted)), "dictionary").otherwise("scan")
+    return foot.withColumn("way", way)
+
+
+_COUNTS = pa.schema([("load", pa.string()), ("column", pa.string()), ("value", pa.string()), ("num", pa.float64()), ("n", pa.int64())])
+
+
 def value_counts(foot: DataFrame, load_col: str, parts: int | None = None) -> DataFrame:
-    """(load, column, value, num, n): the values of the chunks in `foot`, counted per row group.
+    """(load, column, value, num, n): the values of the chunks in `foot` (of `plan`, or of
+    `footers`, which scans all), counted per row group.
 
     Value is the text of a value as it stands (null for null), num its number for numeric
-    columns.  A row group is the unit of work and of memory.
+    columns.  n is 0 for the candidates of a dictionary.  A row group is the unit of work and of
+    memory.
     """
+    if "way" not in foot.columns:
+        foot = foot.withColumn("way", F.lit("scan"))
 
-    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
-        for pdf in it:
-            for (uri, g), todo in pdf.groupby(["file", "row_group"], sort=False):
-                dicts = [c for c, d in zip(todo["column"], todo["dictionary"]) if d]
-                with _opened(uri) as src:
-                    pf = pq.ParquetFile(src, read_dictionary=[*dicts, load_col])
-                    keys = pf.read_row_group(int(g), columns=[load_col]).column(0)
-                    keys = pc.cast(keys, pa.string()) if not pa.types.is_dictionary(keys.type) else keys
-                    for c in todo["column"]:
-                        v = pf.read_row_group(int(g), columns=[c]).column(0)
-                        got = pa.table({"load": keys, "v": v}).combine_chunks().group_by(["load", "v"]).aggregate([([], "count_all")])
-                        v = got["v"].combine_chunks()
-                        if pa.types.is_dictionary(v.type):
-                            v = v.dictionary_decode()
-                        num = pc.cast(v, pa.float64()) if pa.types.is_floating(v.type) or pa.types.is_integer(v.type) else pa.nulls(len(v), pa.float64())
-                        ld = got["load"].combine_chunks()
-                        ld = ld.dictionary_decode() if pa.types.is_dictionary(ld.type) else ld
-                        yield pd.DataFrame({"load": ld.to_pandas(), "column": c, "value": pc.cast(v, pa.string()).to_pandas(), "num": num.to_pandas(), "n": got["count_all"].to_pandas()})
+        def batch(load: pa.Array, column: str, v: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            v = v.dictionary_decode() if pa.types.is_dictionary(v.type) else v
+            number = pa.types.is_floating(v.type) or pa.types.is_integer(v.type)
+            num = pc.cast(v, pa.float64()) if number else pa.nulls(len(v), pa.float64())
+            load = load.dictionary_decode() if pa.types.is_dictionary(load.type) else load
+            return pa.RecordBatch.from_arrays([load.cast(pa.string()), pa.array([column] * len(v), pa.string()), pc.cast(v, pa.string()), num, n.cast(pa.int64())], schema=_COUNTS)
+
+        # Rows come sorted by row group; what belongs to one is gathered across batches.
+        last, todo = None, []
+
+        def work(key, todo) -> Iterator[pa.RecordBatch]:
+            uri, g = key
+            with _opened(uri) as src:
+                pf = pq.ParquetFile(src, read_dictionary=[*[t["column"] for t in todo if t["dictionary"]], load_col])
+                keys = None
+                for t in todo:
+                    c = t["column"]
+                    v = pf.read_row_group(g, columns=[c]).column(0).combine_chunks()
+                    v = pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v
+                    if t["way"] == "dictionary":
+                        u = v.unique().drop_null()  # an entry that no row uses is no value
+                        yield batch(pa.array([t["load"]] * len(u), pa.string()), c, u, pa.array([0] * len(u), pa.int64()))
+                        continue
+                    if keys is None:
+                        keys = pf.read_row_group(g, columns=[load_col]).column(0).combine_chunks()
+                        keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
+                        keys = keys if pa.types.is_dictionary(keys.type) else pc.cast(keys, pa.string())
+                    got = pa.table({"load": keys, "v": v}).group_by(["load", "v"]).aggregate([([], "count_all")]).combine_chunks()
+                    for b in got.to_batches():
+                        yield batch(b.column("load"), c, b.column("v"), b.column("count_all"))
+
+        for b in it:
+            for t in b.to_pylist():
+                key = (t["file"], t["row_group"])
+                if key != last and todo:
+                    yield from work(last, todo)
+                    todo = []
+                last = key
+                todo.append(t)
+        if todo:
+            yield from work(last, todo)
 
     n = parts or max(1, foot.sparkSession.sparkContext.defaultParallelism)
-    counts = foot.repartition(n, "file", "row_group").mapInPandas(read, COUNTS)
-    return counts.groupBy("load", "column", "value", "num").agg(F.sum("n").alias("n"))
+    todo = foot.where("way <> 'footer'").select("file", "row_group", "column", "load", "dictionary", "way")
+    counts = todo.repartition(n, "file", "row_group").sortWithinPartitions("file", "row_group").mapInArrow(read, COUNTS)
+    told = foot.where("way = 'footer'").select("load", "column", F.col("lo").alias("value"), F.col("lo").cast("double").alias("num"), F.col("rows").alias("n"))
+    return counts.unionByName(told).groupBy("load", "column", "value", "num").agg(F.sum("n").alias("n"))
 
 
 def exact_median(counts: DataFrame, keys: Sequence[str], value: str = "num", n: str = "n") -> DataFrame:
@@ -124,18 +176,19 @@ def filled(c: Column) -> Column:
     return c.isNotNull() & (F.length(F.regexp_replace(c, r"^\s+|\s+$", "")) > 0)
 
 
-def profile(counts: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+def profile(counts: DataFrame, patterns: dict[str, str] | None = None, foot: DataFrame | None = None) -> DataFrame:
     """Per (load, column): n_rows, n_filled, n_distinct, lo, hi (text), lo_num, hi_num, n_bad.
 
-    Distinct and extrema are of filled values as they stand.  n_bad counts filled values that do
-    not have the column's form (null pattern: none).  Columns without a filled value have null
-    extrema and a distinct count of 0.
+    foot: the footers after `plan`, whose dictionary chunks gave `counts` candidates only; their
+    rates and ranges come from here.  Distinct and extrema are of filled values as they stand.
+    n_bad counts filled values that do not have the column's form (null pattern: none).  Columns
+    without a filled value have null extrema and a distinct count of 0.
     """
     ok = filled(F.col("value"))
     bad = F.lit(False)
     for c, rx in (patterns or {}).items():
         bad = bad | ((F.col("column") == c) & ok & ~F.col("value").rlike(rx))
-    return counts.groupBy("load", "column").agg(
+    got = counts.groupBy("load", "column").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("n_filled"),
         F.sum(F.when(ok, 1).otherwise(0)).cast("long").alias("n_distinct"),
@@ -145,13 +198,21 @@ def profile(counts: DataFrame, patterns: dict[str, str] | None = None) -> DataFr
         F.max(F.when(ok, F.col("num"))).alias("hi_num"),
         F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("n_bad"),
     )
+    if foot is None:
+        return got
+    text, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    known = footer_ranges(foot.where("way = 'dictionary'")).select("load", "column", "n_rows", "n_filled", zero.alias("n_distinct"), text.alias("lo"), text.alias("hi"), "lo_num", "hi_num", zero.alias("n_bad"))
+    sums, least, most = ("n_rows", "n_filled", "n_distinct", "n_bad"), ("lo", "lo_num"), ("hi", "hi_num")
+    whole = got.unionByName(known).groupBy("load", "column").agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
+    return whole.select(*got.columns)
 
 
 def footer_ranges(foot: DataFrame) -> DataFrame:
     """(load, column, n_rows, n_filled, lo_num, hi_num, sufficient) from footers alone.
 
     `sufficient` is false where any chunk of the load lacks exact statistics or shares its row
-    group with another load; such loads have to be scanned.
+    group with another load; such loads have to be scanned.  The extrema of a footer leave NaN
+    out; `profile` has them from the dictionary.
     """
     return foot.groupBy("load", "column").agg(
         F.sum("rows").alias("n_rows"),
@@ -215,12 +276,31 @@ def issues(prof: DataFrame, counts: DataFrame, catalog: DataFrame, loads: DataFr
     return wrong.unionByName(step).unionByName(moved).unionByName(drift).select(F.col("load").alias("table_name"), F.col("column").alias("column_name"), "issue")
 
 
+#: Columns of tickets whose values must be counted: medians and shares against the load before.
+TICKET_COUNTED = ("hours", "amount", "region", "status")
+
+
+def table_profile(spark: SparkSession, path: str, load_col: str, columns: Sequence[str], patterns: dict[str, str] | None = None, counted: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile, counts, footers with their way) of the loads of a Parquet table.
+
+    Columns with a pattern are counted, so that every malformed value is told.  Missing columns
+    give no rows, an empty table gives none at all.
+    """
+    foot = cut(plan(footers(spark, path, load_col, columns), [*counted, *(patterns or {})]))
+    counts = cut(value_counts(foot, load_col))
+    return profile(counts, patterns, foot), counts, foot
+
+
 def ticket_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole check of `tickets` against the catalogue (TESTDATA p7_found)."""
-    foot = footers(spark, f"{sf_dir}/tickets.parquet", "table_name", TICKET_COLUMNS)
-    counts = value_counts(foot, "table_name")
-    prof = profile(counts, TICKET_PATTERNS)
-    return issues(prof, counts, load(spark, sf_dir, "catalog_columns"), load(spark, sf_dir, "catalog_tables"))
+    prof, counts, _ = table_profile(spark, f"{sf_dir}/tickets.parquet", "table_name", TICKET_COLUMNS, TICKET_PATTERNS, TICKET_COUNTED)
+    # A row per load and column; the checks read it several times.
+    return issues(cut(prof), counts, load(spark, sf_dir, "catalog_columns"), load(spark, sf_dir, "catalog_tables"))
+
+
+def chunk_report(foot: DataFrame) -> DataFrame:
+    """(column, way, chunks, rows): how many chunks the footer answers, and how many are read."""
+    return foot.groupBy("column", "way").agg(F.count(F.lit(1)).alias("chunks"), F.sum("rows").alias("rows"))
 
 
 SCHEMA = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("column_name", T.StringType()), T.StructField("issue", T.StringType())])

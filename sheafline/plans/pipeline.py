@@ -18,12 +18,17 @@ def p7_found(spark, sf_dir):
 
 def p7_profile(spark, sf_dir):
     """The true profile of every load and column of tickets."""
-    foot = profile.footers(spark, f"{sf_dir}/tickets.parquet", "table_name", profile.TICKET_COLUMNS)
-    p = profile.profile(profile.value_counts(foot, "table_name"), profile.TICKET_PATTERNS)
+    p = profile.table_profile(spark, f"{sf_dir}/tickets.parquet", "table_name", profile.TICKET_COLUMNS, profile.TICKET_PATTERNS)[0]
     return p.selectExpr("load as table_name", "column as column_name", "n_rows", "n_filled", "n_distinct", "n_bad")
 
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_profile": p7_profile}
+def p7_chunks(spark, sf_dir):
+    """How many column chunks of tickets the footers answer, and how many are read."""
+    foot = profile.plan(profile.footers(spark, f"{sf_dir}/tickets.parquet", "table_name", profile.TICKET_COLUMNS), [*profile.TICKET_COUNTED, *profile.TICKET_PATTERNS])
+    return profile.chunk_report(foot)
+
+
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_profile": p7_profile, "p7_chunks": p7_chunks}
 
 _HASH = "nullif(regexp_replace(lower(trim(hash)), '^(sha-?256|sha-?1|md5)\\s*[:=]\\s*', ''), '')"
 _LONG = """

@@ -57,3 +57,34 @@ def test_issues_against_the_load_before(spark):
     loads = spark.createDataFrame([("l2", "s", 2), ("l1", "s", 1)], "name string, series string, load_no long")
     got = sorted(map(tuple, p.issues(p.profile(counts), counts, cat, loads).collect()))
     assert got == [("l2", "hours", "hi"), ("l2", "hours", "shift"), ("l2", "region", "null_rate"), ("l2", "region", "shift")]
+
+
+@pytest.fixture()
+def by_load(tmp_path):
+    """A row group per load, of which some columns need no reading."""
+    nan = float("nan")
+    t = pa.table({"load": ["x"] * 5 + ["y"] * 5, "a": ["1", " ", None, "2", "2"] + [None] * 5, "b": [1.0, 2.0, None, 4.0, 4.0] + [7.0, nan, 7.0, None, 1.5], "c": [3] * 5 + [1, 2, None, 2, 9], "d": [None] * 5 + [5] * 5})
+    pq.write_table(t, tmp_path / "one.parquet", row_group_size=5)
+    return str(tmp_path)
+
+
+def test_footers_and_dictionaries_replace_the_scan(spark, by_load):
+    cols = ("a", "b", "c", "d")
+    scanned = p.profile(p.value_counts(p.footers(spark, by_load, "load", cols), "load"))
+    got, _, foot = p.table_profile(spark, by_load, "load", cols)
+    key = lambda df: sorted(map(str, df.select("load", "column", "n_rows", "n_filled", "n_distinct", "lo_num", "hi_num", "n_bad").collect()))
+    assert key(got) == key(scanned)
+    way = {(r.load, r.column): r.way for r in foot.collect()}
+    assert way == {("x", "a"): "scan", ("y", "a"): "footer", ("x", "b"): "dictionary", ("y", "b"): "dictionary", ("x", "c"): "footer", ("y", "c"): "dictionary", ("x", "d"): "footer", ("y", "d"): "footer"}
+    assert {(r.column, r.way): r.chunks for r in p.chunk_report(foot).collect()}["d", "footer"] == 2
+    # Columns whose values are compared are counted, whatever their footers hold.
+    assert {r.way for r in p.plan(foot.drop("way"), ["b"]).where("column = 'b'").collect()} == {"scan"}
+
+
+def test_rates_and_ranges_come_from_the_footer(spark, by_load):
+    from pyspark.sql import functions as F
+
+    foot = p.plan(p.footers(spark, by_load, "load", ("c",)))
+    other = foot.withColumn("nulls", F.when(F.col("way") == "dictionary", F.lit(4)).otherwise(F.col("nulls"))).withColumn("lo", F.when(F.col("way") == "dictionary", F.lit("-8")).otherwise(F.col("lo")))
+    r = {x.load: x for x in p.profile(p.value_counts(other, "load"), None, other).collect()}["y"]
+    assert (r.n_filled, r.lo_num, r.n_distinct) == (1, -8.0, 3)
