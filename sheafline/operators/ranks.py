@@ -11,27 +11,39 @@ AROUND_MEDIAN = (0.1, 0.25, 0.4, 0.45, 0.48, 0.49, 0.495, 0.499, 0.501, 0.505, 0
 AROUND_P99 = (0.5, 0.75, 0.9, 0.95, 0.97, 0.98, 0.985, 0.988, 0.989, 0.991, 0.992, 0.995)
 
 
-def value_at_rank(rows: DataFrame, ranks: dict[str, Column], keys: Sequence[str] = (), near: Sequence[float] = AROUND_MEDIAN) -> DataFrame:
+#: Rows of a group that one task sorts; larger groups are cut into ranges first.
+SORTED_AT_ONCE = 100_000
+
+
+def value_at_rank(rows: DataFrame, ranks: dict[str, Column], keys: Sequence[str] = (), near: Sequence[float] = AROUND_MEDIAN, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     """keys + (n, hi, which, at): the value at 1-based ranks of values `v` that occur `c` times.
 
-    ranks are expressions of the group's total `n`.  Approximate quantiles near the ranks cut a
-    group; exact counts below each cut tell between which two a rank lies, and only the values
-    between them are sorted.  However rough the quantiles, the result is exact.
+    ranks are expressions of the group's total `n`.  Groups of at most `at_once` rows are sorted.
+    Of larger ones approximate quantiles near the ranks make a few ranges; exact counts of the
+    ranges tell in which one a rank lies, and only the values of that range are sorted.  However
+    rough the quantiles, the result is exact.  Null values have no rank.
     """
     keys = list(keys)
-    rows = rows.select(*keys, "v", "c")
-    a = rows.groupBy(*keys).agg(F.percentile_approx("v", list(near), 10_000).alias("p"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")).where(F.col("n").isNotNull())
-    a = a.select(*keys, "n", "hi", F.concat(F.array("lo"), "p", F.array("hi")).alias("cuts"))
-    joined = rows.join(a, keys) if keys else rows.crossJoin(F.broadcast(a))  # without keys `a` is one row
-    k = len(near) + 2
-    count = lambda test: F.array(*[F.sum(F.when(test(F.col("v"), F.col("cuts")[i]), F.col("c")).otherwise(0)) for i in range(k)])
-    s = joined.groupBy(*keys).agg(F.max("n").alias("n"), F.max("hi").alias("hi"), F.max("cuts").alias("cuts"), count(lambda v, x: v < x).alias("lt"), count(lambda v, x: v <= x).alias("le"))
-    s = s.select(*keys, "n", "hi", "cuts", "lt", "le", F.explode(F.array(*[F.struct(F.lit(w).alias("which"), r.cast("long").alias("r")) for w, r in ranks.items()])).alias("x")).select("*", "x.*").drop("x")
-    below = F.filter(F.arrays_zip("lt", "cuts"), lambda z: z["lt"] < F.col("r"))
-    reach = F.filter(F.arrays_zip("le", "cuts"), lambda z: z["le"] >= F.col("r"))
-    s = s.select(*keys, "n", "hi", "which", "r", F.array_max(below).alias("b"), F.array_min(F.transform(reach, lambda z: z["cuts"])).alias("_to")).select(*keys, "n", "hi", "which", "r", F.col("b.lt").alias("before"), F.col("b.cuts").alias("_from"), "_to")
-    m = rows.join(s, keys) if keys else rows.crossJoin(F.broadcast(s))  # a row per rank
-    m = m.where((F.col("v") >= F.col("_from")) & (F.col("v") <= F.col("_to"))).groupBy(*keys, "n", "hi", "which", "r", "before", "v").agg(F.sum("c").alias("c"))
-    end = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "which").orderBy("v"))
-    m = m.withColumn("_end", end)
-    return m.where((F.col("_end") >= F.col("r")) & (F.col("_end") - F.col("c") < F.col("r"))).select(*keys, "n", "hi", "which", F.col("v").alias("at"))
+    rows = rows.select(*keys, "v", "c").where("v is not null")
+    wanted = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), r.cast("long").alias("r")) for w, r in ranks.items()])).alias("x")
+    reached = (F.col("_end") >= F.col("x.r")) & (F.col("_end") - F.col("_c") < F.col("x.r"))
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.max("v").alias("hi"), F.sum("c").alias("n")).where("n is not null")
+    sized = rows.join(size, keys) if keys else rows.crossJoin(F.broadcast(size))  # without keys `size` is one row
+
+    few = sized.where(F.col("_k") <= at_once).groupBy(*keys, "n", "hi", "v").agg(F.sum("c").alias("_c")).withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("v")))
+    few = few.select("*", wanted).where(reached).select(*keys, "n", "hi", "x.which", F.col("v").alias("at"))
+
+    many = sized.where(F.col("_k") > at_once)
+    a = many.groupBy(*keys).agg(F.percentile_approx("v", list(near), 10_000).alias("cuts"))
+    cut_ = many.join(a, keys) if keys else many.crossJoin(F.broadcast(a))  # one row again
+    above = sum((F.when(F.col("v") > F.col("cuts")[i], 1).otherwise(0) for i in range(len(near))), F.lit(0))
+    cut_ = cut_.select(*keys, "v", "c", "n", "hi", above.alias("_range"))
+    # At most len(near) + 1 rows of a group.
+    s = cut_.groupBy(*keys, "_range").agg(F.sum("c").alias("_c"), F.max("n").alias("n"), F.max("hi").alias("hi"))
+    s = s.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range")))
+    s = s.select("*", wanted).where(reached).select(*keys, "_range", "n", "hi", "x.which", "x.r", (F.col("_end") - F.col("_c")).alias("before"))
+    m = cut_.select(*keys, "_range", "v", "c").join(s, [*keys, "_range"])
+    m = m.groupBy(*keys, "n", "hi", "which", "r", "before", "v").agg(F.sum("c").alias("c"))
+    m = m.withColumn("_end", F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "which").orderBy("v")))
+    m = m.where((F.col("_end") >= F.col("r")) & (F.col("_end") - F.col("c") < F.col("r"))).select(*keys, "n", "hi", "which", F.col("v").alias("at"))
+    return few.unionByName(m)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,10 +53,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: `df` as a table written to the shared folder.
+
+    A table survives lost executors like a checkpoint; unlike one it is compressed, read by
+    column, and its true size is known to the optimizer, which would otherwise guess the size of
+    what comes out of Python and might broadcast it.
+    """
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -65,7 +73,6 @@ def ship_package(spark: SparkSession) -> None:
     temporary folder.
     """
     import io
-    import uuid
     import zipfile
     from pathlib import Path
 

@@ -49,6 +49,18 @@ def test_exact_median(spark, values):
     assert [(r.k, r.median) for r in p.exact_median(df, ["k"]).collect()] == [("g", statistics.median(values))]
 
 
+def test_ranks_of_groups_larger_than_a_sort(spark):
+    from pyspark.sql import functions as F
+
+    from sheafline.operators.ranks import value_at_rank
+
+    r = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1013).cast("double").alias("v"), (F.col("id") % 4 + 1).alias("c"))
+    ranks = {"low": F.lit(1), "mid": F.floor((F.col("n") + 1) / 2), "high": F.col("n")}
+    for keys in (["k"], []):
+        got = [sorted(map(tuple, value_at_rank(r, ranks, keys, at_once=n).collect())) for n in (100, 100_000)]
+        assert got[0] == got[1] and len(got[0]) == 3 * (3 if keys else 1)
+
+
 def test_issues_against_the_load_before(spark):
     rows = [("l1", c, "A", None, 8) for c in ("region",)] + [("l1", "region", "B", None, 2), ("l2", "region", "A", None, 4), ("l2", "region", "B", None, 5), ("l2", "region", None, None, 3)]
     rows += [("l1", "hours", "10.0", 10.0, 10), ("l2", "hours", "20.0", 20.0, 12)]
