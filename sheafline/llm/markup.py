@@ -1,9 +1,9 @@
 """Markup residue in text: HTML, Markdown, wiki and LaTeX to clean text.
 
 Pages of one host share a frame.  Each page's HTML containers are scored (own text against link
-text), the scores are voted per host on generalised tag-class paths in Spark, and the text is
-extracted again with the winners: containers on a path that the host's pages agree is a frame
-of links are dropped.  All other markup is converted piece by piece; headings, lists, tables,
+text), the hosts vote on generalised tag-class paths in Spark, and the text is extracted again
+from the paths that win as content: containers on a path that the host's pages agree is a frame
+of links are left out.  All other markup is converted piece by piece; headings, lists, tables,
 code and formulas keep a plain form.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.llm.arrow import map_rows
+from sheafline.session import cut
 
 # Names of HTML tags, of attributes without a value, and of character entities.
 TAGS = "a abbr address article aside audio b base bdi bdo blockquote body br button canvas caption center cite code col colgroup data dd del details dfn div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark math menu meta meter nav noscript object ol optgroup option output p param picture pre progress q ref references rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr nowiki gallery syntaxhighlight"
@@ -273,61 +274,77 @@ def convert(text: str | None, frames: frozenset[str] | set[str] = frozenset()) -
 
 
 SCHEMA = "id long, clean string, n_html int, n_markdown int, n_wiki int, n_latex int"
-#: A path is a frame of its host when pages agree that most of its text is links.
+#: A path loses the vote of its host when this many pages agree that most of its text is links.
 FRAME_LINKS, FRAME_PAGES = 0.5, 3
+#: The path of a page itself: what stands in no container.  It always wins.
+ROOT = ""
 
 
-def frame_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths) of the container paths that are link frames of a host.
-
-    pages: (id, host, text).  Each page scores its containers; the vote sums text and links per
-    (host, path) with partial sums before the shuffle; a path counts once per page.  A path is a frame when it stands on at
-    least FRAME_PAGES pages of the host and links hold at least FRAME_LINKS of its text.
-    """
+def page_paths(pages: DataFrame) -> DataFrame:
+    """(id, path, own, links): the score of each container path of each page (id, text), each
+    path of a page once; every page has its root."""
 
     def make():
-        def f(ids, hosts, texts):
-            i, h, p, own, links = [], [], [], [], []
-            for page, host, text in zip(ids, hosts, texts):
-                score: dict[str, list[int]] = {}
+        def f(ids, texts):
+            i, p, own, links = [], [], [], []
+            for page, text in zip(ids, texts):
+                score: dict[str, list[int]] = {ROOT: [0, 0]}
                 for path, _, _, a, b in containers(text or ""):
                     s = score.setdefault(path, [0, 0])
                     s[0] += a
                     s[1] += b
                 for path, (a, b) in score.items():
-                    i.append(page), h.append(host), p.append(path), own.append(a), links.append(b)
-            return i, h, p, own, links
+                    i.append(page), p.append(path), own.append(a), links.append(b)
+            return i, p, own, links
 
         return f
 
-    votes = map_rows(pages, ["id", "host", "text"], make, "id long, host string, path string, own long, links long")
-    won = votes.groupBy("host", "path").agg(F.sum("own").alias("own"), F.sum("links").alias("links"), F.countDistinct("id").alias("n")).where((F.col("n") >= FRAME_PAGES) & (F.col("own") > 0) & (F.col("links") >= FRAME_LINKS * F.col("own")))
-    return won.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return map_rows(pages, ["id", "text"], make, "id long, path string, own long, links long")
+
+
+def vote(scored: DataFrame) -> DataFrame:
+    """(host, path) of the container paths that win as content of their host.
+
+    scored: (id, host, path, own, links).  The vote sums text and links per (host, path) with
+    partial sums before the shuffle, and a path counts once per page.  A path loses when it
+    stands on at least FRAME_PAGES pages of the host and links hold at least FRAME_LINKS of its
+    text; less agreement leaves it with the content.
+    """
+    n = scored.groupBy("host", "path").agg(F.sum("own").alias("own"), F.sum("links").alias("links"), F.countDistinct("id").alias("n"))
+    lost = (F.col("path") != ROOT) & (F.col("n") >= FRAME_PAGES) & (F.col("own") > 0) & (F.col("links") >= FRAME_LINKS * F.col("own"))
+    return n.where(~lost).select("host", "path")
 
 
 def clean_markup(docs: DataFrame, hosts: DataFrame | None = None, on: str = "file_id") -> DataFrame:
     """(id, clean, n_html, n_markdown, n_wiki, n_latex) for every row of docs (id, text, and `on`).
 
     hosts: (on, host), each `on` once; without it, or for rows it lacks, all pages are of one
-    host.  Null texts stay null, texts without markup stay as they are with counts of 0.  Rows
-    are independent but for the vote, so repeated ids give repeated rows.  A text is looked at
-    once; only texts with HTML containers take part in the vote.
+    host.  Null texts stay null, texts without markup stay as they are with counts of 0.  Pages
+    with HTML containers are scored, their host votes on the paths, and they are extracted again
+    from the paths that won; all other texts have only the root, which always wins.  Repeated
+    ids give repeated rows and vote as one page.  Only ids and paths meet the hosts; a text is
+    moved once, by its own id, so a host with most of the pages is no hot key for texts.
     """
     docs = docs.select("id", "text", *([on] if hosts is not None else []))
     boxed = F.coalesce(F.col("text").rlike("(?i)<(" + "|".join(CONTAINERS.split()) + r")[\s>]"), F.lit(False))
 
     def make():
-        def f(ids, texts, frames=None):
-            got = [convert(t, frozenset(p or ())) for t, p in zip(texts, frames or [None] * len(ids))]
-            return ids, [g[0] for g in got], *[[g[1][i] for g in got] for i in range(4)]
+        def f(ids, texts, content=None):
+            out = []
+            for t, won in zip(texts, content or [None] * len(ids)):
+                lost = {c[0] for c in containers(t)} - set(won) if won is not None else set()
+                out.append(convert(t, lost))
+            return ids, [g[0] for g in out], *[[g[1][i] for g in out] for i in range(4)]
 
         return f
 
     pages = docs.where(boxed)
-    if hosts is not None:
-        pages = pages.join(hosts.select(on, "host"), on, "left")
+    scored = cut(page_paths(pages))
+    if hosts is None:
+        placed = scored.withColumn("host", F.lit(""))
     else:
-        pages = pages.withColumn("host", F.lit(""))
-    pages = pages.select("id", "text", F.coalesce("host", F.lit("")).alias("host"))
-    paged = pages.join(frame_paths(pages), "host", "left")
-    return map_rows(docs.where(~boxed), ["id", "text"], make, SCHEMA).unionByName(map_rows(paged, ["id", "text", "paths"], make, SCHEMA))
+        of = pages.select("id", on).distinct().join(hosts.select(on, "host").dropDuplicates([on]), on, "left").groupBy("id").agg(F.min(F.coalesce("host", F.lit(""))).alias("host"))
+        placed = cut(scored.join(of, "id"))
+    won = placed.join(vote(placed), ["host", "path"], "left_semi").groupBy("id").agg(F.collect_set("path").alias("content"))
+    paged = pages.select("id", "text").join(won, "id")
+    return map_rows(docs.where(~boxed), ["id", "text"], make, SCHEMA).unionByName(map_rows(paged, ["id", "text", "content"], make, SCHEMA))

@@ -68,6 +68,20 @@ def test_many_lists_of_one_page_are_no_frame(spark):
     assert all("reference" not in r.clean for r in markup.clean_markup(third).collect())
 
 
+def test_pages_are_extracted_from_the_paths_that_win(spark, monkeypatch):
+    page = '<nav class="top3"><a href="/a">menu</a></nav><div class="main">Body {}</div>'
+    docs = spark.createDataFrame([(i, 1, page.format(i)) for i in range(4)] + [(9, 1, "plain text"), (9, 1, "plain text"), (10, 1, "**bold**")], "id long, file_id long, text string")
+    hosts = spark.createDataFrame([(1, "h"), (1, "h")], "file_id long, host string")
+    placed = markup.page_paths(docs.where("id < 9").select("id", "text")).selectExpr("*", "'h' as host")
+    assert {r.path for r in markup.vote(placed).collect()} == {"", "div.main"}
+    got = {r.id: (r.clean.strip(), r.n_html > 0) for r in markup.clean_markup(docs, hosts).collect()}
+    assert got == {**{i: (f"Body {i}", True) for i in range(4)}, 9: ("plain text", False), 10: ("bold", False)}
+    # Without a winner no page with containers comes out: their rows are those of the vote.
+    vote = markup.vote
+    monkeypatch.setattr(markup, "vote", lambda s: vote(s).where("false"))
+    assert {r.id for r in markup.clean_markup(docs, hosts).collect()} == {9, 10}
+
+
 def test_frames_within_frames_leave_the_body():
     body = "BODY TEXT OF THE PAGE THAT MUST STAY, all of it."
     nav = '<nav><ul><li><a href="/a">one link</a></ul><ul><li><a href="/b">two</a></ul></nav>'
