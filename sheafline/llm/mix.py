@@ -10,6 +10,7 @@ problem per source remains.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -39,10 +40,15 @@ def counter(path: str = TOKENIZER) -> Callable[[list], list[int]]:
 
 
 def count_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(id, source, tokens) of docs (id, source, text)."""
+    """(id, source, tokens) of docs (id, source, text).  The vocabulary lies with the driver and
+    is given to the executors."""
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def make():
-        count = counter(path)
+        from pyspark import SparkFiles
+
+        count = counter(SparkFiles.get(name))
         return lambda ids, sources, texts: (ids, sources, count(texts))
 
     return map_rows(docs, ["id", "source", "text"], make, "id long, source string, tokens long")
@@ -117,24 +123,28 @@ def landing(pi: np.ndarray, balance: np.ndarray, rng: np.random.Generator) -> np
     return pi
 
 
-def plan(tokens: DataFrame, targets: DataFrame, mix_tokens: float | None = None) -> DataFrame:
-    """Per target: (source, key, want, have, docs, most, reach, rate, short).
+def plan(tokens: DataFrame, targets: DataFrame, mix_tokens: float | None = None, keep_shares: bool = False) -> DataFrame:
+    """Per target: (source, key, weight, want, have, docs, most_docs, rate).
 
     tokens: (id, source, tokens).  Sources count by name without letter case and outer blanks; a
-    null source has no target.  want is weight x mix size, the mix as large as all documents of
-    the targeted sources unless given; most is max_repeat x have.  rate is the expected number of
-    copies of each document.  A target without documents cannot be reached.
+    null source has no target, a null weight is 0 and a null max_repeat 1.  want is weight x mix
+    size, the mix as large as all documents of the targeted sources unless given; with keep_shares
+    it is the largest at which no source that has documents runs out, so that their shares among
+    each other are those of the weights.  rate is the expected number of copies of each document.
     """
     key = lambda c: F.lower(F.trim(F.col(c)))
     have = tokens.groupBy(key("source").alias("key")).agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("docs"))
-    t = targets.where(F.col("source").isNotNull()).select("source", key("source").alias("key"), F.col("weight").cast("double"), F.col("max_repeat").cast("double"))
+    t = targets.where(F.col("source").isNotNull()).select("source", key("source").alias("key"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("max_repeat").cast("long"), F.lit(1)).alias("times"))
     j = t.join(have, "key", "left").fillna({"have": 0, "docs": 0})
-    size = F.lit(float(mix_tokens)) if mix_tokens is not None else F.col("size")
-    total = j.dropDuplicates(["key"]).agg(F.coalesce(F.sum("have"), F.lit(0)).alias("size"))  # one row
-    j = j.crossJoin(F.broadcast(total))
-    j = j.withColumn("want", F.col("weight") * size).withColumn("most", F.col("max_repeat") * F.col("have"))
-    j = j.withColumn("short", F.col("most") < F.col("want") - 1e-6).withColumn("reach", F.least("want", "most"))
-    return j.select("source", "key", "weight", "size", "want", "have", "docs", "most", "reach", F.when(F.col("have") > 0, F.col("reach") / F.col("have")).otherwise(F.lit(0.0)).alias("rate"), "short")
+    one = j.dropDuplicates(["key"])
+    if keep_shares:
+        total = one.where("have > 0 and weight > 0").agg(F.coalesce(F.min(F.col("times") * F.col("have") / F.col("weight")), F.lit(0.0)).alias("size"))
+    else:
+        total = one.agg(F.coalesce(F.sum("have"), F.lit(0)).cast("double").alias("size"))
+    total = total.select(F.lit(float(mix_tokens)).alias("size")) if mix_tokens is not None else total
+    j = j.crossJoin(F.broadcast(total)).withColumn("want", F.col("weight") * F.col("size"))  # one row
+    rate = F.when(F.col("have") > 0, F.least(F.col("want") / F.col("have"), F.col("times").cast("double"))).otherwise(F.lit(0.0))
+    return j.select("source", "key", "weight", "want", "have", "docs", (F.col("times") * F.col("docs")).alias("most_docs"), rate.alias("rate"))
 
 
 def _fly(last: bool, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -153,40 +163,49 @@ def _fly(last: bool, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 _UNITS = "id long, key string, tokens long, sure long, pi double"
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, mix_tokens: float | None = None, seed: int = 7, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+#: Blocks of one task.
+BLOCKS_PER_TASK = 16
+
+
+def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, mix_tokens: float | None = None, seed: int = 7, block: int = BLOCK, keep_shares: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sample, report) of docs (id, source, text) and targets (source, weight, max_repeat).
 
     sample: (id, source, copies, tokens) of the documents in the mix; no document has more than
     max_repeat copies.  report: per target source its wanted and actual tokens and shares, and
-    whether it fell short.  Ids must be unique; null texts have no tokens and are kept with the
-    probability of their source; sources without a target are left out.  An empty table gives
-    an empty sample and targets that are all short.
+    whether it fell short: the sample holds every copy that it may and yet too few tokens.  Ids
+    must be unique; null texts have no tokens and are kept with the probability of their source;
+    sources without a target are left out.  An empty table gives an empty sample and targets that
+    are all short.  See `plan` for the size of the mix and keep_shares.
     """
     tokens = cut(count_tokens(docs, tokenizer))
     # One row per target: a table of the caller's, small by its nature and checked here.
-    todo = plan(tokens, targets, mix_tokens)
+    todo = cut(plan(tokens, targets, mix_tokens, keep_shares))
     rows = todo.dropDuplicates(["key"]).select("key", "rate", "docs").limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("more than 100,000 target sources")
     spark = docs.sparkSession
     rates = F.broadcast(spark.createDataFrame([(r.key, float(r.rate), max(1, -(-int(r.docs) // block))) for r in rows], "key string, rate double, blocks long"))
     units = tokens.withColumn("key", F.lower(F.trim("source"))).join(rates, "key").select("id", "key", "tokens", F.floor("rate").alias("sure"), (F.col("rate") - F.floor("rate")).alias("pi"), "blocks")
+    counts = {r.key: int(r.docs) for r in rows}
     done: list[DataFrame] = []
-    most, level = max([int(r.docs) for r in rows], default=0), 0
-    open_units = units
+    open_units, level = units, 0
     while True:
-        last = most <= block
+        last = max(counts.values(), default=0) <= block
+        n = sum(max(1, -(-c // block)) for c in counts.values()) if counts else 1
         blocks = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("id", F.lit(seed + level)), F.col("blocks"))
-        flown = open_units.withColumn("block", blocks).select("id", "key", "tokens", "sure", "pi", "block").groupBy("key", "block").applyInPandas(_fly(last, seed + level), _UNITS)
+        # As many tasks as the blocks need: the blocks are few rows each, and would else be put together.
+        tasks = max(min(n, 4 * spark.sparkContext.defaultParallelism), n // BLOCKS_PER_TASK)
+        flown = open_units.withColumn("block", blocks).select("id", "key", "tokens", "sure", "pi", "block").repartition(tasks, "key", "block").groupBy("key", "block").applyInPandas(_fly(last, seed + level), _UNITS)
+        flown = cut(flown)
         if last:
             done.append(flown)
             break
-        flown = cut(flown)
         still = (F.col("pi") > 0) & (F.col("pi") < 1)
         done.append(flown.where(~still))
         open_units = flown.where(still)
         # A block leaves at most two units; the next level has fewer blocks by block / 2.
-        most = max((r["count"] for r in open_units.groupBy("key").count().collect()), default=0)
+        counts = {r.key: r["count"] for r in open_units.groupBy("key").count().collect()}
+        most = max(counts.values(), default=0)
         open_units = open_units.withColumn("blocks", F.lit(max(1, -(-most // block))).cast("long"))
         level += 1
     sample = done[0]
@@ -196,5 +215,6 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, mix_tok
     got = sample.groupBy(F.col("source").alias("key")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("documents"))
     all_got = got.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("mixed"))
     report = todo.join(got, "key", "left").crossJoin(F.broadcast(all_got)).fillna({"tokens": 0, "documents": 0})
-    report = report.select("source", "weight", "want", "most", "tokens", "documents", F.when(F.col("mixed") > 0, F.col("tokens") / F.col("mixed")).otherwise(F.lit(0.0)).alias("share"), (F.col("short") & (F.col("tokens") < F.col("want"))).alias("short"))
-    return sample, report
+    short = (F.col("documents") >= F.col("most_docs")) & (F.col("tokens") < F.col("want") - 1e-6)
+    share = F.when(F.col("mixed") > 0, F.col("tokens") / F.col("mixed")).otherwise(F.lit(0.0))
+    return sample, report.select("source", "weight", "want", "tokens", "documents", share.alias("share"), short.alias("short"))

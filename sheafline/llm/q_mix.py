@@ -8,9 +8,15 @@ from sheafline.llm import mix
 from sheafline.session import load
 
 
-def _mixed(spark, sf_dir):
+def _mixed(spark, sf_dir, **how):
     docs = load(spark, sf_dir, "documents").selectExpr("doc_id as id", "source", "text")
-    return mix.mix(docs, load(spark, sf_dir, "mix_targets"))
+    return mix.mix(docs, load(spark, sf_dir, "mix_targets"), **how)
+
+
+def p9_shares(spark, sf_dir):
+    """Actual shares of the largest mix in which no source with documents runs out."""
+    r = _mixed(spark, sf_dir, keep_shares=True)[1]
+    return r.select("source", "weight", "tokens", "documents", F.round("share", 6).alias("share"), "short")
 
 
 def p9_found(spark, sf_dir):
@@ -29,7 +35,7 @@ def p9_sample(spark, sf_dir):
     return _mixed(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_report": p9_report, "p9_sample": p9_sample}
+QUERIES = {"p9_found": p9_found, "p9_report": p9_report, "p9_shares": p9_shares, "p9_sample": p9_sample}
 ORACLES = {
     # Any usual count gives the same sources; the SQL counts characters.
     "p9_found": """

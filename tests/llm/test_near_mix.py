@@ -131,6 +131,26 @@ def test_mix(spark):
     assert {(x.id, x.copies) for x in again.collect()} == {(x.id, x.copies) for x in got}
 
 
+def test_shares_can_be_kept(spark):
+    r = random.Random(2)
+    rows = [(i, s, " ".join("word" for _ in range(r.randint(1, 60))), 1, "x") for i, s in enumerate(s for s, n in {"big": 900, "small": 60}.items() for _ in range(n))]
+    targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 2), ("absent", 0.1, 9), ("unwanted", None, None)], "source string, weight double, max_repeat long")
+    rep = {x.source: x for x in mix.mix(spark.createDataFrame(rows, DOCS), targets, block=64, keep_shares=True)[1].collect()}
+    assert abs(rep["big"].share - 2 / 3) < 0.02 and abs(rep["small"].share - 1 / 3) < 0.02
+    assert [k for k, x in rep.items() if x.short] == ["absent"] and rep["unwanted"].tokens == 0
+
+
+def test_shortage_is_told_by_the_sample(spark, monkeypatch):
+    rows = [(i, "a" if i % 2 else "b", "one two three", 1, "x") for i in range(100)]
+    targets = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 1)], "source string, weight double, max_repeat long")
+    df = spark.createDataFrame(rows, DOCS)
+    assert {x.source: x.short for x in mix.mix(df, targets)[1].collect()} == {"a": True, "b": False}
+    # A sample that leaves copies of 'a' out is not exhausted, so no shortage is reported.
+    fly = mix._fly
+    monkeypatch.setattr(mix, "_fly", lambda last, seed: (lambda f: lambda pdf: f(pdf).assign(sure=0))(fly(last, seed)))
+    assert not any(x.short for x in mix.mix(df, targets)[1].collect())
+
+
 def test_mix_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeat long")
     sample, report = mix.mix(spark.createDataFrame([], DOCS), targets)
