@@ -1,8 +1,10 @@
 """Personal information in free text: finds it and puts typed placeholders in its place.
 
-Numbers (phones, identity numbers) become format-preserving pseudonyms: a keyed Feistel
-permutation over the digits and letters of the value keeps its form, and equal values get
-equal pseudonyms in all documents.  Names, addresses and e-mail addresses get a keyed tag.
+Numbers (phones, identity numbers) and dates become format-preserving pseudonyms: a keyed Feistel
+permutation over the digits and letters of the value keeps its form, a number whose check signs
+are right gets right ones again, and equal values get equal pseudonyms in all documents.  Names,
+addresses and e-mail addresses get a keyed tag.  What is found is what is replaced: the values
+of numbers in `find_pii` are read back from their pseudonyms.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -46,7 +49,7 @@ ID_FORMS = (
     re.compile(r"(?<![\w.-])\d{8}-?[A-HJ-NP-TV-Za-hj-np-tv-z](?![\w])"),
     re.compile(r"(?<![\w-])\d{2}[A-Z]{2}\d{5}(?![\w])"),
     re.compile(r"(?<![\w-])[A-Z]{1,2}\d{7,8}(?![\w])"),
-    re.compile(r"(?<![\w-])(?=[A-Z]+\d[A-Z0-9]*\d)[A-Z][A-Z0-9]{8}\d?(?![\w])"),
+    re.compile(r"[A-Z](?<![\w-].)(?=[A-Z]*\d[A-Z0-9]*\d)[A-Z0-9]{8}\d?(?![\w])"),
     re.compile(r"(?<![\w.-])[1-478]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}\s?\d{2}(?![\w-]|\s?\d)"),
     re.compile(r"(?<![\w.-])\d{2}\s\d{3}\s\d{3}\s\d{3}(?![\w-]|\s\d)"),
     re.compile(r"(?<![\w.+/-])\d{11}(?![\w-])"),
@@ -54,6 +57,10 @@ ID_FORMS = (
 )
 #: Forms that only a cue makes an identity number: others use them too.
 ID_NEEDS_CUE = frozenset((5, 6, 8, 9, 10))
+#: Forms with check signs of one in twenty and rarer; the form of letters and digits in any order.
+CHECKED, MIXED = frozenset((1, 2, 3, 7)), 6
+#: Signs before a number that are looked at for its cue; the last sentence in them counts.
+SENTENCE = 200
 PHONE_FORMS = re.compile(
     r"(?<![\w.+/-])(?:"
     r"(?:\+|00)\d{1,3}[\s.-]?(?:\(0\)[\s.-]?)?(?:\(?\d{1,5}\)?[\s./-]?){1,5}\d{2,}"
@@ -77,7 +84,7 @@ _EN = r"(?:Street|Str\.|St\.|St|Road|Rd\.?|Lane|Ln\.?|Close|Avenue|Ave(?:\.(?=\s
 _FR = r"(?:rue|avenue|av\.|boulevard|bd\.?|chemin|ch\.|allée|allées|quai|place|pl\.|impasse|cours|route|square|passage|sentier|esplanade|faubourg|fg\.?)"
 _ES = r"(?:Calle|C/|Cl\.|Avenida|Avda\.?|Av\.|Paseo|P\.º|Plaza|Pza\.?|Camino|Cno\.?|Ronda|Travesía|Carretera|Ctra\.?|Glorieta|Callejón|Rambla)"
 _DE = r"(?:straße|strasse|str\.|platz|weg|allee|gasse|ring|damm|ufer|steig|stieg|mühle|hof|markt|graben|chaussee|wall|pfad)"
-_NO = r"\d{1,4}"
+_NO = r"\d{1,5}"
 ADDRESSES = tuple(
     re.compile(x, f)
     for x, f in (
@@ -92,13 +99,22 @@ ADDRESSES = tuple(
 
 # --- names ------------------------------------------------------------------------------
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Herrn?|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|M|MM|Sra|Sr|Srta|Don|Doña|Señora?)"
+TITLES = ("M", "Dr", "Prof", "S", "Herr", "Frau", "Do")
 _C = r"(?:(?:Mc|O['’]|D['’]|Mac)?[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ'’]+|[A-ZÀ-ÖØ-Þ'’]+)(?:-(?:Mc|O['’])?[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+))*)"
 _I = r"(?:[A-ZÀ-ÖØ-Þ]\.(?:-?\s?[A-ZÀ-ÖØ-Þ]\.)?)"
 _PART = r"(?:(?:de la|de los|van der|van den|von der|de|del|van|von|di|da|la|le)\s)?"
 NAME = rf"(?:{_C},\s(?:{_C}|{_I})|{_I}\s{_PART}{_C}|{_C}\s{_I}\s{_PART}{_C}|{_C}\s{_PART}{_C}|{_C}\s{_I})"
 TITLED = re.compile(rf"(?<![\w.-])((?:{_TITLE}\b\.?\s)+)({_C}(?:\s{_C})?)")
 # Words before or after a person's name.
-BEFORE = re.compile(rf"(?:\b(?:spoke with|spoken to|raised by|approved by|checked by|signed by|opened by|written by|prepared by|reported by|handled by|thanks to|thank you,?|attn\.?|contact person|cc|c\.c\.|bcc|signed|dear|stammt von|bearbeitet von|geprüft von|erstellt von|gezeichnet von|genehmigt von|rücksprache mit|gesprochen mit|dank an|z\. ?hd\.|ouvert par|traité par|approuvé par|validé par|signé par|vu avec|parlé avec|merci à|habló con|hablado con|abierto por|aprobado por|revisado por|tramitado por|firmado por|gracias a|visto con)\s?:?\s)(?={NAME}|{_TITLE}\b)", re.I)
+BEFORE_CUES = (
+    "spoke with|spoken to|raised by|approved by|checked by|signed by|opened by|written by|prepared by|reported by|handled by|thanks to|thank you|thank you,|attn|attn.|contact person|cc|c.c.|bcc|signed|dear"
+    "|stammt von|bearbeitet von|geprüft von|erstellt von|gezeichnet von|genehmigt von|rücksprache mit|gesprochen mit|dank an|z.hd.|z. hd."
+    "|ouvert par|traité par|approuvé par|validé par|signé par|vu avec|parlé avec|merci à|habló con|hablado con|abierto por|aprobado por|revisado por|tramitado por|firmado por|gracias a|visto con"
+)
+CUE_ENDS = tuple(BEFORE_CUES.split("|"))
+CUE_LAST = frozenset(c.rsplit(" ", 1)[-1] for c in CUE_ENDS)
+BEFORE = re.compile(r"\b(?:" + "|".join(re.escape(c) for c in sorted(CUE_ENDS, key=len, reverse=True)) + r")\s?:?\s", re.I)
+
 AFTER = re.compile(rf"({NAME})(?=\s(?:signed the|has signed|hat das|hat die|hat den|a signé|a validé|firmó|ha firmado|signed off)\b)")
 NAME_RX = re.compile(NAME)
 TITLE_FIRST = re.compile(rf"{_TITLE}\b\.?(?:\s|\Z)")
@@ -115,6 +131,31 @@ def _upper_run(text: str, a: int, b: int) -> bool:
     return bool(near) and all(w.isupper() for w in near)
 
 
+def _cue_start(low: str, p: int) -> int:
+    """Where the cue that ends before position p begins."""
+    e = len(low[max(0, p - 30) : p].rstrip(" :")) + max(0, p - 30)
+    return min((e - len(c) for c in CUE_ENDS if low.endswith(c, 0, e)), default=p)
+
+
+#: Words of which one stands in every address of the pattern at the same place in ADDRESSES.
+ADDRESS_SIGNS = tuple(
+    tuple(x.split("|"))
+    for x in (
+        " Street| Str.| St.| St| Road| Rd| Lane| Ln| Close| Ave| Cres| Way| Drive| Dr.| Court| Ct.| Place| Pl.| Square| Sq.| Terrace| Gardens| Grove| Hill| Row| Walk| Boulevard| Blvd| Parade| Mews",
+        " rue | avenue | av. | boulevard | bd| chemin | ch. | allée| quai | place | pl. | impasse | cours | route | square | passage | sentier | esplanade | faubourg | fg",
+        "Calle |C/ |Cl. |Avenida |Avda|Av. |Paseo |P.º |Plaza |Pza|Camino |Cno|Ronda |Travesía |Carretera |Ctra|Glorieta |Callejón |Rambla ",
+        "straße |strasse |str. |platz |weg |allee |gasse |ring |damm |ufer |steig |stieg |mühle |hof |markt |graben |chaussee |wall |pfad ",
+        "er Allee |er Straße |er Strasse |er Str. |er Weg |er Platz |er Ring |er Damm |er Ufer |er Chaussee |er Markt |er Gasse ",
+        "An der |An den |Am |Auf der |Auf dem |In der |Im |Zum |Zur ",
+    )
+)
+#: Where a capitalised word may begin, and digits that lie close enough to be one number.
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ](?<![\w.@/-].)")
+DIGITS = re.compile(r"\d(?:[A-Z\s().,/+-]{0,4}\d){4,}")
+FAMILY_GIVEN = re.compile(_C)
+AFTER_SIGNS = (" signed ", " has signed", " hat d", " a signé", " a validé", " firmó", " ha firmado")
+
+
 class Finder:
     """Finds (start, end, kind, value) in a text.  given, family: known names in any case."""
 
@@ -126,28 +167,30 @@ class Finder:
         if not text:
             return []
         # Positions stay: every kind of white space becomes one blank of its own length.
-        t = re.sub(r"\s", " ", text)
+        t = text if text.isprintable() else re.sub(r"\s", " ", text)
         found: list[tuple[int, int, str, str]] = []
         taken = bytearray(len(t))
+        flat, at = self._flat(t)
 
         def free(a: int, b: int) -> bool:
-            return not any(taken[a:b])
+            return not any(taken[at(a) : at(b - 1) + 1])
 
         def add(a: int, b: int, kind: str, value: str) -> None:
+            a, b = at(a), at(b - 1) + 1
             found.append((a, b, kind, value))
             taken[a:b] = b"\1" * (b - a)
 
-        flat, at = self._flat(t)
-        self._emails(flat, lambda a, b, v: add(at(a), at(b - 1) + 1, "email", v))
-        free_flat = lambda a, b: free(at(a), at(b - 1) + 1)
-        add_flat = lambda a, b, k, v: add(at(a), at(b - 1) + 1, k, v)
-        self._numbers(flat, free_flat, add_flat)
-        for rx in ADDRESSES:
-            for m in rx.finditer(flat):
-                a, b = m.span()
-                if free_flat(a, b):
-                    add_flat(a, b, "address", flat[a:b].rstrip(","))
-        self._names(flat, free_flat, add_flat)
+        self._emails(flat, lambda a, b, v: add(a, b, "email", v))
+        self._numbers(flat, free, add)
+        if re.search(r"\d", flat):
+            for rx, signs in zip(ADDRESSES, ADDRESS_SIGNS):
+                if not any(x in flat for x in signs):
+                    continue
+                for m in rx.finditer(flat):
+                    a, b = m.span()
+                    if free(a, b):
+                        add(a, b, "address", flat[a:b].rstrip(","))
+        self._names(flat, free, add)
         return sorted(found)
 
     @staticmethod
@@ -155,17 +198,18 @@ class Finder:
         """The text with runs of blanks as one, and a map of its positions to the text's."""
         if "  " not in t:
             return t, lambda i: i
-        out, pos = [], []
-        for i, c in enumerate(t):
-            if c != " " or not out or out[-1] != " ":
-                out.append(c)
-                pos.append(i)
-        return "".join(out), lambda i: pos[i]
+        starts, more, gone = [], [0], 0
+        for m in re.finditer(r"  +", t):
+            starts.append(m.start() + 1 - gone)  # the first position behind the blank that stays
+            gone += m.end() - m.start() - 1
+            more.append(gone)
+        return re.sub(r"  +", " ", t), lambda i: i + more[bisect_right(starts, i)]
 
     @staticmethod
     def _emails(t: str, add) -> None:
         low = t.lower()
-        if "@" not in t and " at " not in low and "(at)" not in low and "[at]" not in low and "arro" not in low and "&#64;" not in t and "%40" not in t:
+        spelled = " at " in low and "dot" in low
+        if "@" not in t and not spelled and "(at)" not in low and "[at]" not in low and "arro" not in low and "&#64;" not in t and "%40" not in t:
             return
         for m in EMAIL.finditer(t):
             a, b = m.span()
@@ -178,19 +222,19 @@ class Finder:
 
     @staticmethod
     def _numbers(t: str, free, add) -> None:
-        if not re.search(r"\d[\d\s().,/A-Za-z-]{4,}", t):
-            return
-        spots = []
-        for k, rx in enumerate(ID_FORMS):
-            for m in rx.finditer(t):
-                spots.append((m.start(), -m.end(), 0, k))
-        for m in PHONE_FORMS.finditer(t):
-            spots.append((m.start(), -m.end(), 1, 0))
+        spots = {(m.start(), -m.end(), 0, MIXED) for m in ID_FORMS[MIXED].finditer(t)}
+        for w in DIGITS.finditer(t):
+            # The forms are looked for around digits that lie close together only.
+            lo, hi = max(0, w.start() - 6), w.end() + 6
+            for k, rx in enumerate(ID_FORMS):
+                if k != MIXED:
+                    spots.update((m.start(), -m.end(), 0, k) for m in rx.finditer(t, lo, hi))
+            spots.update((m.start(), -m.end(), 1, 0) for m in PHONE_FORMS.finditer(t, lo, hi))
         for a, e, what, k in sorted(spots):
             b = -e
             if not free(a, b):
                 continue
-            left = t[max(0, a - 60) : a]
+            left = t[max(0, a - SENTENCE) : a]
             # Only the sentence's own words before the number count.
             left = re.split(r"[.;!?]\s(?=[A-ZÀ-Þ])|(?<=\d)\s(?=[A-Z][a-z]+ [a-z])", left)[-1]
             right = t[b : b + 40]
@@ -202,8 +246,11 @@ class Finder:
             digits = re.sub(r"\D", "", t[a:b])
             if what == 0:
                 sure = k not in ID_NEEDS_CUE
-                if (id_at > ph_at) or (id_right and ph_at < 0) or (sure and ph_at < 0) or (sure and k in (0, 1, 2)):
-                    add(a, b, "idno", re.sub(r"[^A-Z0-9]", "", t[a:b].upper()))
+                value = re.sub(r"[^A-Z0-9]", "", t[a:b].upper())
+                # A right check sign says more than a word of phones nearby.
+                right_sign = k in CHECKED and has_right_check(value)
+                if right_sign or (id_at > ph_at) or (id_right and ph_at < 0) or (sure and ph_at < 0) or (sure and k in (0, 1, 2)):
+                    add(a, b, "idno", value)
             elif 8 <= len(digits) <= 15 and ph_at >= id_at and (ph_at >= 0 or PHONE_SURE.match(t[a:b])):
                 if re.match(r"\d{4}-\d{2}-\d{2}\Z", t[a:b]):
                     continue
@@ -218,14 +265,25 @@ class Finder:
             if b > a and free(a, b) and not COMPANY.match(t[b:]):
                 add(a, b, "name", t[a:b])
 
-        for m in BEFORE.finditer(t):
-            n = NAME_RX.match(t, m.end())
-            if n and not TITLE_FIRST.match(n.group(0)):
-                put(*self._trim(t, n.start(), n.end()))
-        for m in AFTER.finditer(t):
-            if not TITLE_FIRST.match(m.group(1)):
-                put(*m.span(1))
-        for m in TITLED.finditer(t):
+        caps = [m.start() for m in CAPITAL.finditer(t)]
+        low = t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+        for p in caps:
+            if p < 3 or t[p - 1] != " ":
+                continue
+            e = p - 1 if t[p - 2] != ":" else p - 2 - (t[p - 3] == " ")
+            if low[low.rfind(" ", 0, e) + 1 : e].lstrip("(") in CUE_LAST:
+                m = BEFORE.match(t, _cue_start(low, p))
+                n = m and m.end() == p and NAME_RX.match(t, p)
+                if n and not TITLE_FIRST.match(n.group(0)):
+                    put(*self._trim(t, n.start(), n.end()))
+        if any(x in t for x in AFTER_SIGNS):
+            for m in AFTER.finditer(t):
+                if not TITLE_FIRST.match(m.group(1)):
+                    put(*m.span(1))
+        for p in caps:
+            m = t.startswith(TITLES, p) and TITLED.match(t, p)
+            if not m:
+                continue
             words = m.group(2).split(" ")
             a = m.start(2)
             if m.group(1).strip() in ("M", "Don", "Sir") and len(words[0]) < 3:
@@ -235,7 +293,12 @@ class Finder:
                 continue  # an initial, not a title
             two = len(words) == 2 and (words[0].lower() in given) and not (words[1].lower() in _STARTERS)
             put(a, a + (len(m.group(2)) if two else len(words[0])))
-        for m in PAIR.finditer(t):
+        begin = set(caps)
+        for p in caps:
+            # The next word has to be capitalised too.
+            m = t.find(" ", p) + 1 in begin and PAIR.match(t, p)
+            if not m:
+                continue
             w, sep = m.group(1), m.group(2)
             n = WORDS.match(t, m.end())
             if not n:
@@ -330,22 +393,106 @@ def feistel(value: str, key: bytes, kind: str = "", back: bool = False, rounds:
     return "".join(out)
 
 
-def permute_date(day: datetime.date, key: bytes, first: datetime.date = datetime.date(1900, 1, 1), days: int = 73_049) -> datetime.date:
+# --- numbers with check signs -------------------------------------------------------------
+# The check letters of Spanish identity numbers, by the remainder of 23.
+_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def _check_letter(body: str) -> str:
+    return _LETTERS[int(body.translate(str.maketrans("XYZ", "012"))) % 23]
+
+
+def _check_key(body: str) -> str:
+    return f"{97 - int(body) % 97:02d}"
+
+
+def _check_digit(body: str) -> str:
+    """ISO 7064, MOD 11,10."""
+    p = 10
+    for c in body:
+        p = ((int(c) + p) % 10 or 10) * 2 % 11
+    return str((11 - p) % 10)
+
+
+#: (form, signs that stay, signs of the check, the check of a body).
+CHECKS = (
+    (re.compile(r"\d{8}[A-Z]"), 0, 1, _check_letter),
+    (re.compile(r"[XYZ]\d{7}[A-Z]"), 1, 1, _check_letter),
+    (re.compile(r"[1-478]\d{14}"), 1, 2, _check_key),
+    (re.compile(r"\d{11}"), 0, 1, _check_digit),
+)
+
+
+def has_right_check(value: str) -> bool:
+    return any(rx.fullmatch(value) and check(value[:-n]) == value[-n:] for rx, _, n, check in CHECKS)
+
+
+def pseudonym(value: str, key: bytes, kind: str, back: bool = False) -> str:
+    """The keyed permutation of a plain number, or with `back` its inverse.
+
+    A number with right check signs keeps them right: its body is permuted and the check made
+    anew.  Any other number is permuted until its check is not right either, so both sets stay
+    apart and the map can be undone.
+    """
+    if kind == "idno" and has_right_check(value):
+        for rx, head, n, check in CHECKS:
+            if rx.fullmatch(value) and check(value[:-n]) == value[-n:]:
+                body = value[:head] + feistel(value[head:-n], key, kind, back)
+                return body + check(body)
+    out = feistel(value, key, kind, back)
+    while kind == "idno" and has_right_check(out):
+        out = feistel(out, key, kind, back)
+    return out
+
+
+# --- dates --------------------------------------------------------------------------------
+DATE = re.compile(r"(?<![\w./-])(?:(\d{4})-(\d{2})-(\d{2})|(\d{1,2})([./])(\d{1,2})\5(\d{4}))(?![\w/-]|\.\d)")
+#: Dates that are permuted: days from 1900 to 2099.
+FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049
+
+
+def dates(text: str | None) -> list[tuple[int, int, datetime.date]]:
+    """(start, end, day) of the valid dates of a text: year-month-day, or day, month and year
+    with dots or strokes."""
+    out = []
+    for m in DATE.finditer(text or ""):
+        y, mo, d = (m.group(1), m.group(2), m.group(3)) if m.group(1) else (m.group(7), m.group(6), m.group(4))
+        try:
+            day = datetime.date(int(y), int(mo), int(d))
+        except ValueError:
+            continue
+        if 0 <= (day - FIRST_DAY).days < DAYS:
+            out.append((*m.span(), day))
+    return out
+
+
+def laid_out(day: datetime.date, shown: str) -> str:
+    """A day in the form of the date that it stands for."""
+    if shown[:4].isdigit():
+        return day.isoformat()
+    return f"{day.day:02d}{shown[-5]}{day.month:02d}{shown[-5]}{day.year:04d}"
+
+
+def permute_date(day: datetime.date, key: bytes, first: datetime.date = FIRST_DAY, days: int = DAYS, back: bool = False) -> datetime.date:
     """A keyed permutation of the days from `first` on, by cycle walking over five digits."""
     n = (day - first).days
     if not 0 <= n < days:
         raise ValueError("the date is outside the permuted range")
     while True:
-        n = int(feistel(f"{n:05d}", key, "date"))
+        n = int(feistel(f"{n:05d}", key, "date", back))
         if n < days:
             return first + datetime.timedelta(days=n)
 
 
+#: Bytes of a tag: unlike values of billions share one with a chance of about 10 ** -10 a pair.
+TAG_BYTES = 12
+
+
 def placeholder(kind: str, value: str, shown: str, key: bytes) -> str:
-    """[KIND pseudonym]: numbers keep their form, other kinds get a keyed tag of six signs."""
+    """[KIND pseudonym]: numbers keep their form, other kinds get a keyed tag."""
     if kind in ("phone", "idno"):
         # The pseudonym is that of the plain value, so other spellings get the same; it is laid out as shown.
-        signs = iter(feistel(value, key, kind))
+        signs = iter(pseudonym(value, key, kind))
         at = [i for i, c in enumerate(shown) if c.isascii() and (c.isdigit() or kind == "idno" and c.isalpha())]
         if len(at) != len(value):
             return f"[{kind.upper()} {''.join(signs)}]"
@@ -353,10 +500,18 @@ def placeholder(kind: str, value: str, shown: str, key: bytes) -> str:
         for i in at:
             out[i] = next(signs)
         return f"[{kind.upper()} {''.join(out)}]"
-    tag = hashlib.blake2b(value.lower().encode(), key=key[:64], digest_size=3).hexdigest()
+    tag = hashlib.blake2b(value.lower().encode(), key=key[:64], digest_size=TAG_BYTES).hexdigest()
     return f"[{kind.upper()} {tag}]"
 
 
+def revealed(kind: str, value: str, shown: str, key: bytes) -> str:
+    """The value of a finding; of a number that in its placeholder, read back with the key."""
+    if kind not in ("phone", "idno"):
+        return value
+    signs = "".join(c for c in placeholder(kind, value, shown, key).split(" ", 1)[1] if c.isascii() and (c.isdigit() or kind == "idno" and c.isalpha()))
+    return pseudonym(signs.upper(), key, kind, back=True)
+
+
 def _names_of(names: DataFrame | None, limit: int) -> tuple[list[str], list[str]]:
     if names is None:
         return [], []
@@ -370,11 +525,13 @@ def _names_of(names: DataFrame | None, limit: int) -> tuple[list[str], list[str]
 MAX_NAMES = 200_000
 
 
-def find_pii(docs: DataFrame, names: DataFrame | None = None, max_names: int = MAX_NAMES) -> DataFrame:
+def find_pii(docs: DataFrame, names: DataFrame | None = None, max_names: int = MAX_NAMES, key: bytes = b"sheafline") -> DataFrame:
     """(id, kind, value), one row per distinct finding of each row of docs (id, text).
 
-    Null and empty texts give no rows.  names: (name, kind) with kind given or family, a small
-    list whose size is checked; without it names are found by titles and cue words alone.
+    The findings are those that `redact` replaces; the value of a number is read back from its
+    placeholder.  Null and empty texts give no rows.  names: (name, kind) with kind given or
+    family, a small list whose size is checked; without it names are found by titles and cue words
+    alone.
     """
     given, family = _names_of(names, max_names)
 
@@ -384,7 +541,7 @@ def find_pii(docs: DataFrame, names: DataFrame | None = None, max_names: int = M
         def f(ids, texts):
             a, b, c = [], [], []
             for i, t in zip(ids, texts):
-                for k, v in dict.fromkeys((k, v) for _, _, k, v in finder.find(t)):
+                for k, v in dict.fromkeys((k, revealed(k, v, t[x:y], key)) for x, y, k, v in finder.find(t)):
                     a.append(i), b.append(k), c.append(v)
             return a, b, c
 
@@ -393,9 +550,10 @@ def find_pii(docs: DataFrame, names: DataFrame | None = None, max_names: int = M
     return map_rows(docs, ["id", "text"], make, "id long, kind string, value string")
 
 
-def redact(docs: DataFrame, key: bytes, names: DataFrame | None = None, max_names: int = MAX_NAMES) -> DataFrame:
+def redact(docs: DataFrame, key: bytes, names: DataFrame | None = None, max_names: int = MAX_NAMES, with_dates: bool = False) -> DataFrame:
     """(id, redacted, n_found) for every row of docs (id, text): placeholders in place of the
-    findings, all else as it stands.  A null text stays null with a count of 0."""
+    findings, all else as it stands.  A null text stays null with a count of 0.  with_dates
+    replaces valid dates too, each by another date of the same form."""
     given, family = _names_of(names, max_names)
 
     def make():
@@ -404,11 +562,14 @@ def redact(docs: DataFrame, key: bytes, names: DataFrame | None = None, max_name
         def f(ids, texts):
             out, n = [], []
             for t in texts:
-                got = finder.find(t)
-                s = t
-                for a, b, k, v in reversed(got):
-                    s = s[:a] + placeholder(k, v, t[a:b], key) + s[b:]
-                out.append(s), n.append(len(got))
+                got = [(a, b, placeholder(k, v, t[a:b], key)) for a, b, k, v in finder.find(t)]
+                if with_dates:
+                    got += [(a, b, f"[DATE {laid_out(permute_date(d, key), t[a:b])}]") for a, b, d in dates(t) if not any(x < b and a < y for x, y, _ in got)]
+                parts, last = [], 0
+                for a, b, s in sorted(got):
+                    parts += [t[last:a], s]
+                    last = b
+                out.append(None if t is None else "".join(parts) + t[last:]), n.append(len(got))
             return ids, out, n
 
         return f

@@ -15,7 +15,7 @@ def _docs(spark, sf_dir):
 
 def p10_found(spark, sf_dir):
     """Every distinct piece of personal information of every document."""
-    return pii.find_pii(_docs(spark, sf_dir), load(spark, sf_dir, "name_list")).withColumnRenamed("id", "doc_id")
+    return pii.find_pii(_docs(spark, sf_dir), load(spark, sf_dir, "name_list"), key=KEY).withColumnRenamed("id", "doc_id")
 
 
 def p10_redacted(spark, sf_dir):

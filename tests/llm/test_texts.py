@@ -332,6 +332,48 @@ def test_pseudonyms_are_a_permutation():
         pii.permute_date(datetime.date(2400, 1, 1), b"k")
 
 
+@pytest.mark.parametrize("value", ["12345678Z", "12345678A", "X1234567L", "X1234567A", "255081416802538", "255081416802500", "86095742719", "86095742718", "QQ057929C"])
+def test_check_signs_stay_right_or_wrong(value):
+    right = pii.has_right_check(value)
+    assert right == (value in ("12345678Z", "X1234567L", "255081416802538", "86095742719"))
+    for key in (b"k", b"other"):
+        p = pii.pseudonym(value, key, "idno")
+        assert p != value and pii.has_right_check(p) == right and pii.pseudonym(p, key, "idno", back=True) == value
+        assert [c.isdigit() for c in p] == [c.isdigit() for c in value]
+
+
+def test_a_right_check_sign_makes_an_identity_number():
+    assert {k for _, _, k, _ in FINDER.find("phone or text 12345678Z here")} == {"idno"}
+    assert FINDER.find("phone or text 12345678A here") == []
+
+
+def test_found_values_come_from_the_placeholders(spark, monkeypatch):
+    names = spark.createDataFrame([("Winter", "family")], "name string, kind string")
+    d = spark.createDataFrame([(1, "Call +44 20 7946 0963, ID 12345678Z."), (2, None), (3, "")], "id long, text string")
+    want = {(1, "phone", "442079460963"), (1, "idno", "12345678Z")}
+    assert {tuple(r) for r in pii.find_pii(d, names).collect()} == want
+    monkeypatch.setattr(pii, "placeholder", lambda k, v, shown, key: f"[{k.upper()} {shown}]")
+    assert pii.revealed("phone", "442079460963", "+44 20 7946 0963", b"k") != "442079460963"
+
+
+def test_dates(spark):
+    t = "Born 1984-02-29 or 29.2.1984, 3/12/2001; not 1984-02-30, 1.2.3.2004 or version 2.10.2024.1"
+    got = pii.dates(t)
+    assert [(t[a:b], d.isoformat()) for a, b, d in got] == [("1984-02-29", "1984-02-29"), ("29.2.1984", "1984-02-29"), ("3/12/2001", "2001-12-03")]
+    p = pii.permute_date(got[0][2], b"k")
+    assert pii.permute_date(p, b"k", back=True) == got[0][2]
+    d = spark.createDataFrame([(1, t)], "id long, text string")
+    r = pii.redact(d, b"k", with_dates=True).first()
+    assert r.n_found == 3 and f"[DATE {p.isoformat()}] or [DATE {p.day:02d}.{p.month:02d}.{p.year}]" in r.redacted and "1984-02-30" in r.redacted
+    assert pii.redact(d, b"k").first().redacted == t
+
+
+def test_long_sentences_and_far_cues():
+    far = "The passport " + "that was renewed twice " * 4 + "is L0A41PW48 now."
+    assert {v for _, _, k, v in FINDER.find(far)} == {"L0A41PW48"}
+    assert {(k, v) for _, _, k, v in FINDER.find("lives at 12345 Mill Road.")} == {("address", "12345 Mill Road")}
+
+
 def test_redaction_keeps_the_rest(spark):
     t = "Call +44 20 7946 0963, ask Mr Winter.\nUnit 5 is fine."
     d = spark.createDataFrame([(1, t, 0), (2, None, 0), (3, "Call +44 20 7946 0963 now", 0)], "id long, text string, n_found int")
