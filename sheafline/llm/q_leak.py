@@ -17,7 +17,7 @@ def p8_found(spark, sf_dir):
 
 def p8_similar(spark, sf_dir):
     """Documents that hold at least 0.8 of an item's weighted shingles."""
-    return _found(spark, sf_dir).where("similarity >= 0.8").selectExpr("doc_id", "item_id", "run", "round(similarity, 4) as similarity")
+    return _found(spark, sf_dir).where("share >= 0.8").selectExpr("doc_id", "item_id", "run", "round(share, 4) as similarity")
 
 
 _WORDS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"

@@ -293,6 +293,38 @@ def test_hamming_blocks_miss_none():
         assert hit
 
 
+def test_items_with_one_changed_word_are_found(spark):
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(48, 90)))) for i in range(60)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        w[r.randrange(len(w))] = "changed"
+        docs.append((i, " ".join([r.choice(vocab) for _ in range(30)] + w + [r.choice(vocab) for _ in range(30)])))
+    D, I = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    # Passages alone are not enough where every twelfth word is changed.
+    torn = [(100 + i, " ".join(x if k % 11 else "changed" for k, x in enumerate(t.split()))) for i, t in items]
+    found_ = leak.find_leaks(D.unionByName(spark.createDataFrame(torn, D.schema)), I).collect()
+    assert {(x.doc_id, x.item_id) for x in found_} == {(i, i) for i, _ in items}
+    assert all(x.similarity >= 0.8 and x.share > 0.8 for x in found_)
+    # The radius of item-sized windows: nearly all such windows are within it.
+    ix, h = leak.Index(items), leak._Hashes()
+    near = 0
+    for (i, t), (_, d) in zip(items, docs):
+        import numpy as np
+
+        row = np.array(h.row(d), np.uint64)
+        doc, item, size, *_ = ix.candidates(row, np.array([len(row)]))
+        near += any(s > 12 and j == i for j, s in zip(item.tolist(), size.tolist()))
+    assert near >= 55
+
+
+def test_the_weighted_check_decides(spark):
+    D, I = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(40)))], "id long, text string"), spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(40)))], "item_id long, text string")
+    assert leak.find_leaks(D, I).count() == 1 and leak.find_leaks(D, I, threshold=1.01).count() == 0
+
+
 # --- personal information --------------------------------------------------------------
 FINDER = pii.Finder(["Hugo", "Carmen", "May", "Rose", "Will", "Petra"], ["Stone", "Field", "Iltiquell", "Winter"])
 FOUND = [
