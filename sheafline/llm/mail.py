@@ -4,7 +4,9 @@ A mail is cut into blocks of lines that belong together (blank lines, a change o
 and cue lines end a block).  The decoder chooses the best sequence of spans, each authored,
 quoted, signature or disclaimer.  A span's score is the sum of its blocks' cues, of boundary
 cues where it begins, of a score of its length, and of features of the span as a whole (the
-sender's name together with a contact, legal words from several sentences).
+sender's name together with a contact, legal words from several sentences).  Length scores are
+linear and the features of a whole span have few values, so a span's state is kept from block to
+block and decoding takes time linear in the length of a mail, without a bound on spans.
 """
 
 from __future__ import annotations
@@ -62,6 +64,10 @@ PRIOR = (1.0, -1.5, -2.0, -2.0)
 SWITCH = -0.6
 
 
+#: Lines of a contact block.
+CARD_LINES = 12
+
+
 def _blocks(lines: list[str]) -> list[tuple[int, int]]:
     """[start, end) of blocks; blank lines belong to the block before them."""
     cuts, kind_before = [0], None
@@ -86,6 +92,88 @@ def _near(name: list[str], local: str, s: str) -> bool:
     return len(low) <= 60 and any(w in local for w in re.findall(r"[^\W\d_]{4,}", low))
 
 
+def _contact_runs(blocks: list[tuple[int, int]], lines: list[str], name: list[str], local: str) -> list[tuple[int, int]]:
+    """Blocks with a contact block that blank lines tear apart put together: short lines in a row
+    from one that calls the sender, or is a line of dashes, with a phone or an address among them."""
+    short, called, contact = [], [], []
+    for i, j in blocks:
+        ls = [x for x in lines[i:j] if x.strip()]
+        s = ls[0].strip() if ls else ""
+        fine = bool(ls) and len(ls) <= 2 and all(len(x) <= 70 and not SENTENCE.search(x) and not MARK.match(x) and not HEADER.match(x) for x in ls)
+        dashes = bool(s) and DASHES.match(s) is not None
+        short.append(fine and not (CLOSING.match(s) or DEVICE.match(s) or FORWARD.match(s) or RULE_LONG.match(s) or CAUTION.match(s) or s[-1] in ",:" or (STARS.match(s) and not dashes)))
+        called.append(fine and (dashes or any(_near(name, local, x) for x in ls)))
+        contact.append(fine and any(CONTACT.match(x) or MAIL_ONLY.match(x) for x in ls))
+    out, b, n = [], 0, len(blocks)
+    while b < n:
+        e = b
+        if short[b] and called[b]:
+            while e < n and short[e]:
+                e += 1
+        if e - b >= 3 and any(contact[b:e]):
+            out.append((blocks[b][0], blocks[e - 1][1]))
+            b = e
+        else:
+            out.append(blocks[b])
+            b += 1
+    return out
+
+
+#: States of an open span: authored; quoted without a cue, with one inside its first block, with
+#: one that opens it (first block, later blocks); signature by (contact seen, sender called);
+#: disclaimer by legal cues seen.
+_A, _Q, _Q_IN, _Q_OPEN, _Q_ON, _S, _D = 0, 1, 2, 3, 4, 5, 9
+_LABEL = (AUTHORED, *[QUOTED] * 4, *[SIGNATURE] * 4, *[DISCLAIMER] * 3)
+_BOTH, _LONGER, _RUNS_ON, _ANNOUNCED, _SEVERAL = 1.5, -0.8, 1.6, 2.5, 1.0
+
+
+def _spans(emit: list, start: list, phone: list, called: list, legal: list, marked: list) -> list[tuple[int, int, int]]:
+    """(label, first block, end) of the best sequence of spans."""
+    n, least = len(emit), float("-inf")
+    value = [least] * 12
+    back: list[list[tuple[int, bool]]] = []
+    for b in range(n):
+        e, st = emit[b], start[b]
+        new, via = [least] * 12, [(0, True)] * 12
+        # Best end of a span of each label before this block.
+        ends = [(0.0, -1)] * 4 if b == 0 else [max((value[s], s) for s in r) for r in ((0,), (1, 2, 3, 4), (5, 6, 7, 8), (9, 10, 11))]
+        s_new = _S + 2 * bool(phone[b]) + bool(called[b])
+        q_new = _Q_OPEN if st[QUOTED] > 0 else _Q_IN if e[QUOTED] > 3 else _Q
+        d_new = _D + min(legal[b], 2)
+        for s, bonus in ((_A, 0.0), (q_new, 0.0), (s_new, _BOTH if s_new == _S + 3 else 0.0), (d_new, _SEVERAL if d_new == _D + 2 else 0.0)):
+            k = _LABEL[s]
+            v, p = ends[0] if b == 0 else max(x for q, x in enumerate(ends) if q != k or k == QUOTED)
+            new[s], via[s] = v + e[k] + st[k] + SWITCH + bonus, (p, True)
+        if b:
+            for s in range(12):
+                v, k = value[s], _LABEL[s]
+                if v == least:
+                    continue
+                to, v = s, v + e[k]
+                if k == QUOTED:
+                    if s == _Q_OPEN:
+                        to, v = _Q_ON, v + (0.0 if marked[b] else _ANNOUNCED)
+                    v += _RUNS_ON if s != _Q else 0.0
+                elif k == SIGNATURE:
+                    to = _S + ((s - _S) | (2 * bool(phone[b]) + bool(called[b])))
+                    v += _LONGER + (_BOTH if to == _S + 3 != s else 0.0)
+                elif k == DISCLAIMER:
+                    to = _D + min(s - _D + legal[b], 2)
+                    v += _SEVERAL if to == _D + 2 != s else 0.0
+                if v > new[to]:
+                    new[to], via[to] = v, (s, False)
+        value = new
+        back.append(via)
+    out, b, s, end = [], n - 1, max(range(12), key=lambda s: value[s]), n
+    while b >= 0:
+        p, begins = back[b][s]
+        if begins:
+            out.append((_LABEL[s], b, end))
+            end = b
+        b, s = b - 1, p
+    return out[::-1]
+
+
 def decode(text: str | None) -> list[tuple[int, str]]:
     """(label, span text) of a mail in order; the mail's own head is no part of it."""
     if not text:
@@ -101,9 +189,8 @@ def decode(text: str | None) -> list[tuple[int, str]]:
     address = at.group(0).lower() if at else "\0"
     shown = re.split(r"[<(]|[\w.+-]+@", line)[0]
     name = [w for w in re.findall(r"[^\W\d_]{3,}", (shown if shown.strip() else local).lower())]
-    blocks = _blocks(lines)
-    n = len(blocks)
-    if not n:
+    blocks = _contact_runs(_blocks(lines), lines, name, local)
+    if not blocks:
         return []
     long_lines = any(len(x) > 90 for x in lines)
     emit, start, phone, called, legal, marked = [], [], [], [], [], []
@@ -140,7 +227,7 @@ def decode(text: str | None) -> list[tuple[int, str]]:
         tail = ls[1:] if first and (DASHES.match(first) or STARS.match(first)) else ls
         if first and DASHES.match(first):
             st[SIGNATURE] += 1.5
-        is_short = bool(tail) and len(tail) <= 6 and all(len(x) <= 70 and not SENTENCE.search(x) for x in tail)
+        is_short = bool(tail) and len(tail) <= CARD_LINES and all(len(x) <= 70 and not SENTENCE.search(x) for x in tail)
         ph = any(CONTACT.match(x) for x in tail) or any(PIPES.match(x.strip()) and PHONE.search(x) for x in tail)
         ml = any(MAIL_ONLY.match(x) for x in tail)
         nm = any(_near(name, local, x) for x in tail[:2])
@@ -180,46 +267,7 @@ def decode(text: str | None) -> list[tuple[int, str]]:
         for k in range(4):
             e[k] += PRIOR[k]
         emit.append(e), start.append(st), phone.append(ph or ml), called.append(nm), legal.append(hits), marked.append(marks > 0)
-    # Semi-Markov Viterbi: best[b][k] = best score of the blocks before b when a span of label k ends there.
-    cum = [[0.0] * 4]
-    for e in emit:
-        cum.append([c + x for c, x in zip(cum[-1], e)])
-    best = [[0.0] * 4] + [[float("-inf")] * 4 for _ in range(n)]
-    back: list[list[tuple[int, int]]] = [[(0, -1)] * 4 for _ in range(n + 1)]
-    for j in range(1, n + 1):
-        for i in range(j - 1, -1, -1):
-            length = j - i
-            for k in range(4):
-                if k == SIGNATURE and length > 4:
-                    continue
-                s = cum[j][k] - cum[i][k] + start[i][k] + SWITCH
-                if k == SIGNATURE:
-                    # The whole span: the sender's name with a contact somewhere in it.
-                    s += 1.5 if any(phone[i:j]) and any(called[i:j]) else 0.0
-                    s -= 0.8 * (length - 1)
-                elif k == QUOTED:
-                    # A quote that opens with a cue runs on over plain text.
-                    if start[i][k] > 0 or emit[i][k] > 3:
-                        s += 1.6 * (length - 1)
-                        # What follows an attribution without marks is the text it announces.
-                        if length > 1 and start[i][k] > 0 and not marked[i + 1]:
-                            s += 2.5
-                elif k == DISCLAIMER:
-                    s += 1.0 if sum(legal[i:j]) >= 2 else 0.0
-                for p in range(4):
-                    if i and p == k and k != QUOTED:
-                        continue
-                    v = (best[i][p] if i else 0.0) + s
-                    if v > best[j][k]:
-                        best[j][k], back[j][k] = v, (i, p)
-                    if not i:
-                        break
-    out, j, k = [], n, max(range(4), key=lambda k: best[n][k])
-    while j > 0:
-        i, p = back[j][k]
-        out.append((k, "\n".join(lines[blocks[i][0] : blocks[j - 1][1]])))
-        j, k = i, p
-    return out[::-1]
+    return [(k, "\n".join(lines[blocks[i][0] : blocks[j - 1][1]])) for k, i, j in _spans(emit, start, phone, called, legal, marked)]
 
 
 def newly_written(text: str | None) -> str | None:

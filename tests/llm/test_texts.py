@@ -132,6 +132,54 @@ def test_mail_frame(spark):
     assert mail.reduce_mails(d.limit(0)).count() == 0
 
 
+def span_score(k, i, j, emit, start, phone, called, legal, marked):
+    s = sum(e[k] for e in emit[i:j]) + start[i][k] + mail.SWITCH
+    if k == mail.SIGNATURE:
+        s += (1.5 if any(phone[i:j]) and any(called[i:j]) else 0) - 0.8 * (j - i - 1)
+    if k == mail.QUOTED and (start[i][k] > 0 or emit[i][k] > 3):
+        s += 1.6 * (j - i - 1) + (2.5 if j - i > 1 and start[i][k] > 0 and not marked[i + 1] else 0)
+    return s + (1.0 if k == mail.DISCLAIMER and sum(legal[i:j]) >= 2 else 0)
+
+
+def test_the_linear_decoder_finds_the_best_spans():
+    """Against all spans of all lengths."""
+    r = random.Random(6)
+    for _ in range(120):
+        n = r.randint(1, 14)
+        f = ([[r.uniform(-4, 6) for _ in range(4)] for _ in range(n)], [[r.choice((0, 0, 3.5)) for _ in range(4)] for _ in range(n)], [r.random() < 0.3 for _ in range(n)], [r.random() < 0.3 for _ in range(n)], [r.choice((0, 0, 1, 2)) for _ in range(n)], [r.random() < 0.5 for _ in range(n)])
+        best = [[0.0] * 4] + [[-1e9] * 4 for _ in range(n)]
+        for j in range(1, n + 1):
+            for i in range(j):
+                for k in range(4):
+                    before = 0.0 if not i else max(best[i][p] for p in range(4) if p != k or k == mail.QUOTED)
+                    best[j][k] = max(best[j][k], before + span_score(k, i, j, *f))
+        spans = mail._spans(*f)
+        assert [a for _, a, _ in spans] == [0, *[e for _, _, e in spans[:-1]]] and spans[-1][2] == n
+        assert sum(span_score(k, i, j, *f) for k, i, j in spans) == pytest.approx(max(best[n]))
+
+
+def test_contact_blocks_with_blank_lines():
+    top = "From: Anna Stone <anna.stone@x.example>\nTo: b@y.test\nSubject: s\n\n"
+    body = "The text that I wrote is long enough to count as text.\n\nBest regards\n\n"
+    card = "Anna Stone\n\nHead of Purchasing\n\nStone Works Ltd\n\nPhone +49 555 881 936\n\n12 Mill Road\n\n9000 Harbour"
+    assert mail.newly_written(top + body + card) == body.strip()
+    # Short lines without a contact are text.
+    assert mail.newly_written(top + body + "Anna Stone\n\nseals\n\npumps") == (body + "Anna Stone\n\nseals\n\npumps").strip()
+
+
+def test_long_mails_take_linear_time():
+    import time
+
+    def took(n):
+        t = "From: A B <a@b.example>\n\n" + "\n\n".join(f"Text of block {i} that goes on." for i in range(n))
+        a = time.perf_counter()
+        mail.decode(t)
+        return time.perf_counter() - a
+
+    took(100)
+    assert took(4000) < 30 * took(400)
+
+
 # --- scanned pages ---------------------------------------------------------------------
 CLEAN = ["The intake valve recorded the agreed tolerance before the summer break and the inlet- and outlet-side checks were done. The arm of the form is warm."] * 60
 
