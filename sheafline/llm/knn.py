@@ -6,6 +6,10 @@ classifier, softmax regression on the vector, learns the parts of a vector's nei
 vector is kept in its most probable part, and as a query it goes to its most probable parts
 until their probabilities add up to a share `mass`, which is calibrated on the sample.  Inside
 a part candidates are ranked by their exact cosine.
+
+The number of parts follows the number of vectors.  Beyond what one bounded sample can tell apart
+the index has two levels (`Tree`): the parts of the first are fitted each on a sample of their
+own, by a task each, so a part of PART vectors stays that small up to some 10 ** 8 vectors.
 """
 
 from __future__ import annotations
@@ -39,6 +43,10 @@ class Model:
     def parts(self) -> int:
         return len(self.bias)
 
+    @property
+    def dim(self) -> int:
+        return self.weights.shape[0]
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights + self.bias
         z -= z.max(axis=1, keepdims=True)
@@ -69,6 +77,40 @@ class Model:
         return home, np.concatenate(query) if query else np.empty(0, int), np.concatenate(part) if part else np.empty(0, int)
 
 
+@dataclass
+class Tree:
+    """A model of coarse parts and one below each of them; parts are numbered through."""
+
+    top: Model
+    below: list[Model]
+
+    def __post_init__(self) -> None:
+        self.first = np.concatenate([[0], np.cumsum([m.parts for m in self.below])])
+
+    @property
+    def parts(self) -> int:
+        return int(self.first[-1])
+
+    @property
+    def dim(self) -> int:
+        return self.top.dim
+
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        coarse, query, part = self.top.route(x)
+        home = np.zeros(len(x), np.int64)
+        q_out, p_out = [], []
+        order = np.argsort(part, kind="stable")
+        query, part = query[order], part[order]
+        at = np.searchsorted(part, np.arange(len(self.below) + 1))
+        for c in np.unique(part).tolist():
+            q = query[at[c] : at[c + 1]]
+            h, i, p = self.below[c].route(x[q])
+            own = coarse[q] == c
+            home[q[own]] = self.first[c] + h[own]
+            q_out.append(q[i]), p_out.append(self.first[c] + p)
+        return home, np.concatenate(q_out) if q_out else np.empty(0, int), np.concatenate(p_out) if p_out else np.empty(0, int)
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """(n, k) nearest other vectors by cosine, exact, in blocks."""
     n = len(x)
@@ -207,15 +249,8 @@ def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
     return vectors.where(ok).select("id", F.col("vec").cast("array<float>").alias("vec"))
 
 
-def fit(vectors: DataFrame, n: int, min_cosine: float | None = None, target: float = 0.999, part: int = PART, per_part: int = PER_PART, max_sample: int = MAX_SAMPLE, seed: int = 5) -> Model | None:
-    """Fits the index on a sample of at most max_sample of the n usable vectors (None if n is 0)."""
-    if n == 0:
-        return None
-    m = max(1, min(n // part, max_sample // per_part))
-    size = min(n, max_sample, max(per_part * m, min(n, 2 * part)))
-    draw = vectors if size >= n else vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * size / n))
-    got = draw.select("vec").limit(int(size * 1.2) + 64).toArrow().column(0).combine_chunks()
-    x = unit(got.values.to_numpy(zero_copy_only=False).reshape(len(got), -1).astype(np.float32))
+def _fit(x: np.ndarray, m: int, min_cosine: float | None, target: float, seed: int) -> Model:
+    """A model of at most m parts, fitted on the unit vectors x."""
     rng = np.random.default_rng(seed)
     m = max(1, min(m, len(x) // 8))
     k = min(NEIGHBOURS, len(x) - 1)
@@ -227,6 +262,59 @@ def fit(vectors: DataFrame, n: int, min_cosine: float | None = None, target: flo
     return model
 
 
+def _fit_below(vectors: DataFrame, top: Model, min_cosine: float | None, target: float, part: int, max_parts: int, max_sample: int, seed: int) -> list[Model]:
+    """A model for each part of `top`, each fitted by a task on at most about max_sample vectors."""
+
+    def homes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(top.probabilities(unit(_matrix(b, 1))).argmax(axis=1).astype(np.int64)), b.column(0), b.column(1)], names=["part", "id", "vec"])
+
+    homed = vectors.select("id", "vec").mapInArrow(homes, "part long, id long, vec array<float>")
+    # At most one row per coarse part.
+    size = {r.part: r["count"] for r in homed.groupBy("part").count().collect()}
+
+    def learn(key: tuple, t: pa.Table) -> pa.Table:
+        c = key[0].as_py()
+        v = t.column("vec").combine_chunks()
+        v = pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v
+        x = unit(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float32))
+        got = _fit(x, min(max_parts, max(1, round(size[c] / part))), min_cosine, target, seed)
+        return pa.table({"part": [c], "weights": [got.weights.astype(np.float32).tobytes()], "bias": [got.bias.astype(np.float32).tobytes()], "mass": [float(got.mass)]})
+
+    rate = F.least(F.lit(1.0), F.lit(float(max_sample)) / F.element_at(F.create_map(*[F.lit(v) for kv in size.items() for v in kv]), F.col("part")))
+    drawn = homed.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) < rate * (1 << 30))
+    rows = drawn.select("part", "vec").groupBy("part").applyInArrow(learn, "part long, weights binary, bias binary, mass double").collect()
+    out = [Model(np.zeros((top.dim, 1), np.float32), np.zeros(1, np.float32), 1.0) for _ in range(top.parts)]
+    for r in rows:
+        out[r.part] = Model(np.frombuffer(r.weights, np.float32).reshape(top.dim, -1), np.frombuffer(r.bias, np.float32), r.mass)
+    return out
+
+
+def fit(vectors: DataFrame, n: int, min_cosine: float | None = None, target: float = 0.999, part: int = PART, per_part: int = PER_PART, max_sample: int = MAX_SAMPLE, seed: int = 5) -> Model | Tree | None:
+    """Fits the index for the n usable vectors (None if n is 0).
+
+    One model is fitted on a sample of at most max_sample vectors.  When n asks for more than
+    max_sample / per_part parts, its parts are the square root of that number, and each of them
+    is split by a model of its own, fitted on at most max_sample of its vectors.
+    """
+    if n == 0:
+        return None
+    wanted, most = max(1, n // part), max_sample // per_part
+    deep = wanted > most
+    m = min(most, int(np.ceil(np.sqrt(wanted)))) if deep else wanted
+    size = min(n, max_sample, max(per_part * m, min(n, 2 * part)))
+    draw = vectors if size >= n else vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * size / n))
+    got = draw.select("vec").limit(int(size * 1.2) + 64).toArrow().column(0).combine_chunks()
+    x = unit(got.values.to_numpy(zero_copy_only=False).reshape(len(got), -1).astype(np.float32))
+    # With two levels a neighbour has to be reached in both.
+    each = float(np.sqrt(target)) if deep else target
+    top = _fit(x, m, min_cosine, each, seed)
+    if not deep or top.parts == 1:
+        return top
+    return Tree(top, _fit_below(vectors, top, min_cosine, each, part, most, max_sample, seed))
+
+
 _ROWS = pa.schema([("grp", pa.int64()), ("id", pa.int64()), ("role", pa.int8()), ("vec", pa.binary())])
 _FOUND = "id long, other long, cosine double"
 _MEMBER, _QUERY = 1, 2
@@ -237,7 +325,7 @@ def _matrix(batch: pa.RecordBatch, col: int) -> np.ndarray:
     return a.values[a.offsets[0].as_py() : a.offsets[-1].as_py()].to_numpy(zero_copy_only=False).reshape(len(a), -1).astype(np.float32)
 
 
-def _sizes(base: DataFrame, queries: DataFrame | None, model: Model) -> tuple[dict[int, int], dict[int, int]]:
+def _sizes(base: DataFrame, queries: DataFrame | None, model: Model | Tree) -> tuple[dict[int, int], dict[int, int]]:
     """Members and queries of each part: at most `parts` rows reach the driver."""
 
     def count(df: DataFrame, role: int) -> DataFrame:
@@ -252,7 +340,8 @@ def _sizes(base: DataFrame, queries: DataFrame | None, model: Model) -> tuple[di
                 home_n[:] = 0
             if not role & _QUERY:
                 query_n[:] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(model.parts)), pa.array(home_n), pa.array(query_n)], names=["part", "m", "q"])
+            some = np.flatnonzero(home_n + query_n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(home_n[some]), pa.array(query_n[some])], names=["part", "m", "q"])
 
         return df.select("vec").mapInArrow(run, "part long, m long, q long")
 
@@ -261,7 +350,7 @@ def _sizes(base: DataFrame, queries: DataFrame | None, model: Model) -> tuple[di
     return {r.part: r.m for r in rows}, {r.part: r.q for r in rows}
 
 
-def search(base: DataFrame, model: Model | None, k: int, queries: DataFrame | None = None, min_cosine: float | None = None, block: int = BLOCK) -> DataFrame:
+def search(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFrame | None = None, min_cosine: float | None = None, block: int = BLOCK) -> DataFrame:
     """(id, other, cosine): for every query its k most similar vectors of base, itself left out.
 
     base, queries: (id, vec) of usable vectors with unique ids; without queries every vector of
@@ -358,7 +447,7 @@ def search(base: DataFrame, model: Model | None, k: int, queries: DataFrame | No
         return pa.table({"id": cat(out_a, np.int64), "other": cat(out_b, np.int64), "cosine": cat(out_c, np.float64)})
 
     # As many partitions as the shuffled vectors need at a few MB each, so a task's share does not grow with the data.
-    width = 4 * model.weights.shape[0] + 24
+    width = 4 * model.dim + 24
     need = int((sum(members.values()) + sum(asked.values())) * width / PARTITION_BYTES) + 1
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(max(need, min(shuffle, int(start[-1]))), "grp")

@@ -54,6 +54,20 @@ def test_every_fiftieth_against_all(spark):
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("least", [0.92, None])
+def test_two_levels_of_parts(spark, least):
+    x = near_copies(3000)
+    v = frame(spark, x).repartition(4)
+    m = knn.fit(v, len(x), least, 0.99, part=64, per_part=32, max_sample=640)
+    assert isinstance(m, knn.Tree) and m.top.parts > 4 and m.parts > 20
+    home = m.route(knn.unit(x))[0]
+    assert np.bincount(home, minlength=m.parts).max() < 640
+    got = {(r.id, r.other) for r in knn.search(v, m, 10, min_cosine=least).collect()}
+    want = brute(x, 10, least)
+    both = (lambda s: {tuple(sorted(p)) for p in s}) if least else set
+    assert len(both(got) & both(want)) >= 0.95 * len(both(want))
+
+
 def test_parts_are_balanced():
     x = knn.unit(near_copies(2000))
     g = knn.neighbour_graph(x, 10)
