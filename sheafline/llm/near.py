@@ -8,6 +8,9 @@ blocks, so every pair that differs in at most three positions of some group coll
 table: in all, every pair within Hamming radius 4 x GROUPS - 1 of the signatures.  Collisions
 are then verified with the exact similarity.  Records with equal shingle sets are one class and
 enter the tables once.
+
+The tables hold many more keys than the collection has records, so keys travel packed: a task
+sorts the keys of many records into ranges and sends each range as one compressed block.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,16 @@ GROUPS, WIDTH = 12, 11
 MASKS = tuple(tuple(sorted((x + s) % WIDTH for x in (1, 3, 4, 5, 9))) for s in range(WIDTH))
 _RUN = re.compile(r"[^\W_]+")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-#: Members of a bucket that are paired where they lie; larger buckets go through a join.
+#: Members of a bucket that are paired where they lie; the pairs of larger buckets are made in
+#: squares of this side, spread over all tasks.
 MAX_RUN = 256
+#: Bits of the keys and of the short class hash in the tables.  Both are verified later: the
+#: class by a second hash of 64 bits, the collision by the exact similarity.
+KEY_BITS = CLASS_BITS = 40
+#: Records whose keys are packed together, records hashed at once, and keys that one task sorts.
+PACKED, AT_ONCE, KEYS_PER_TASK = 20_000, 8192, 4_000_000
+#: Pairs made at once.
+PAIRS_AT_ONCE = 1 << 20
 
 
 class _Words(dict):
@@ -72,19 +84,25 @@ def shingle_hashes(texts: list[str | None], k: int, words: _Words) -> tuple[np.n
     owner = np.repeat(np.arange(len(texts)), n)
     good = owner[:m] == owner[k - 1 :]
     h, owner = h[good], owner[:m][good]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[first], owner[first]
-    return h, np.searchsorted(owner, np.arange(len(texts) + 1))
+    if len(texts) > 1 << 14:
+        raise ValueError("at most 16,384 texts at once")
+    # Owner and 50 bits of the hash in one number, which sorts faster than two.
+    both = np.sort((owner.astype(np.uint64) << np.uint64(50)) | (h >> np.uint64(14)))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    at = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(50))
+    return (both & np.uint64((1 << 50) - 1)) * _M[0], at
 
 
-def set_hashes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One signed 64-bit hash of each set; 0 for an empty set."""
-    c = np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)])
+def set_hashes(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, of CLASS_BITS and 64 bits; both 0 for an empty set."""
     n = np.diff(offsets).astype(np.uint64)
-    return np.where(n > 0, _mix((c[offsets[1:]] - c[offsets[:-1]]) + n * _M[0]) | np.uint64(1), np.uint64(0)).view(np.int64)
+
+    def total(x: np.ndarray) -> np.ndarray:
+        c = np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
+        return _mix(c[offsets[1:]] - c[offsets[:-1]] + n * _M[0])
+
+    short = (total(h) >> np.uint64(64 - CLASS_BITS)) | np.uint64(1)
+    return np.where(n > 0, short, np.uint64(0)).view(np.int64), np.where(n > 0, total(_mix(h * _M[1]) * _M[2]), np.uint64(0)).view(np.int64)
 
 
 def table_keys(h: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -92,7 +110,7 @@ def table_keys(h: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.n
     rng = np.random.default_rng(20_240_501)
     a, b = rng.integers(0, 1 << 32, groups * WIDTH, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, groups * WIDTH, np.uint32)
     low, starts = (h >> np.uint64(16)).astype(np.uint32), offsets[:-1]
-    sig = np.stack([np.minimum.reduceat(low * a[i] + b[i], starts) for i in range(groups * WIDTH)], 1).astype(np.uint64)
+    sig = np.stack([np.minimum.reduceat(low * a[i] + b[i], starts) for i in range(groups * WIDTH)], 1).astype(np.uint64) if len(starts) else np.empty((0, groups * WIDTH), np.uint64)
     out = np.empty((len(starts), groups * WIDTH), np.uint64)
     for g in range(groups):
         for m, mask in enumerate(MASKS):
@@ -103,174 +121,252 @@ def table_keys(h: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.n
     return out.view(np.int64)
 
 
-def _buckets(docs: DataFrame, k: int, groups: int) -> DataFrame:
-    """(key, cls) of every class of equal shingle sets; a class may come once from each task."""
-    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
+def _pack(keys: np.ndarray, cls: np.ndarray) -> bytes:
+    """Keys in order with their classes: differences and classes as planes of bytes, compressed."""
+    d = np.diff(keys, prepend=np.uint64(0))
+    planes = np.concatenate([x.view(np.uint8).reshape(-1, 8).T[:6].ravel() for x in (d, cls.astype(np.uint64))])
+    return np.int64(len(keys)).tobytes() + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _Words(), set()
-        for batch in it:
-            h, at = shingle_hashes(batch.column(0).to_pylist(), k, words)
-            cls = set_hashes(h, at)
-            keep = []
-            for i in np.flatnonzero(cls).tolist():
-                c = int(cls[i])
-                if c not in seen:
-                    seen.add(c)
-                    keep.append(i)
-            if len(seen) > 500_000:
-                seen.clear()  # only saves work; copies meet again behind the shuffle
-            if not keep:
-                continue
-            keep = np.array(keep)
-            n = (at[1:] - at[:-1])[keep]
-            take = np.repeat(at[:-1][keep] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            keys = table_keys(h[take], np.concatenate([[0], np.cumsum(n)]), groups)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls[keep], keys.shape[1]))], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "key long, cls long")
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob[:8], np.int64)[0])
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], 12 * n, asbytes=True), np.uint8).reshape(12, n)
+    wide = np.zeros((2, n, 8), np.uint8)
+    wide[0, :, :6], wide[1, :, :6] = planes[:6].T, planes[6:].T
+    d, cls = wide[0].reshape(-1).view(np.uint64), wide[1].reshape(-1).view(np.int64)
+    return np.cumsum(d, dtype=np.uint64), cls
 
 
-def _collisions(buckets: DataFrame) -> DataFrame:
-    """(a, b) of classes that share a bucket, a < b, each once.
+_FLOW = pa.schema([("p", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("blob", pa.binary())])
+_FLOW_DDL = "p int, a long, b long, cls long, cls2 long, blob binary"
 
-    The rows come sorted by key; a bucket is paired where it lies.  Members of a bucket with more
-    than MAX_RUN classes are passed on and paired by a join that may split a hot key.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("big", pa.bool_())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: int | None = None
-        held: list[int] = []
-        big = False
+def _flow(p, a=None, b=None, cls=None, cls2=None, blob=None) -> pa.RecordBatch:
+    n = len(p)
+    cols = (pa.array(x, f.type) if x is not None else pa.nulls(n, f.type) for x, f in zip((p, a, b, cls, cls2, blob), _FLOW))
+    return pa.RecordBatch.from_arrays(list(cols), schema=_FLOW)
 
-        def close(out_a: list, out_b: list) -> None:
-            if not big and len(held) > 1:
-                for x, y in combinations(held, 2):
-                    out_a.append(x), out_b.append(y)
 
-        for batch in it:
-            k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            # Rows of the same key and class are copies from other tasks.
-            a, b, ga, gb = [], [], [], []
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c = k[new], c[new]
-            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            ends = np.concatenate([starts[1:], [len(k)]])
-            multi = (ends - starts > 1) | (starts == 0) | (ends == len(k))
-            for s, e in zip(starts[multi].tolist(), ends[multi].tolist()):
-                if int(k[s]) != key:
-                    close(a, b)
-                    key, held, big = int(k[s]), [], False
-                for x in c[s:e].tolist():
-                    if big:
-                        ga.append(key), gb.append(x)
-                    elif not held or held[-1] != x:
-                        held.append(x)
-                        if len(held) > MAX_RUN:
-                            big = True
-                            ga += [key] * len(held)
-                            gb += held
-                            held = []
-            if a or ga:
-                yield pa.RecordBatch.from_arrays([pa.array(a + ga, pa.int64()), pa.array(b + gb, pa.int64()), pa.array([False] * len(a) + [True] * len(ga))], schema=schema)
-        a, b = [], []
-        close(a, b)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * len(a))], schema=schema)
-
-    found = cut(buckets.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a long, b long, big boolean"))
-    small = found.where("not big").select("a", "b")
-    large = found.where("big").select(F.col("a").alias("key"), F.col("b").alias("cls")).distinct()
-    joined = large.alias("x").join(large.alias("y"), "key").where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    return small.unionByName(joined).distinct()
-
-
-def members(docs: DataFrame, k: int) -> DataFrame:
-    """(id, grp, cls) of every record with at least one shingle; equal shingle sets share cls."""
+def _hashed(docs: DataFrame, k: int, groups: int, parts: int) -> DataFrame:
+    """One pass over the texts.  Rows of a record: a = id, b = grp, cls, cls2.  Rows of a range p
+    of keys: blob, the packed keys of many classes; a class may come from several tasks."""
 
-    def make():
-        words = _Words()
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = _Words(), set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            keys, cls = np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held])
+            order = np.argsort(keys)
+            keys, cls = keys[order], cls[order]
+            edges = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(KEY_BITS)) // np.uint64(parts))
+            full = np.flatnonzero(np.diff(edges))
+            for s in range(0, len(full), 256):
+                some = full[s : s + 256].tolist()
+                yield _flow(some, blob=[_pack(keys[edges[p] : edges[p + 1]], cls[edges[p] : edges[p + 1]]) for p in some])
+
+        for whole in it:
+            for at_ in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at_, AT_ONCE)
+                h, at = shingle_hashes(batch.column(2).to_pylist(), k, words)
+                cls, cls2 = set_hashes(h, at)
+                on = np.flatnonzero(cls)
+                if not len(on):
+                    continue
+                take = pa.array(on)
+                where = (cls[on] % parts).astype(np.int32)
+                yield _flow(where, batch.column(0).take(take), batch.column(1).take(take), cls[on], cls2[on])
+                keep = []
+                for i in on.tolist():
+                    c = int(cls2[i])
+                    if c not in seen:
+                        seen.add(c)
+                        keep.append(i)
+                if len(seen) > 500_000:
+                    seen.clear()  # only saves work; copies meet again behind the shuffle
+                if not keep:
+                    continue
+                keep = np.array(keep)
+                n = (at[1:] - at[:-1])[keep]
+                rows = np.repeat(at[:-1][keep] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                keys = table_keys(h[rows], np.concatenate([[0], np.cumsum(n)]), groups)
+                held.append(((keys.view(np.uint64) >> np.uint64(64 - KEY_BITS)).ravel(), np.repeat(cls[keep], keys.shape[1])))
+                n_held += len(keep)
+                if n_held >= PACKED:
+                    yield from send()
+                    held, n_held = [], 0
+        if held:
+            yield from send()
+
+    return docs.select("id", "grp", "text").mapInArrow(run, _FLOW_DDL)
+
+
+def _squares(n: int, side: int) -> Iterator[tuple[int, int]]:
+    c = -(-n // side)
+    for i in range(c):
+        for j in range(i, c):
+            yield i * side, j * side
+
+
+def _pairs_within(cls: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct pairs of each bucket (rows starts .. starts + sizes of cls, in order), some at once."""
+    for n in np.unique(sizes).tolist():
+        s = starts[sizes == n]
+        i, j = np.triu_indices(n, 1)
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for x in range(0, len(s), step):
+            at = s[x : x + step, None]
+            yield np.unique(np.stack([cls[(at + i).ravel()], cls[(at + j).ravel()]], 1), axis=0)
+
+
+def _met(flow: DataFrame, parts: int, side: int) -> DataFrame:
+    """Rows of records as they are; pairs of classes that share a bucket as a, b with p = -1; pairs
+    of chunks of large buckets as blobs with p = -2."""
 
-        def f(ids, grp, texts):
-            cls = set_hashes(*shingle_hashes(texts, k, words))
-            on = np.flatnonzero(cls).tolist()
-            return [ids[i] for i in on], [grp[i] for i in on], [int(cls[i]) for i in on]
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: dict[int, list[bytes]] = {}
+        for batch in it:
+            blob = batch.column(5)
+            is_record = blob.is_null()
+            records = batch.filter(is_record)
+            if records.num_rows:
+                yield records
+            rest = batch.filter(pa.compute.invert(is_record))
+            for p, x in zip(rest.column(0).to_pylist(), rest.column(5).to_pylist()):
+                ranges.setdefault(p, []).append(x)
+        for p in sorted(ranges):
+            got = [_unpack(x) for x in ranges.pop(p)]
+            keys, cls = np.concatenate([x for x, _ in got]), np.concatenate([c for _, c in got])
+            order = np.argsort(keys)
+            keys, cls = keys[order], cls[order]
+            # Most keys stand alone; only the others are put in order by class.
+            same = keys[1:] == keys[:-1]
+            met = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+            keys, cls = keys[met], cls[met]
+            order = np.lexsort((cls, keys))
+            keys, cls = keys[order], cls[order]
+            # Rows of the same key and class are copies from other tasks.
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])
+            keys, cls = keys[new], cls[new]
+            if not len(keys):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+            some = (sizes > 1) & (sizes <= side)
+            for pairs in _pairs_within(cls, starts[some], sizes[some]):
+                yield _flow(np.full(len(pairs), -1), np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+            for s, n in zip(starts[sizes > side].tolist(), sizes[sizes > side].tolist()):
+                c = cls[s : s + n]
+                for i, j in _squares(n, side):
+                    yield _flow([-2], [i], [j], blob=[np.concatenate([[np.int64(len(c[i : i + side]))], c[i : i + side], c[j : j + side]]).tobytes()])
 
-        return f
+    return flow.repartitionById(parts, "p").mapInArrow(run, _FLOW_DDL)
 
-    return map_rows(docs, ["id", "grp", "text"], make, "id long, grp long, cls long")
 
+def _collisions(met: DataFrame) -> DataFrame:
+    """(a, b) of classes that share a bucket, a < b, each once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def similar_classes(docs: DataFrame, members_: DataFrame, threshold: float, k: int, groups: int = GROUPS) -> DataFrame:
-    """(a, b, jaccard) of classes with different shingle sets and at least the similarity."""
-    cand = cut(_collisions(_buckets(docs, k, groups)))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for x in batch.column(0).to_pylist():
+                v = np.frombuffer(x, np.int64)
+                left, right = v[1 : 1 + v[0]], v[1 + v[0] :]
+                i, j = np.nonzero(left[:, None] < right[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(left[i]), pa.array(right[j])], schema=schema)
+
+    small = met.where("p = -1").select("a", "b")
+    # Squares of one large bucket go to many tasks.
+    large = met.where("p = -2").select("blob").repartition(F.xxhash64("blob")).mapInArrow(run, "a long, b long")
+    return small.unionByName(large).distinct()
+
+
+def similar_classes(docs: DataFrame, members_: DataFrame, cand: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, a2, b, b2, jaccard) of classes with different shingle sets and at least the similarity."""
+    # Classes of one short hash and two long ones are candidates of each other.
+    twins = members_.groupBy("cls").agg((F.min("cls2") != F.max("cls2")).alias("t")).where("t").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    cand = cut(cand.unionByName(twins))
     wanted = cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     # One record of each class that has a candidate is read again for the exact check.
-    reps = members_.join(bounded(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    reps = cut(reps)
+    reps = cut(members_.join(bounded(wanted), "cls", "left_semi").groupBy("cls", "cls2").agg(F.min("id").alias("id")))
     texts = docs.select("id", "text").join(bounded(reps, MAX_IDS), "id")
 
     def make():
         words = _Words()
 
-        def f(cls, ts):
-            h, at = shingle_hashes(ts, k, words)
-            h = h.view(np.int64)
-            return cls, [h[x:y].tolist() for x, y in zip(at[:-1], at[1:])]
+        def f(cls, cls2, ts):
+            sets = []
+            for s in range(0, len(ts), AT_ONCE):
+                h, at = shingle_hashes(ts[s : s + AT_ONCE], k, words)
+                h = h.view(np.int64)
+                sets += [h[x:y].tolist() for x, y in zip(at[:-1], at[1:])]
+            return cls, cls2, sets
 
         return f
 
     # Ids are unique, but a repeated one must not double a pair.
-    sets = map_rows(texts, ["cls", "text"], make, "cls long, s array<long>").dropDuplicates(["cls"])
-    j = cand.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    sets = map_rows(texts, ["cls", "cls2", "text"], make, "cls long, cls2 long, s array<long>").dropDuplicates(["cls", "cls2"])
+    a, b = (sets.select(F.col("cls").alias(x), F.col("cls2").alias(f"{x}2"), F.col("s").alias(f"s{x}")) for x in ("a", "b"))
+    j = cand.join(a, "a").join(b, "b").where((F.col("a") < F.col("b")) | (F.col("a2") < F.col("b2")))
     both = F.size(F.array_intersect("sa", "sb"))
-    j = j.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+    j = j.select("a", "a2", "b", "b2", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
     return j.where(F.col("jaccard") >= threshold - 1e-12)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, groups: int = GROUPS, side: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, members) of docs (id, grp, text).
 
-    links: (a, b, jaccard) between classes of equal shingle sets whose similarity is at least the
-    threshold, each pair once, a < b.  members: (id, grp, cls).  Records without a full shingle
-    (null, empty, or fewer than k words) belong to no class and are like nothing.  The guarantee
-    is on the signatures' radius; a group loses a pair of similarity 0.70 with 0.300, of 0.75 with 0.189, so
-    with the default of 12 groups all tables miss it with 5e-7 and 2e-9 (4 groups: 0.008, 0.001).
+    links: (a, a2, b, b2, jaccard) between classes (cls, cls2) of equal shingle sets whose
+    similarity is at least the threshold, each pair once.  members: (id, grp, cls, cls2).  Records
+    without a full shingle (null, empty, or fewer than k words) belong to no class and are like
+    nothing.  The guarantee is on the signatures' radius; a group loses a pair of similarity 0.70
+    with 0.300, of 0.75 with 0.189, so with the default of 12 groups all tables miss it with 5e-7
+    and 2e-9 (4 groups: 0.008, 0.001).
     """
     docs = docs.select("id", "grp", "text")
-    m = cut(members(docs, k))
-    return similar_classes(docs, m, threshold, k, groups), m
+    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * groups * WIDTH // KEYS_PER_TASK))
+    met = cut(_met(_hashed(docs, k, groups, parts), parts, side or MAX_RUN))
+    m = met.where("p >= 0").select(F.col("a").alias("id"), F.col("b").alias("grp"), "cls", "cls2")
+    return similar_classes(docs, m, _collisions(met), threshold, k), m
+
+
+_CLS = ("cls", "cls2")
 
 
 def record_pairs(links: DataFrame, members_: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of similar records of different grp: the classes expanded."""
     x, y = members_.alias("x"), members_.alias("y")
     differ = ~F.col("x.grp").eqNullSafe(F.col("y.grp"))
-    across = links.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(differ).select(F.least("x.id", "y.id").alias("id_a"), F.greatest("x.id", "y.id").alias("id_b"))
-    several = members_.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
-    copies = members_.join(several, "cls", "left_semi")
+    across = links.join(x, (F.col("a") == F.col("x.cls")) & (F.col("a2") == F.col("x.cls2"))).join(y, (F.col("b") == F.col("y.cls")) & (F.col("b2") == F.col("y.cls2"))).where(differ).select(F.least("x.id", "y.id").alias("id_a"), F.greatest("x.id", "y.id").alias("id_b"))
+    several = members_.groupBy(*_CLS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_CLS)
+    copies = members_.join(several, list(_CLS), "left_semi")
     u, v = copies.alias("x"), copies.alias("y")
-    within = u.join(v, F.col("x.cls") == F.col("y.cls")).where(F.col("x.id") < F.col("y.id")).where(differ).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    within = u.join(v, (F.col("x.cls") == F.col("y.cls")) & (F.col("x.cls2") == F.col("y.cls2"))).where(F.col("x.id") < F.col("y.id")).where(differ).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
     return across.unionByName(within).where("id_a < id_b").distinct()
 
 
 def record_links(links: DataFrame, members_: DataFrame) -> DataFrame:
     """(id, class_id, copies, links): per record its class (least id of it), the size of the
     class, and the number of other classes that it is similar to."""
-    size = members_.groupBy("cls").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    deg = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
-    per = size.join(deg, "cls", "left").fillna({"links": 0})
-    return members_.join(per, "cls").select("id", "class_id", "copies", "links")
+    size = members_.groupBy(*_CLS).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("a2").alias("cls2")), F.struct(F.col("b").alias("cls"), F.col("b2").alias("cls2")))).alias("e")
+    deg = links.select(ends).select("e.*").groupBy(*_CLS).agg(F.count(F.lit(1)).alias("links"))
+    per = size.join(deg, list(_CLS), "left").fillna({"links": 0})
+    return members_.join(per, list(_CLS)).select("id", "class_id", "copies", "links")
 
 
-def equal_files(files: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of files (id, hash) with the same non-blank hash in any spelling."""
+def file_classes(files: DataFrame) -> DataFrame:
+    """(id, class_id, copies) of files (id, hash) with a non-blank hash in any spelling: class_id is
+    the least id with that hash.  Null and blank hashes are in no class; repeated rows count once."""
     h = F.regexp_replace(F.lower(F.trim("hash")), r"^(sha-?256|sha-?1|md5)\s*[:=]\s*", "")
-    f = files.select("id", h.alias("h")).where("h <> ''")
-    again = f.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    f = f.join(again, "h", "left_semi")
-    return f.alias("x").join(f.alias("y"), "h").where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()
+    f = files.select("id", h.alias("h")).where("h <> ''").distinct()
+    c = f.groupBy("h").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    return f.join(c, "h").select("id", "class_id", "copies")
+
+
+def equal_files(files: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of files of one class: its classes (`file_classes`) expanded."""
+    f = file_classes(files).where("copies > 1").select("id", "class_id")
+    return f.alias("x").join(f.alias("y"), "class_id").where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()

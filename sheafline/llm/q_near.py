@@ -27,8 +27,17 @@ def p3_links(spark, sf_dir):
     return near.record_links(*_near(spark, sf_dir)).withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_links": p3_links}
+def p3_files(spark, sf_dir):
+    """Every file with its class of equal hashes."""
+    return near.file_classes(load(spark, sf_dir, "files")).withColumnRenamed("id", "file_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p3_files": p3_files}
 ORACLES = {
+    "p3_files": """
+with f as (select distinct id, regexp_replace(lower(trim(hash)), '^(sha-?256|sha-?1|md5)\\s*[:=]\\s*', '') as h from files where hash is not null)
+select id as file_id, min(id) over (partition by h) as class_id, count(*) over (partition by h) as copies from f where h <> ''
+""",
     "p3_found": """
 with w as (select id, file_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from chunks where text is not null),
 s as (select distinct id, file_id, array_to_string(w[k : k + 2], ' ') as s from (select id, file_id, w, unnest(range(1, len(w) - 1)) as k from w where len(w) >= 3)),
