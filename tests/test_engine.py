@@ -113,3 +113,24 @@ def test_investigate_export_and_clustering(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 3
     store.clustered(df, ["k"], 4).write.parquet(str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).where("k = 3").count() == 10
+
+
+def test_only_peers_are_benchmarked():
+    from sheafline.catalog import ColumnInfo
+
+    def kind(name, *values):
+        return explore.peers(ColumnInfo(**{**{f: None for f in ColumnInfo.__dataclass_fields__}, "name": name, "values": list(values)}))
+
+    assert kind("dealer") == "peer" and kind("sales_region", "North", "South") == "peer"
+    assert kind("claim_status", "Approved") == "state" and kind("plant_type") == "state"
+    assert kind("step", "Approved", "Rejected by", "x", "y") == "state" and kind("dealer", "Open", "Closed") == "state"
+    assert kind("product", "A", "B") == "maybe" and kind("colour", "newish", "noble") == "maybe"
+
+
+def test_failure_words_are_tried_in_order():
+    from sheafline.catalog import ColumnInfo
+
+    def worst(*values):
+        return explore.worst_value(ColumnInfo(**{**{f: None for f in ColumnInfo.__dataclass_fields__}, "name": "s", "values": list(values)}))
+
+    assert worst("Pending", "Rejected") == "Rejected" and worst("active", "Churned") == "Churned" and worst("ok", "In arrears") == "In arrears" and worst("ok", "fine") is None

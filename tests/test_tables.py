@@ -165,3 +165,35 @@ def test_walk_and_extract(spark, tmp_path):
     assert sorted(r.path.rsplit("/", 1)[1] for r in w.collect()) == ["a.md", "bad.docx"]
     got = {r.path.rsplit("/", 1)[1]: r for r in files.extract_files(spark, w).collect()}
     assert got["a.md"].text == "some text" and got["bad.docx"].error and got["bad.docx"].text is None
+
+
+def test_headers_dates_and_kinds_of_columns():
+    assert sheets.header_row(sheets._codes([["Report"], [], ["Name", "Day", "No"], ["a", "2025-01-02", "7"], ["b", "03/04/2025", "8"]])) == 2
+    assert sheets.header_row(sheets._codes([["1", "2"], ["3", "4"]])) is None and sheets.header_row(sheets._codes([["a", "b"]])) is None and sheets.header_row(sheets._codes([])) is None
+    days = {"2025-07-04": (2025, 7, 4), "04-Jul-2025": (2025, 7, 4), "31/12/2025": (2025, 12, 31), "12/31/2025": (2025, 12, 31), "4/7/2025": (2025, 7, 4), "2025/07/04": (2025, 7, 4)}
+    assert all((d := sheets._moment(t)) and (d.year, d.month, d.day) == want for t, want in days.items())
+    assert sheets._moment("2025-02-30") is None and sheets._moment("04-Xyz-2025") is None and sheets._moment("2025-07-04 10:11:12").second == 12
+
+    def kind(label, *cells):
+        p = sheets.probe("s", [[label, "note"], *[[c, "some words here"] for c in cells]])
+        return p.columns[0].type, p.columns[0].role
+
+    assert kind("Amount", "1,200", "7") == ("INTEGER", "number") and kind("Amount", "1.5", "7") == ("REAL", "number")
+    assert kind("Order No", "1", "2") == ("TEXT", "id") and kind("Weight no", "1", "2") == ("INTEGER", "number") and kind("x", "007", "8") == ("TEXT", "id")
+    assert kind("Day", *["2025-01-02"] * 9, "soon") == ("TEXT", "date") and kind("City", "Ulm", "Bonn") == ("TEXT", "category")
+    assert kind("Text", *[f"{i} " + "long words " * 9 for i in range(50)]) == ("TEXT", "text")
+    assert not sheets.probe("s", []).ok and not sheets.probe("s", [[None, " "]]).ok
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    rows = ["name,day"] + [f"n{i},2025-01-{1 + i % 28:02d}" if i % 7 else "" for i in range(4000)]
+    (tmp_path / "b.csv").write_text("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df, _ = sheets.read_csv(spark, str(tmp_path / "b.csv"))
+        assert df.rdd.getNumPartitions() > 3
+        got = {r._row: r.name for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i + 2: f"n{i}" for i in range(4000) if i % 7}
