@@ -5,8 +5,9 @@ shingles; two records agree in a position with the probability of their Jaccard
 The tables are structured masks over the positions: the eleven blocks of the (11, 5, 2) biplane,
 each keeping five positions of a group.  Three positions of a group never meet all eleven
 blocks, so every pair that differs in at most three positions of some group collides in some
-table: in all, every pair within Hamming radius 4 x GROUPS - 1 of the signatures.  Collisions
-are then verified with the exact similarity.  Records with equal shingle sets are one class and
+table of it: every pair within Hamming radius 4 x GROUPS - 1 of the signatures collides once, and
+every pair within 4 x (GROUPS - 1) - 1 in at least two tables.  Two collisions make a candidate,
+as unlike pairs hardly ever collide twice, and candidates are verified with the exact similarity.  Records with equal shingle sets are one class and
 enter the tables once.
 
 The tables hold many more keys than the collection has records, so keys travel packed: a task
@@ -30,7 +31,9 @@ from sheafline.llm.arrow import map_rows
 from sheafline.llm.library import MAX_IDS, bounded
 from sheafline.session import cut
 
-GROUPS, WIDTH = 12, 11
+GROUPS, WIDTH = 14, 11
+#: Tables in which a candidate has to collide.
+COLLISIONS = 2
 #: The eleven masks: the quadratic residues modulo 11, shifted.
 MASKS = tuple(tuple(sorted((x + s) % WIDTH for x in (1, 3, 4, 5, 9))) for s in range(WIDTH))
 _RUN = re.compile(r"[^\W_]+")
@@ -38,15 +41,23 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 #: Members of a bucket that are paired where they lie; the pairs of larger buckets are made in
 #: squares of this side, spread over all tasks.
 MAX_RUN = 256
-#: Bits of the keys and of the short class hash in the tables.  Both are verified later: the
-#: class by a second hash of 64 bits, the collision by the exact similarity.
-KEY_BITS = CLASS_BITS = 40
 #: Records whose keys are packed together, records hashed at once, and keys that one task sorts.
 PACKED, AT_ONCE, KEYS_PER_TASK = 20_000, 8192, 4_000_000
 #: Pairs made at once.
 PAIRS_AT_ONCE = 1 << 20
 
 
+def bits_for(n: int) -> tuple[int, int]:
+    """Bits of the keys and of the short class hashes in the tables of n records.
+
+    They grow with n, so that chance collisions of keys stay fewer than the records, and those of
+    classes fewer than one in a hundred of them.  Neither loses anything: a class is told apart by
+    a second hash of 64 bits, and a collision by the exact similarity.
+    """
+    b = max(10, int(n).bit_length())
+    return min(48, b + 13), min(40, b + 6)
+
+
 class _Words(dict):
     """64-bit hashes of the words of a piece of text without blanks, forgotten once 400,000
     pieces are held."""
@@ -93,15 +104,15 @@ def shingle_hashes(texts: list[str | None], k: int, words: _Words) -> tuple[np.n
     return (both & np.uint64((1 << 50) - 1)) * _M[0], at
 
 
-def set_hashes(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each set, of CLASS_BITS and 64 bits; both 0 for an empty set."""
+def set_hashes(h: np.ndarray, offsets: np.ndarray, class_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, of class_bits and 64 bits; both 0 for an empty set."""
     n = np.diff(offsets).astype(np.uint64)
 
     def total(x: np.ndarray) -> np.ndarray:
         c = np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
         return _mix(c[offsets[1:]] - c[offsets[:-1]] + n * _M[0])
 
-    short = (total(h) >> np.uint64(64 - CLASS_BITS)) | np.uint64(1)
+    short = (total(h) >> np.uint64(64 - class_bits)) | np.uint64(1 << class_bits)
     return np.where(n > 0, short, np.uint64(0)).view(np.int64), np.where(n > 0, total(_mix(h * _M[1]) * _M[2]), np.uint64(0)).view(np.int64)
 
 
@@ -147,7 +158,7 @@ def _flow(p, a=None, b=None, cls=None, cls2=None, blob=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols), schema=_FLOW)
 
 
-def _hashed(docs: DataFrame, k: int, groups: int, parts: int) -> DataFrame:
+def _hashed(docs: DataFrame, k: int, groups: int, parts: int, key_bits: int, class_bits: int) -> DataFrame:
     """One pass over the texts.  Rows of a record: a = id, b = grp, cls, cls2.  Rows of a range p
     of keys: blob, the packed keys of many classes; a class may come from several tasks."""
 
@@ -160,7 +171,7 @@ def _hashed(docs: DataFrame, k: int, groups: int, parts: int) -> DataFrame:
             keys, cls = np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held])
             order = np.argsort(keys)
             keys, cls = keys[order], cls[order]
-            edges = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(KEY_BITS)) // np.uint64(parts))
+            edges = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(key_bits)) // np.uint64(parts))
             full = np.flatnonzero(np.diff(edges))
             for s in range(0, len(full), 256):
                 some = full[s : s + 256].tolist()
@@ -170,7 +181,7 @@ def _hashed(docs: DataFrame, k: int, groups: int, parts: int) -> DataFrame:
             for at_ in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(at_, AT_ONCE)
                 h, at = shingle_hashes(batch.column(2).to_pylist(), k, words)
-                cls, cls2 = set_hashes(h, at)
+                cls, cls2 = set_hashes(h, at, class_bits)
                 on = np.flatnonzero(cls)
                 if not len(on):
                     continue
@@ -191,7 +202,7 @@ def _hashed(docs: DataFrame, k: int, groups: int, parts: int) -> DataFrame:
                 n = (at[1:] - at[:-1])[keep]
                 rows = np.repeat(at[:-1][keep] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 keys = table_keys(h[rows], np.concatenate([[0], np.cumsum(n)]), groups)
-                held.append(((keys.view(np.uint64) >> np.uint64(64 - KEY_BITS)).ravel(), np.repeat(cls[keep], keys.shape[1])))
+                held.append(((keys.view(np.uint64) >> np.uint64(64 - key_bits)).ravel(), np.repeat(cls[keep], keys.shape[1])))
                 n_held += len(keep)
                 if n_held >= PACKED:
                     yield from send()
@@ -209,20 +220,25 @@ def _squares(n: int, side: int) -> Iterator[tuple[int, int]]:
             yield i * side, j * side
 
 
-def _pairs_within(cls: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """The distinct pairs of each bucket (rows starts .. starts + sizes of cls, in order), some at once."""
+def _pairs_within(cls: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct pairs of the buckets (rows starts .. starts + sizes of cls, in order) and how
+    many buckets show them, some at once."""
     for n in np.unique(sizes).tolist():
         s = starts[sizes == n]
         i, j = np.triu_indices(n, 1)
         step = max(1, PAIRS_AT_ONCE // len(i))
         for x in range(0, len(s), step):
             at = s[x : x + step, None]
-            yield np.unique(np.stack([cls[(at + i).ravel()], cls[(at + j).ravel()]], 1), axis=0)
+            a, b = cls[(at + i).ravel()], cls[(at + j).ravel()]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            yield a[first], b[first], np.diff(np.concatenate([first, [len(a)]]))
 
 
 def _met(flow: DataFrame, parts: int, side: int) -> DataFrame:
-    """Rows of records as they are; pairs of classes that share a bucket as a, b with p = -1; pairs
-    of chunks of large buckets as blobs with p = -2."""
+    """Rows of records as they are; pairs of classes that share buckets as a, b with p = -1 and the
+    number of these buckets as cls; pairs of chunks of large buckets as blobs with p = -2."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, list[bytes]] = {}
@@ -255,8 +271,8 @@ def _met(flow: DataFrame, parts: int, side: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
             some = (sizes > 1) & (sizes <= side)
-            for pairs in _pairs_within(cls, starts[some], sizes[some]):
-                yield _flow(np.full(len(pairs), -1), np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+            for a, b, n in _pairs_within(cls, starts[some], sizes[some]):
+                yield _flow(np.full(len(a), -1), a, b, n)
             for s, n in zip(starts[sizes > side].tolist(), sizes[sizes > side].tolist()):
                 c = cls[s : s + n]
                 for i, j in _squares(n, side):
@@ -266,7 +282,7 @@ def _met(flow: DataFrame, parts: int, side: int) -> DataFrame:
 
 
 def _collisions(met: DataFrame) -> DataFrame:
-    """(a, b) of classes that share a bucket, a < b, each once."""
+    """(a, b) of classes that share at least COLLISIONS buckets, a < b, each once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +293,10 @@ def _collisions(met: DataFrame) -> DataFrame:
                 i, j = np.nonzero(left[:, None] < right[None, :])
                 yield pa.RecordBatch.from_arrays([pa.array(left[i]), pa.array(right[j])], schema=schema)
 
-    small = met.where("p = -1").select("a", "b")
+    small = met.where("p = -1").select("a", "b", F.col("cls").alias("n"))
     # Squares of one large bucket go to many tasks.
     large = met.where("p = -2").select("blob").repartition(F.xxhash64("blob")).mapInArrow(run, "a long, b long")
-    return small.unionByName(large).distinct()
+    return small.unionByName(large.withColumn("n", F.lit(1).cast("long"))).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= COLLISIONS).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, members_: DataFrame, cand: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -321,13 +337,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, groups:
     links: (a, a2, b, b2, jaccard) between classes (cls, cls2) of equal shingle sets whose
     similarity is at least the threshold, each pair once.  members: (id, grp, cls, cls2).  Records
     without a full shingle (null, empty, or fewer than k words) belong to no class and are like
-    nothing.  The guarantee is on the signatures' radius; a group loses a pair of similarity 0.70
-    with 0.300, of 0.75 with 0.189, so with the default of 12 groups all tables miss it with 5e-7
-    and 2e-9 (4 groups: 0.008, 0.001).
+    nothing.  The guarantee is on the signatures' radius; the default of 14 groups shows a pair of
+    similarity 0.70 in fewer than two tables with a probability of 7e-7, of 0.75 with 2e-9.
     """
     docs = docs.select("id", "grp", "text")
-    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * groups * WIDTH // KEYS_PER_TASK))
-    met = cut(_met(_hashed(docs, k, groups, parts), parts, side or MAX_RUN))
+    n = docs.count()
+    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-n * groups * WIDTH // KEYS_PER_TASK))
+    met = cut(_met(_hashed(docs, k, groups, parts, *bits_for(n)), parts, side or MAX_RUN))
     m = met.where("p >= 0").select(F.col("a").alias("id"), F.col("b").alias("grp"), "cls", "cls2")
     return similar_classes(docs, m, _collisions(met), threshold, k), m
 

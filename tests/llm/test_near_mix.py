@@ -79,6 +79,33 @@ def test_hot_buckets_lose_nothing(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in near.record_pairs(links, members).collect()} == want and len(want) > 4000
 
 
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(2)
+    for n in (1, 1000):
+        keys, cls = np.sort(rng.integers(0, 1 << 48, n, np.uint64)), rng.integers(0, 1 << 40, n, np.int64)
+        a, b = near._unpack(near._pack(keys, cls))
+        assert (a == keys).all() and (b == cls).all()
+
+
+def test_pairs_at_the_threshold_collide_twice():
+    """20,000 pairs of similarity 0.70: nearly none is in fewer than two tables."""
+    h = np.random.default_rng(4).integers(0, 1 << 63, (20_000, 100), np.uint64)
+    at = np.arange(0, 20_000 * 85 + 1, 85)
+    a, b = near.table_keys(h[:, :85].ravel(), at), near.table_keys(np.hstack([h[:, :70], h[:, 85:]]).ravel(), at)
+    assert ((a == b).sum(axis=1) < near.COLLISIONS).sum() == 0
+
+
+def test_classes_of_one_short_hash_stay_apart(spark, monkeypatch):
+    """Short hashes of few bits: many unlike classes share one."""
+    monkeypatch.setattr(near, "bits_for", lambda n: (40, 4))
+    rows = corpus(5, 120)
+    df = spark.createDataFrame(rows, "id long, grp long, text string, cls string, n int")
+    s = {i: shingles(t, 5) for i, _, t, _, _ in rows}
+    g = {i: grp for i, grp, *_ in rows}
+    want = {(a, b) for a, b in combinations(sorted(s), 2) if s[a] and s[b] and g[a] != g[b] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]) - 1e-9}
+    assert {(r.id_a, r.id_b) for r in near.record_pairs(*near.near_duplicates(df, 0.8, 5)).collect()} == want
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], "id long, grp long, text string")
     links, members = near.near_duplicates(e, 0.8, 5)
