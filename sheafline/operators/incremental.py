@@ -3,23 +3,32 @@
 Keys are spread evenly by a 64-bit hash; a leaf of the tree is a range of that hash, an inner
 node the sum of its children.  A run compares the tree of what it sees with the tree saved by
 the last successful run, descends only into nodes whose digests differ, and compares records
-only inside the leaves that remain.  Output and tree are published together (`MerkleStore`).
+only inside the leaves that remain.  Saved records lie in the order of their leaves, so leaves
+that are not opened are hardly read.  Output, records and tree are published together
+(`MerkleStore`), and a run that another one has overtaken publishes nothing.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.session import cut
+from sheafline.session import checkpoint_dir, cut
 
-#: Children of a node, and levels below the root: 64 ** 2 leaves by default.
-FANOUT_BITS = 6
+#: Bits of the children of a node.  The levels follow the number of records, so that a leaf holds
+#: about so many of them and a few changes leave most leaves closed; trees that are made by hand
+#: have LEVELS.
+FANOUT_BITS, ROWS_PER_LEAF = 6, 32
 LEVELS = 2
+#: Leaves up to this many are named in the filter of a read or broadcast; beyond, they are joined.
+NAMED_LEAVES, SENT_LEAVES = 500, 1_000_000
+#: A version is written anew once its changes are so many folders or such a share of its records.
+MOST_DELTAS, DELTA_SHARE = 16, 0.25
 #: Modification times this close mean the same instant (seconds).
 MTIME_EPS = 1e-6
 
@@ -30,6 +39,10 @@ def clean_hash(c: Column) -> Column:
     return F.when(h != "", h)
 
 
+def levels_for(n: int, bits: int = FANOUT_BITS) -> int:
+    return max(1, min(60 // bits, math.ceil(math.log2(max(2.0, n / ROWS_PER_LEAF)) / bits)))
+
+
 def key_range(key: Column, levels: int = LEVELS, bits: int = FANOUT_BITS) -> Column:
     """The leaf (0 .. 2**(levels*bits)-1) of a key; null keys belong to leaf of the null hash."""
     return F.shiftrightunsigned(F.xxhash64(key), 64 - levels * bits)
@@ -107,28 +120,28 @@ def _stamp(size: Column, mtime: Column) -> Column:
     return F.xxhash64(F.col("path"), size, F.floor(mtime / MTIME_EPS))
 
 
-def changes(files: DataFrame, run_log: DataFrame, scan: DataFrame, levels: int = LEVELS, bits: int = FANOUT_BITS) -> DataFrame:
+def changes(files: DataFrame, run_log: DataFrame, scan: DataFrame, levels: int | None = None, bits: int = FANOUT_BITS, root: str | None = None) -> DataFrame:
     """(path, action) of what the next run must do: 'add', 'update' or 'delete'.
 
-    Null paths are ignored; a null size or mtime equals nothing; a blank hash is no hash; empty
-    tables are allowed on either side (an empty scan deletes all, an empty record adds all).
-    Repeated rows and any order give the same result.  Extra columns are ignored.
+    The record of the last runs is saved as a version of a `MerkleStore` (in `root`, by default a
+    new folder of the session's shared one), and the walk is compared with that.  Null paths are
+    ignored; a null size or mtime equals nothing; a blank hash is no hash; empty tables are
+    allowed on either side (an empty scan deletes all, an empty record adds all).  Repeated rows
+    and any order give the same result.  Extra columns are ignored.
     """
-    now = latest_scan(scan)
-    all_known = committed_state(files, run_log)
-    known = all_known.where(F.col("has_row") | F.col("done"))
-    saved_size, saved_mtime = F.when(F.col("failed"), F.col("f_size")).otherwise(F.col("size")), F.when(F.col("failed"), F.col("f_mtime")).otherwise(F.col("mtime"))
-    # The trees are small whatever the tables hold; cut, the descent works on them and not on the tables.
-    t_now = cut(tree(now, _stamp(F.col("size"), F.col("mtime")), "path", levels, bits))
-    t_saved = cut(tree(known, _stamp(saved_size, saved_mtime), "path", levels, bits))
-    dirty = changed_leaves(t_now, t_saved, levels, bits)
-    # The leaves are at most 2**(levels*bits) numbers (4,096 by default): small enough to broadcast by construction.
-    dirty = F.broadcast(dirty)
-
-    def opened(t: DataFrame) -> DataFrame:
-        return t.withColumn("node", key_range(F.col("path"), levels, bits)).join(dirty, "node", "left_semi").drop("node")
-
-    n, k = opened(now).alias("n"), opened(known).alias("k")
+    spark = scan.sparkSession
+    store = MerkleStore(spark, root or f"{checkpoint_dir(spark)}/state-{uuid.uuid4().hex}", "path", levels, bits)
+    known = committed_state(files, run_log).where(F.col("has_row") | F.col("done"))
+    pick = lambda c, f: F.when(F.col("failed"), F.col(f)).otherwise(F.col(c))
+    store.save(known, _stamp(pick("size", "f_size"), pick("mtime", "f_mtime")))
+    return pending(store, scan)
+
+
+def pending(store: MerkleStore, scan: DataFrame) -> DataFrame:
+    """(path, action) of a walk against the saved state of a store (see `changes`)."""
+    now = latest_scan(scan).withColumn("_digest", _stamp(F.col("size"), F.col("mtime")))
+    now, known = store.opened(now)
+    n, k = now.alias("n"), known.alias("k")
     j = n.join(k, F.col("n.path") == F.col("k.path"), "full_outer")
     like = F.filter(F.col("k.known"), lambda x: (x["size"] == F.col("n.size")) & _same_instant(x["mtime"], F.col("n.mtime")))
     now_hash = F.coalesce(F.col("n.hash"), F.get(like, F.lit(0))["hash"])
@@ -143,82 +156,166 @@ def changes(files: DataFrame, run_log: DataFrame, scan: DataFrame, levels: int =
     return j.select(F.coalesce("n.path", "k.path").alias("path"), action.alias("action")).where(F.col("action").isNotNull())
 
 
+class Conflict(RuntimeError):
+    """Another run has published since this one began; nothing of this one was."""
+
+
 class MerkleStore:
     """Versions of (output, records, tree), published together.
 
-    A run writes a new version folder and then moves one small pointer file over the old one;
-    until that move the former version stays the current one.  A run that dies leaves an
-    unreferenced folder behind and nothing else: the next run sees the same changes again, none
-    twice and none lost.  `root` must be a folder every executor reaches.
+    A run writes new folders and then creates the next numbered pointer file, which fails if
+    another run has created it meanwhile (`Conflict`).  Until then the former version stays the
+    current one.  A run that dies leaves unreferenced folders behind and nothing else: the next
+    run sees the same changes again, none twice and none lost.  A run writes its changed records
+    only; from time to time they are merged.  `root` must be a folder every executor reaches.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "key", levels: int = LEVELS, bits: int = FANOUT_BITS):
+    def __init__(self, spark: SparkSession, root: str, key: str = "key", levels: int | None = None, bits: int = FANOUT_BITS):
         self.spark, self.root, self.key, self.levels, self.bits = spark, root.rstrip("/"), key, levels, bits
+        #: Leaves that the last comparison opened.
+        self.last_opened = 0
 
+    # --- versions
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def current(self) -> str | None:
-        """Folder of the published version, or None before the first run."""
-        best = self._pointers()
-        return f"{self.root}/{best[-1][1]}" if best else None
-
-    def _pointers(self) -> list[tuple[int, str]]:
+    def _pointers(self) -> list[int]:
         fs, p = self._fs(self.root)
         if not fs.exists(p):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted((int(x.split("-")[1]), x.split("-", 2)[2]) for x in names if x.startswith("current-"))
+        names = [x.getPath().getName() for x in fs.listStatus(p)]
+        return sorted(int(x.removeprefix("current-")) for x in names if x.startswith("current-") and x.removeprefix("current-").isdigit())
+
+    def manifest(self) -> dict | None:
+        """The published version, None before the first.  A pointer whose writer died is none."""
+        for n in reversed(self._pointers()):
+            fs, p = self._fs(f"{self.root}/current-{n}")
+            s = fs.open(p)
+            raw = bytes(s.readAllBytes())
+            s.close()
+            try:
+                return {**json.loads(raw), "number": n}
+            except ValueError:
+                continue
+        return None
 
-    def _state(self, part: str) -> DataFrame | None:
-        at = self.current()
-        return self.spark.read.parquet(f"{at}/{part}") if at else None
-
-    def diff(self, records: DataFrame) -> DataFrame:
+    def current(self) -> str | None:
+        """Folder of the published version, or None before the first run."""
+        m = self.manifest()
+        return f"{self.root}/{m['version']}" if m else None
+
+    def _publish(self, version: dict, base: dict | None) -> None:
+        now = self.manifest()
+        if (now or {}).get("number") != (base or {}).get("number"):
+            raise Conflict(f"version {(now or {}).get('number')} was published meanwhile")
+        n = max(self._pointers(), default=0) + 1
+        fs, p = self._fs(f"{self.root}/current-{n}")
+        try:
+            s = fs.create(p, False)  # fails if it exists
+        except Exception as e:
+            raise Conflict(f"version {n} was published meanwhile") from e
+        s.write(bytearray(json.dumps(version).encode()))
+        s.close()
+        for i in self._pointers():
+            if i < n - 1:
+                fs.delete(self._fs(f"{self.root}/current-{i}")[1], False)
+
+    # --- records
+    def _leaf(self, levels: int) -> Column:
+        return key_range(F.col(self.key), levels, self.bits)
+
+    def _write(self, rows: DataFrame, folder: str) -> str:
+        """Rows in the order of their leaves: statistics of a file skip most closed leaves."""
+        at = f"{self.root}/{folder}"
+        rows.repartitionByRange("_leaf").sortWithinPartitions("_leaf").write.parquet(at)
+        return at
+
+    def _tree(self, rows: DataFrame, levels: int) -> DataFrame:
+        return tree(rows, F.col("_digest"), self.key, levels, self.bits)
+
+    def _in(self, rows: DataFrame, leaves: DataFrame, named: list[int] | None) -> DataFrame:
+        if named is not None:
+            return rows.where(F.col("_leaf").isin(named)) if named else rows.where(F.lit(False))
+        side = F.broadcast(leaves) if self.last_opened <= SENT_LEAVES else leaves
+        return rows.join(side.select(F.col("node").alias("_leaf")), "_leaf", "left_semi")
+
+    def records(self, m: dict, leaves: DataFrame | None = None, named: list[int] | None = None) -> DataFrame:
+        """The records of a version, in the given leaves or all: the latest row of each key."""
+        rows = self.spark.read.parquet(*m["base"])
+        if m["deltas"]:
+            rows = rows.unionByName(self.spark.read.parquet(*m["deltas"]), allowMissingColumns=True)
+        if leaves is not None:
+            rows = self._in(rows, leaves, named)
+        if m["deltas"]:
+            cols = [c for c in rows.columns if c != self.key]
+            rows = rows.groupBy(self.key).agg(F.max_by(F.struct(*cols), "_version").alias("r")).select(self.key, "r.*")
+        return rows.where("not _gone").drop("_gone", "_version")
+
+    def save(self, rows: DataFrame, digest: Column, base: dict | None = None, name: str | None = None, outputs: list[str] = ()) -> None:
+        """Publishes a version that holds just `rows` (the key once), after version `base`."""
+        name = name or f"v-{uuid.uuid4().hex}"
+        # Written without leaves first, as their number follows the number of rows.
+        state = cut(rows.withColumn("_digest", digest))
+        n = state.count()
+        levels = self.levels or levels_for(n, self.bits)
+        state = state.withColumn("_leaf", self._leaf(levels)).withColumn("_version", F.lit((base or {}).get("number", 0) + 1)).withColumn("_gone", F.lit(False))
+        at = self._write(state, f"{name}/records")
+        self._tree(state, levels).write.parquet(f"{self.root}/{name}/tree")
+        self._publish({"version": name, "base": [at], "deltas": [], "tree": f"{self.root}/{name}/tree", "levels": levels, "rows": n, "changed": 0, "outputs": list(outputs)}, base)
+
+    def opened(self, now: DataFrame, m: dict | None = None) -> tuple[DataFrame, DataFrame]:
+        """(rows of now, saved records) in the leaves whose digests differ.
+
+        now: the key once, `_digest` and any other columns.
+        """
+        m = m or self.manifest()
+        now = cut(now.withColumn("_leaf", self._leaf(m["levels"])))
+        t_now = cut(self._tree(now, m["levels"]))
+        leaves = cut(changed_leaves(t_now, self.spark.read.parquet(m["tree"]), m["levels"], self.bits))
+        self.last_opened = leaves.count()
+        named = [r.node for r in leaves.collect()] if self.last_opened <= NAMED_LEAVES else None
+        self._last_tree = t_now
+        return self._in(now, leaves, named).drop("_leaf"), self.records(m, leaves, named).drop("_leaf")
+
+    @staticmethod
+    def _content(records: DataFrame, key: str) -> Column:
+        return F.xxhash64(F.col(key), *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in records.columns if c != key])
+
+    def diff(self, records: DataFrame, m: dict | None = None) -> DataFrame:
         """(key, action) against the published version; `records` must hold the key once.
 
         Every other column counts towards the content, in the order given, nulls included.
         """
+        return self._diff(records, m or self.manifest()).select(self.key, "action")
+
+    def _diff(self, records: DataFrame, m: dict | None) -> DataFrame:
         k = self.key
-        cols = [c for c in records.columns if c != k]
-        digest = F.xxhash64(F.col(k), *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols])
-        now = records.select(k, digest.alias("_digest"))
-        saved = self._state("records")
-        if saved is None:
-            return now.select(k, F.lit("add").alias("action"))
-        open_leaves = F.broadcast(changed_leaves(tree(now, F.col("_digest"), k, self.levels, self.bits), self._state("tree"), self.levels, self.bits))
-        a, b = (t.withColumn("node", key_range(F.col(k), self.levels, self.bits)).join(open_leaves, "node", "left_semi").drop("node") for t in (now, saved))
+        now = records.select(k, self._content(records, k).alias("_digest"))
+        if m is None:
+            return now.select(k, F.lit("add").alias("action"), "_digest")
+        a, b = self.opened(now, m)
         j = a.alias("a").join(b.alias("b"), F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), "full_outer")
         act = F.when(F.col("b._digest").isNull(), "add").when(F.col("a._digest").isNull(), "delete").when(F.col("a._digest") != F.col("b._digest"), "update")
-        return j.select(F.coalesce(f"a.{k}", f"b.{k}").alias(k), act.alias("action")).where("action is not null")
+        return j.select(F.coalesce(f"a.{k}", f"b.{k}").alias(k), act.alias("action"), F.col("a._digest").alias("_digest")).where("action is not null")
 
     def run(self, records: DataFrame, process: Callable[[DataFrame], DataFrame]) -> str:
-        """Processes the added and changed records and publishes output, records and tree."""
-        k = self.key
-        todo = self.diff(records).where("action <> 'delete'")
-        out = process(records.join(todo.select(k), k, "left_semi"))
-        name = f"v-{uuid.uuid4().hex}"
-        cols = [c for c in records.columns if c != k]
-        digest = F.xxhash64(F.col(k), *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols])
-        state = records.select(k, digest.alias("_digest"))
-        out.write.parquet(f"{self.root}/{name}/output")
-        state.write.parquet(f"{self.root}/{name}/records")
-        tree(state, F.col("_digest"), k, self.levels, self.bits).write.parquet(f"{self.root}/{name}/tree")
-        self._publish(name)
-        return f"{self.root}/{name}"
+        """Processes the added and changed records and publishes output, records and tree.
 
-    def _publish(self, name: str) -> None:
-        old = self._pointers()
-        n = old[-1][0] + 1 if old else 1
-        fs, tmp = self._fs(f"{self.root}/_{name}.tmp")
-        s = fs.create(tmp, True)
-        s.write(bytearray(json.dumps({"version": name}).encode()))
-        s.close()
-        # A rename is atomic: the version is either published or it is not.
-        _, to = self._fs(f"{self.root}/current-{n}-{name}")
-        if not fs.rename(tmp, to):
-            raise RuntimeError(f"could not publish {name}")
-        for i, v in old:
-            fs.delete(self._fs(f"{self.root}/current-{i}-{v}")[1], False)
+        Returns the folder of the version, whose part `output` is what `process` gave.
+        """
+        k, base, name = self.key, self.manifest(), f"v-{uuid.uuid4().hex}"
+        todo = cut(self._diff(records, base))
+        t_now = self._last_tree if base else None
+        out = f"{self.root}/{name}/output"
+        process(records.join(todo.where("action <> 'delete'").select(k), k, "left_semi")).write.parquet(out)
+        outputs = [*(base or {"outputs": []})["outputs"], out]
+        changed = todo.count()
+        if base is None or len(base["deltas"]) >= MOST_DELTAS or base["changed"] + changed > DELTA_SHARE * max(1, base["rows"]):
+            self.save(records.select(k, self._content(records, k).alias("_digest")), F.col("_digest"), base, name, outputs)
+        else:
+            rows = todo.select(k, "_digest", self._leaf(base["levels"]).alias("_leaf"), F.lit(base["number"] + 1).alias("_version"), (F.col("action") == "delete").alias("_gone"))
+            at = self._write(rows, f"{name}/records")
+            t_now.write.parquet(f"{self.root}/{name}/tree")
+            self._publish({**{x: base[x] for x in ("base", "levels", "rows")}, "version": name, "deltas": [*base["deltas"], at], "tree": f"{self.root}/{name}/tree", "changed": base["changed"] + changed, "outputs": outputs}, base)
+        return f"{self.root}/{name}"

@@ -72,3 +72,76 @@ def test_store_survives_failures(spark, tmp_path):
     at = s.run(v2, lambda d: d.selectExpr("k", "upper(t) as u"))
     assert sorted(r.k for r in spark.read.parquet(f"{at}/output").collect()) == [7, 99]  # nothing repeated
     assert s.diff(v2).count() == 0
+
+
+def numbered(spark, n, **changed):
+    rows = spark.range(n).selectExpr("id as k", "concat('t', id) as t")
+    for k, v in changed.items():
+        rows = rows.selectExpr("k", f"case when k = {k[1:]} then '{v}' else t end as t")
+    return rows
+
+
+def test_closed_leaves_are_not_read(spark, tmp_path):
+    s = inc.MerkleStore(spark, str(tmp_path), key="k")
+    s.run(numbered(spark, 20_000), lambda d: d)
+    m = s.manifest()
+    assert m["levels"] == 2 and m["rows"] == 20_000
+    v2 = numbered(spark, 20_000, k17="changed")
+    assert [tuple(r) for r in s.diff(v2).collect()] == [(17, "update")]
+    assert s.last_opened == 1
+    now = v2.select("k", s._content(v2, "k").alias("_digest"))
+    _, known = s.opened(now)
+    assert known.count() < 40  # one leaf of the saved records
+    assert s.diff(numbered(spark, 20_000)).count() == 0 and s.last_opened == 0
+
+
+def test_a_run_writes_its_changes_only_and_they_are_merged(spark, tmp_path, monkeypatch):
+    s = inc.MerkleStore(spark, str(tmp_path), key="k")
+    s.run(numbered(spark, 400), lambda d: d)
+    at = s.run(numbered(spark, 400, k3="x", k4="y").where("k <> 9"), lambda d: d)
+    m = s.manifest()
+    assert len(m["deltas"]) == 1 and spark.read.parquet(m["deltas"][0]).count() == 3 and sorted(r.k for r in spark.read.parquet(f"{at}/output").collect()) == [3, 4]
+    assert s.records(m).count() == 399
+    third = numbered(spark, 400, k4="z")
+    assert sorted(map(tuple, s.diff(third).collect())) == [(3, "update"), (4, "update"), (9, "add")]
+    monkeypatch.setattr(inc, "MOST_DELTAS", 1)
+    s.run(third, lambda d: d)
+    assert s.manifest()["deltas"] == [] and s.records(s.manifest()).count() == 400 and s.diff(third).count() == 0
+    assert len(s.manifest()["outputs"]) == 3
+
+
+def test_of_two_racing_runs_one_is_refused(spark, tmp_path):
+    a, b = (inc.MerkleStore(spark, str(tmp_path), key="k") for _ in range(2))
+    a.run(numbered(spark, 100), lambda d: d)
+
+    def overtaken(d):
+        b.run(numbered(spark, 100, k5="b"), lambda x: x)
+        return d
+
+    with pytest.raises(inc.Conflict):
+        a.run(numbered(spark, 100, k5="a"), overtaken)
+    assert a.diff(numbered(spark, 100, k5="b")).count() == 0  # b's version stands, whole
+    a.run(numbered(spark, 100, k5="a"), lambda d: d)
+    assert a.diff(numbered(spark, 100, k5="a")).count() == 0
+
+
+def test_a_torn_pointer_is_no_version(spark, tmp_path):
+    s = inc.MerkleStore(spark, str(tmp_path), key="k")
+    s.run(numbered(spark, 10), lambda d: d)
+    (tmp_path / "current-2").write_text("")
+    assert s.manifest()["number"] == 1
+    s.run(numbered(spark, 11), lambda d: d)
+    assert s.manifest()["number"] == 3 and s.diff(numbered(spark, 11)).count() == 0
+
+
+def test_the_saved_tree_decides(spark, tmp_path):
+    """A walk is compared with what the store holds, and leaves that its tree calls equal stay closed."""
+    files = spark.createDataFrame([(f"p{i}", 1, float(i), "h", 1.0, "ok") for i in range(300)], FILES)
+    scan = spark.createDataFrame([(f"p{i}", 1, float(i) if i != 7 else 99.0, None, T[1]) for i in range(300)], SCAN)
+    root = str(tmp_path / "s")
+    assert [tuple(r) for r in inc.changes(files, spark.createDataFrame([], LOG), scan, root=root).collect()] == [("p7", "update")]
+    store = inc.MerkleStore(spark, root, "path")
+    assert [tuple(r) for r in inc.pending(store, scan).collect()] == [("p7", "update")] and store.last_opened == 1
+    t = inc.tree(inc.latest_scan(scan), inc._stamp(inc.F.col("size"), inc.F.col("mtime")), "path", store.manifest()["levels"])
+    t.write.mode("overwrite").parquet(store.manifest()["tree"])
+    assert inc.pending(store, scan).count() == 0
