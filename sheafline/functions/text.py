@@ -35,6 +35,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
 
 
+def word_count(c: Column) -> Column:
+    """How many `words` a text has."""
+    return F.regexp_count(c, F.lit("[\\p{L}\\p{N}]+"))
+
+
 def query_terms(c: Column, most: int = 32) -> Column:
     """Search terms: signs to blanks, words of two letters and more, the first `most`, repeats kept."""
     return F.slice(F.filter(F.split(F.lower(F.regexp_replace(c, "[^\\p{L}\\p{N}_\\s]", " ")), "\\s+"), lambda w: F.length(w) > 1), 1, most)
@@ -71,6 +76,11 @@ def is_small_talk(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike(SMALL_TALK), F.lit(False))
 
 
+def points_back(c: Column) -> Column:
+    """Holds a word that points to something said before."""
+    return c.rlike(POINTS_BACK)
+
+
 def is_follow_up(c: Column) -> Column:
     """Leans on the turn before: points back, or has four words or fewer."""
     q = F.regexp_replace(F.coalesce(c, F.lit("")), "^\\s+|\\s+$", "")

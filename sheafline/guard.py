@@ -38,26 +38,19 @@ class Result:
         return "\n".join(lines)
 
 
+#: Literals and quoted names, and comments; what begins first in the text holds, so a comment's
+#: signs inside a literal are part of it, and a quote inside a comment opens nothing.
+LITERAL = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`"
+TOKENS = re.compile(rf"(?P<literal>{LITERAL})|(?P<comment>/\*.*?\*/|--[^\n]*)", re.S)
+
+
 def clean_statement(sql: str) -> str:
     """Without code fences, comments and closing semicolons."""
     s = re.sub(r"^```\w*\s*|\s*```$", "", (sql or "").strip(), flags=re.I)
-    s = re.sub(r"/\*.*?\*/", " ", s, flags=re.S)
-    s = "\n".join(_without_line_comment(x) for x in s.split("\n"))
+    s = TOKENS.sub(lambda m: m.group(0) if m.group("literal") else " " if m.group(0).startswith("/*") else "", s)
     return s.strip().rstrip(";").strip()
 
 
-def _without_line_comment(line: str) -> str:
-    inside = None
-    for i, c in enumerate(line):
-        if inside:
-            inside = None if c == inside else inside
-        elif c in "'\"`":
-            inside = c
-        elif line.startswith("--", i):
-            return line[:i]
-    return line
-
-
 def validate(spark: SparkSession, sql: str) -> str:
     """The statement ready to run; Refused if it is not one read-only query.
 
@@ -70,7 +63,7 @@ def validate(spark: SparkSession, sql: str) -> str:
         raise Refused("the statement is empty")
     if not re.match(r"(?i)\(*\s*(select|with)\b", s):
         raise Refused("only SELECT or WITH may start a statement")
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "''", s)
+    bare = re.sub(LITERAL, "''", s, flags=re.S)
     if ";" in bare:
         raise Refused("one statement at a time")
     bad = FORBIDDEN.search(AS_FUNCTION.sub("f(", bare))

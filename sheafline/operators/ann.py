@@ -195,28 +195,9 @@ def _queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): the k best of every query (qid, vec) among all vectors (id, vec)."""
-    qid, qx = _queries(queries)
-    if not len(qid):
-        return vectors.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if not b.num_rows:
-                continue
-            ids, x = b.column(0).to_numpy(), _unit(_vecs(b, 1)).astype(np.float64)
-            most = min(k, len(ids))
-            for i in range(0, len(qid), 256):
-                s = np.round(x @ qx[i : i + 256].T.astype(np.float64), 9)
-                rows, cols = np.nonzero(s >= np.partition(s, len(ids) - most, axis=0)[len(ids) - most])
-                o = np.lexsort((ids[rows], -s[rows, cols], cols))
-                rows, cols = rows[o], cols[o]
-                top = np.arange(len(cols)) - np.searchsorted(cols, cols) < most
-                rows, cols = rows[top], cols[top]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i + cols]), pa.array(ids[rows]), pa.array(s[rows, cols])], names=["qid", "id", "score"])
+    from sheafline.operators.retrieval import dense
 
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    s = vectors.select("id", "vec").mapInArrow(run, "qid long, id long, score double")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return dense(vectors.select(F.col("id").alias("doc"), "vec"), queries, k).withColumnRenamed("doc", "id")
 
 
 def calibrate(index: IvfPq, codes: DataFrame, vectors: DataFrame, k: int = 10, recall: float = RECALL) -> tuple[IvfPq, float]:
@@ -337,25 +318,41 @@ def search_with_tail(index: IvfPq, codes: DataFrame, indexed: DataFrame, tail: D
 
 
 def write_index(spark, root: str, index: IvfPq, codes: DataFrame) -> None:
-    """Codes by cell and the parameters, in a new folder that is then named the current one."""
+    """Codes by cell and the parameters in a new folder, which a new numbered pointer then names.
+
+    The former pointer stays until the new one is there, so at any time there is a current index;
+    of two writers of one number the second is refused.
+    """
     import uuid
 
     name = f"ivf-{uuid.uuid4().hex}"
     codes.repartition("cell").write.partitionBy("cell").parquet(f"{root}/{name}/codes")
     spark.createDataFrame([(bytearray(index.dump()),)], "parameters binary").coalesce(1).write.parquet(f"{root}/{name}/parameters")
-    jvm = spark._jvm
-    to = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{root}/_{name}")
-    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
-    s = fs.create(tmp, True)
+    before = _pointers(spark, root)
+    fs, to = _at(spark, f"{root}/CURRENT-{max(before, default=0) + 1}")
+    s = fs.create(to, False)
     s.write(bytearray(name.encode()))
     s.close()
-    if fs.exists(to):
-        fs.delete(to, False)
-    fs.rename(tmp, to)
+    for n in before:
+        fs.delete(_at(spark, f"{root}/CURRENT-{n}")[1], False)
+
+
+def _at(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _pointers(spark, root: str) -> list[int]:
+    fs, p = _at(spark, root)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(x.removeprefix("CURRENT-")) for x in names if x.startswith("CURRENT-"))
 
 
 def read_index(spark, root: str) -> tuple[IvfPq, DataFrame]:
-    name = spark.read.text(f"{root}/CURRENT").first()[0]
-    index = IvfPq.load(bytes(spark.read.parquet(f"{root}/{name}/parameters").first()[0]))
-    return index, spark.read.parquet(f"{root}/{name}/codes").select("cell", "id", "code")
+    """The index that the latest whole pointer names."""
+    for n in reversed(_pointers(spark, root)):
+        got = spark.read.text(f"{root}/CURRENT-{n}").first()
+        if got is not None and got[0].startswith("ivf-"):
+            index = IvfPq.load(bytes(spark.read.parquet(f"{root}/{got[0]}/parameters").first()[0]))
+            return index, spark.read.parquet(f"{root}/{got[0]}/codes").select("cell", "id", "code")
+    raise FileNotFoundError(f"no index in {root}")

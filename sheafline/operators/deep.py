@@ -101,11 +101,13 @@ def search(questions: DataFrame, docs: DataFrame, vectors: DataFrame | None = No
     and an embedder, a dense list are fused; a scorer may put the candidates in a new order
     against the question's own wording.  A least score keeps at least one hit per question.
     """
-    lists = [retrieval.bm25(docs, questions.select("qid", query_terms(F.col("question")).alias("terms")), scope=scope)]
+    # One stored index serves the question and all of its variants.
+    index = retrieval.invert(docs)
+    lists = [retrieval.bm25(index, questions.select("qid", query_terms(F.col("question")).alias("terms")), scope=scope)]
     if variants is not None:
         v = variants.select("qid", query_terms(F.col("variant")).alias("terms"), F.row_number().over(Window.partitionBy("qid").orderBy("variant")).alias("n"))
         for n in range(1, REWRITES + 1):
-            lists.append(retrieval.bm25(docs, v.where(F.col("n") == n), scope=scope))
+            lists.append(retrieval.bm25(index, v.where(F.col("n") == n), scope=scope))
     if vectors is not None and embedder is not None:
         q = embed(questions, "question", embedder)
         lists.append(retrieval.dense(vectors, q.select("qid", "vec"), scope=scope))

@@ -136,9 +136,12 @@ def infer_chart(result: Result, roles: dict[str, str] | None = None) -> Chart:
     return Chart("table", title=title)
 
 
-def cap_categories(df: DataFrame, label: str, value: str, most: int = MOST_BARS) -> DataFrame:
-    """The `most` largest by absolute value; there is no row for the rest."""
-    return df.orderBy(F.desc(F.abs(F.col(value))), label).limit(most)
+def cap_categories(df: DataFrame, label: str, value: str, most: int = MOST_BARS, order: str | None = None) -> DataFrame:
+    """df + place: the `most` largest by absolute value, in the order they had (by `order`, else
+    by label); there is no row for the rest."""
+    kept = df.orderBy(F.desc(F.abs(F.col(value))), label).limit(most)
+    # At most `most` rows are left.
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(order or label))).orderBy("place")
 
 
 def downsample(df: DataFrame, order: str, most: int = MOST_POINTS) -> DataFrame:

@@ -104,9 +104,26 @@ def duplicate_values(df: DataFrame, column: str, ratio: float = 0.9) -> DataFram
     return _finding(a, "duplicate_id", column, F.lit("high"), F.col("k"), 100 * F.col("k") / F.col("d"), F.col("d"))
 
 
-def scan(df: DataFrame, numbers: list[str] = (), dates: list[str] = (), columns: list[str] | None = None, as_of: str | None = None, most: int = 60) -> DataFrame:
-    """All checks of a table, by severity and column, the first `most` (a report)."""
+def near_label_finding(df: DataFrame, column: str) -> DataFrame:
+    """One finding for all spellings of labels of a column: n spellings of share percent of the labels."""
+    n = df.where(~blank(F.col(column))).agg(F.countDistinct(column).alias("d"))
+    g = near_labels(df, column).agg(F.count(F.lit(1)).alias("k")).where("k > 0").crossJoin(F.broadcast(n))  # one row each
+    return _finding(g, "near_duplicate", column, F.lit("medium"), F.col("k"), 100 * F.col("k") / F.col("d"), F.col("d"))
+
+
+def scan(df: DataFrame, numbers: list[str] = (), dates: list[str] = (), columns: list[str] | None = None, as_of: str | None = None, most: int = 60, labels: list[str] = (), ids: list[str] = (), source: str | None = None) -> DataFrame:
+    """All checks of a table, by severity and column, the first `most` (a report).
+
+    labels: categories whose spellings are compared; ids: columns that should not repeat; source:
+    the column by which the spread of dates is measured.  A check without its columns is left out.
+    """
     out = nulls(df, columns or df.columns).unionByName(constant(df, *(columns or df.columns)))
+    for c in labels:
+        out = out.unionByName(near_label_finding(df, c))
+    for c in ids:
+        out = out.unionByName(duplicate_values(df, c))
+    for c in dates if source else ():
+        out = out.unionByName(date_spread(df, c, source))
     for c in numbers:
         for f in (outlier, negative, sentinel):
             out = out.unionByName(f(df, c))

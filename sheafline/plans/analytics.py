@@ -76,9 +76,33 @@ def dq_duplicate_id(spark, sf):
     return quality.duplicate_values(load(spark, sf, "documents"), "text")
 
 
-@query()
+_SCAN = "(select try_strptime(trim(closed_date), '%Y-%m-%d') as day, * exclude (_row, table_name) from tickets)"
+_SCANNED = ("ticket_id", "region", "product_code", "dealer", "status", "hours", "amount", "units", "note", "day")
+_DAY = "strftime({0}, '%Y-%m-%d')"
+
+
+def _scan_sql() -> str:
+    null_ = [f"select '{c}' as c, count(*) - count({c}) as m, count(*) as t from t" for c in _SCANNED]
+    out = [f"select 'null' as \"check\", c as \"column\", case when 100.0 * m / t < 1 then 'low' when 100.0 * m / t < 25 then 'medium' else 'high' end as severity, m as n, round(100.0 * m / t, 4) as share, null::varchar as detail from ({' union all '.join(null_)}) where m > 0"]
+    for c in _SCANNED:
+        out.append(f"select 'constant', '{c}', 'low', count({c}), 100.0, min({c})::varchar from t having count(*) >= 10 and count({c}) > 0 and min({c}) = max({c})")
+    for c in ("hours", "amount", "units"):
+        out.append(f"select 'outlier', '{c}', case when hi / p > 10000 then 'high' else 'medium' end, k, round(100.0 * k / n, 4), round(p, 4)::varchar from (select p, hi, n, (select count(*) from t where {c} > 100 * p) as k from (select v as p, n, hi from (select {c}::double as v, row_number() over (order by {c}) as r, count(*) over () as n, (max({c}) over ())::double as hi from t where {c} is not null) where r = greatest(1, floor(n * 0.99)))) where n >= 20 and p > 0 and hi > 100 * p")
+        out.append(f"select 'negative', '{c}', 'medium', k, round(100.0 * k / n, 4), round(lo, 4)::varchar from (select count({c}) as n, count(*) filter ({c} < 0) as k, min({c}) as lo from t) where k > 0")
+        out.append(f"select 'sentinel', '{c}', 'medium', c, round(100.0 * c / n, 4), v::varchar from (select v, c, sum(c) over () as n, count(*) over () as d, row_number() over (order by c desc, v) as r from (select {c}::double as v, count(*) as c from t where {c} is not null group by 1)) where r = 1 and v in (0, -1, 9, 99, 999, 9999, 99999, 999999) and 100.0 * c / n > 20 and d > 2")
+    out.append(f"select 'future_date', 'day', 'high', k, round(100.0 * k / n, 4), {_DAY.format('hi')} from (select count(day) as n, count(*) filter (day >= date '2026-01-01') as k, max(day) as hi from t) where k > 0")
+    out.append("select 'date_spread', 'day', 'medium', n, m::double, src from (select _source_file as src, count(day) as n, (year(max(day)) - year(min(day))) * 12 + month(max(day)) - month(min(day)) as m from t group by 1) where m > 6")
+    out.append(f"select 'near_duplicate', 'dealer', 'medium', k, round(100.0 * k / d, 4), d::varchar from (select count(*) filter (label <> same_as and key <> '') as k, count(*) as d from (select label, key, first_value(label) over (partition by key order by c desc, label) as same_as from (select label, c, {_KEY.format('label')} as key from (select dealer as label, count(*) as c from t where dealer is not null and trim(dealer) <> '' group by 1)))) where k > 0")
+    out.append("select 'duplicate_id', 'ticket_id', 'high', k, round(100.0 * k / d, 4), d::varchar from (select sum(c) as n, count(*) as d, count(*) filter (c > 1) as k from (select ticket_id, count(*) as c from t where ticket_id is not null group by 1)) where d >= 0.9 * n and k > 0")
+    rank = "case severity when 'high' then 0 when 'medium' then 1 else 2 end"
+    return f"with t as {_SCAN} select * from ({' union all '.join(out)}) order by {rank}, \"column\", \"check\" limit 100000"
+
+
+@query(_scan_sql())
 def dq_scan(spark, sf):
-    return quality.scan(load(spark, sf, "tickets").drop("_row", "_source_file", "table_name"), numbers=["hours", "amount", "units"])
+    """All nine checks over tickets; no finding is left out."""
+    t = load(spark, sf, "tickets").select("_source_file", F.to_date(F.try_to_timestamp(F.trim("closed_date"), F.lit("yyyy-MM-dd"))).alias("day"), *[c for c in _SCANNED if c != "day"])
+    return quality.scan(t, ["hours", "amount", "units"], ["day"], list(_SCANNED), "2025-12-31", 100_000, ["dealer"], ["ticket_id"], "_source_file")
 
 
 RULES = [Rule("trim", "seg"), Rule("blank_to_null", "seg"), Rule("map_value", "seg", "BUILDING", "HOUSING"), Rule("null_sentinel", "bal", 0.0), Rule("null_outlier", "bal", 9000.0)]

@@ -119,7 +119,7 @@ def date_range_filter(spark, sf):
     return guarded(s, "select min(o_orderkey) as lo, count(*) as n, round(sum(o_totalprice), 2) as total from orders")
 
 
-@query("select p_brand, s from (select p_brand, round(sum(p_retailprice), 2) as s from part group by 1) order by abs(s) desc, p_brand limit 15")
+@query("with s as (select p_brand, round(sum(p_retailprice), 2) as s from part group by 1), k as (select * from s order by abs(s) desc, p_brand limit 15) select p_brand, s, row_number() over (order by p_brand) as place from k order by place")
 def chart_cap_categories(spark, sf):
     return present.cap_categories(load(spark, sf, "part").groupBy("p_brand").agg(F.round(F.sum("p_retailprice"), 2).alias("s")), "p_brand", "s")
 

@@ -59,7 +59,7 @@ _IQ = f"select item_id as qid, unnest({_W.format('text')}) as term from eval_ite
 @query(f"with {_bm(_IQ)} {_TOP.format(k=5)}")
 def search_bm25_batch(spark, sf):
     q = load(spark, sf, "eval_items").select(F.col("item_id").alias("qid"), t.words(F.col("text")).alias("terms"))
-    return r.bm25(load(spark, sf, "documents"), q, k=5)
+    return r.bm25(r.invert(load(spark, sf, "documents")), q, k=5)
 
 
 _DOT = "list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) / sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))"
@@ -67,21 +67,21 @@ _DOT = "list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(li
 
 def _vectors(spark, sf):
     v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec"))
-    return v, v.where("doc < 20").select(F.col("doc").alias("qid"), "vec")
+    return v, v.where("doc % 50 = 0").select(F.col("doc").alias("qid"), "vec")
 
 
-@query(f"select qid, doc, rank from (select *, row_number() over (partition by qid order by score desc, doc) as rank from (select a.vec_id as qid, b.vec_id as doc, round({_DOT}, 9) as score from embeddings a, embeddings b where a.vec_id < 20)) where rank <= 10")
+@query(f"select qid, doc, rank from (select *, row_number() over (partition by qid order by score desc, doc) as rank from (select a.vec_id as qid, b.vec_id as doc, round({_DOT}, 9) as score from embeddings a, embeddings b where a.vec_id % 50 = 0)) where rank <= 10")
 def search_dense(spark, sf):
     v, q = _vectors(spark, sf)
     return r.dense(v, q, k=10).drop("score")
 
 
-_HY = f"with {_bm('select item_id - 1000 as qid, unnest(' + _W.format('text') + ') as term from eval_items where item_id < 1020')}, kw as ({_TOP.format(k=40)}), dn as (select qid, doc, rank from (select *, row_number() over (partition by qid order by sc desc, doc) as rank from (select a.vec_id as qid, b.vec_id as doc, round({_DOT}, 9) as sc from embeddings a, embeddings b where a.vec_id < 20)) where rank <= 40), f as (select qid, doc, round(sum(1.0::double / (60 + rank)), 9) as score from (select qid, doc, rank from kw union all select qid, doc, rank from dn) group by 1, 2) select qid, doc, score, rank from (select *, row_number() over (partition by qid order by score desc, doc) as rank from f) where rank <= 5"
+_HY = f"with {_bm('select (item_id - 1000) * 50 as qid, unnest(' + _W.format('text') + ') as term from eval_items')}, kw as ({_TOP.format(k=40)}), dn as (select qid, doc, rank from (select *, row_number() over (partition by qid order by sc desc, doc) as rank from (select a.vec_id as qid, b.vec_id as doc, round({_DOT}, 9) as sc from embeddings a, embeddings b where a.vec_id % 50 = 0)) where rank <= 40), f as (select qid, doc, round(sum(1.0::double / (60 + rank)), 9) as score from (select qid, doc, rank from kw union all select qid, doc, rank from dn) group by 1, 2) select qid, doc, score, rank from (select *, row_number() over (partition by qid order by score desc, doc) as rank from f) where rank <= 5"
 
 
 @query(_HY)
 def hybrid_search(spark, sf):
-    q = load(spark, sf, "eval_items").where("item_id < 1020").select((F.col("item_id") - 1000).alias("qid"), t.words(F.col("text")).alias("terms"))
+    q = load(spark, sf, "eval_items").select(((F.col("item_id") - 1000) * 50).alias("qid"), t.words(F.col("text")).alias("terms"))
     v, vq = _vectors(spark, sf)
     return r.hybrid(r.bm25(load(spark, sf, "documents"), q), r.dense(v, vq))
 

@@ -219,3 +219,62 @@ def test_streaming_takes_each_file_once(spark, tmp_path):
     run()
     run()
     assert sorted((r.k, r.t) for r in ingest.current(spark, out, "k", "v").collect()) == [(1, "a"), (2, "b2"), (3, "c")]
+
+
+def test_stored_index_and_dense_blocks(spark, tmp_path):
+    import numpy as np
+    from sheafline.operators import retrieval as r
+
+    rng = np.random.default_rng(1)
+    d = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 60, 20))) for i in range(200)] + [(900, None), (901, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(i, [f"w{x}" for x in rng.integers(0, 60, 4)]) for i in range(30)], "qid long, terms array<string>")
+    r.invert(d, root=str(tmp_path / "i"))
+    index = r.open_inverted(spark, str(tmp_path / "i"))
+    a, b = (sorted(map(tuple, r.bm25(x, q, 5).select("qid", "doc", "score", "rank").collect())) for x in (d, index))
+    assert a == b and len(a) == 150
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[5] = x[9] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [1.0])]
+    v = spark.createDataFrame(rows, "doc long, vec array<float>").repartition(5)
+    qs = v.where("doc % 7 = 0").selectExpr("doc as qid", "vec")
+    got = [sorted(map(tuple, r.dense(v, qs, 4, at_once=n).collect())) for n in (10_000, 9)]
+    assert got[0] == got[1]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for qid in range(0, 300, 7):
+        s = np.round(u @ u[qid], 9)
+        want = sorted(range(300), key=lambda i: (-s[i], i))[:4]
+        assert [t[1] for t in sorted((t for t in got[0] if t[0] == qid), key=lambda t: t[3])] == want
+    assert r.dense(v.limit(0), qs, 4).count() == 0 and r.dense(v, qs.limit(0), 4).count() == 0
+
+
+def test_short_turns_fold_by_meaning(spark):
+    from sheafline.operators import retrieval as r
+    from sheafline.operators.deep import hashing_embedder
+
+    t = spark.createDataFrame([(1, 0, "user", "pump housing price list of the north site"), (1, 1, "user", "pump housing price list"), (1, 2, "user", "quarterly revenue of trucks"), (1, 3, "user", "and what does it say"), (1, 4, "user", "thanks"), (1, 5, "user", None)], "conv_id long, turn long, role string, text string")
+    got = {x.turn: x.query for x in r.fold_history(t, hashing_embedder(256)).collect()}
+    assert got[1].startswith("pump housing price list of") and got[2] == "quarterly revenue of trucks" and got[3].startswith("quarterly") and got[4] == "thanks" and got[5] is None
+
+
+def test_an_index_is_published_without_a_gap(spark, tmp_path):
+    import numpy as np
+    from sheafline.operators import ann
+
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(np.random.default_rng(0).normal(size=(400, 16)).astype(np.float32))], "id long, vec array<float>")
+    index, codes = ann.build(v, cells=8)
+    root = str(tmp_path / "ix")
+    ann.write_index(spark, root, index, codes)
+    first = [p.name for p in (tmp_path / "ix").glob("CURRENT-*")]
+    ann.write_index(spark, root, index, codes)
+    assert first == ["CURRENT-1"] and [p.name for p in (tmp_path / "ix").glob("CURRENT-*")] == ["CURRENT-2"]
+    (tmp_path / "ix" / "CURRENT-3").write_text("")  # its writer died
+    assert ann.read_index(spark, root)[1].count() == 400
+
+
+def test_scan_finds_every_kind(spark):
+    from sheafline.operators import quality
+
+    rows = [(f"id{i if i else 1}", f"2025-0{1 + i % 9}-01", "Acme Ltd" if i % 9 else "ACME", 5.0, "s") for i in range(60)]
+    d = spark.createDataFrame(rows, "tid string, day string, dealer string, hours double, src string").selectExpr("tid", "cast(day as date) as day", "dealer", "hours", "src")
+    got = {(r.check, r.column) for r in quality.scan(d, ["hours"], ["day"], None, "2025-06-30", labels=["dealer"], ids=["tid"], source="src").collect()}
+    assert got == {("constant", "hours"), ("constant", "src"), ("near_duplicate", "dealer"), ("duplicate_id", "tid"), ("date_spread", "day"), ("future_date", "day")}

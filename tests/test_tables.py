@@ -197,3 +197,14 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {i + 2: f"n{i}" for i in range(4000) if i % 7}
+
+
+@pytest.mark.parametrize("sql,want", [("select '/* a */' as x", "/* a */"), ("select 'a\n -- b' as x", "a\n -- b"), ("select /* it's */ 'b' as x -- ' end", "b"), ("select \"--c\" as x", "--c"), ("select 'it''s /* x' as x /* y */", "it's /* x")])
+def test_comments_and_literals(spark, sql, want):
+    r = guard.run_sql(spark, sql)
+    assert r.ok and r.rows == [[want]]
+
+
+def test_capped_categories_keep_their_order(spark):
+    d = spark.createDataFrame([(i, f"c{9 - i}", float(v)) for i, v in enumerate((1, -9, 3, 8, 2))], "at int, label string, v double")
+    assert [(r.label, r.place) for r in present.cap_categories(d, "label", "v", 3, "at").collect()] == [("c8", 1), ("c7", 2), ("c6", 3)]
