@@ -91,10 +91,15 @@ class Catalog:
                 role = "text"
             elif role == "text" and 1 <= nd <= ENUM_MAX:
                 role = "category"
-            values = []
-            if role == "category":
-                values = [r[0] for r in df.select(F.col(f.name).cast("string").alias("v")).where("v is not null and trim(v) <> ''").distinct().orderBy("v").limit(ENUM_MAX).collect()]
+            values: list[str] = []
             cols.append(ColumnInfo(f.name, (f.metadata or {}).get("label", f.name), _type(f.dataType), role, int(p.n_filled) if p else 0, nd, (p.lo or "") if p and role in ("number", "date") else "", (p.hi or "") if p and role in ("number", "date") else "", values))
+        few = {c.name: c for c in cols if c.role == "category"}
+        if few:
+            # The values of all categories in one pass: at most ENUM_MAX each.
+            pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in few])).alias("e")).select("e.*").where("v is not null and trim(v) <> ''").distinct()
+            for r in pairs.orderBy("c", "v").collect():
+                if len(few[r.c].values) < ENUM_MAX:
+                    few[r.c].values.append(r.v)
         n = int(next(iter(prof.values())).n_rows) if prof else 0
         info = TableInfo(name, kind, source, cols, n, list(members or []), fingerprint([c.label for c in cols]))
         self.tables[name], self._frames[name] = info, df

@@ -94,7 +94,8 @@ def number_text(c: Column) -> Column:
 
 
 # Accepted forms of a date, tried in this order.
-DATE_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd-MMM-yyyy", "yyyy/MM/dd")
+# One letter stands for one or two digits.
+DATE_FORMS = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "d/M/yyyy H:m:s", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d-MMM-yyyy", "yyyy/M/d")
 
 
 def date_text(c: Column) -> Column:
@@ -108,6 +109,26 @@ def months_between_dates(a: Column, b: Column) -> Column:
     return (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
 
 
+def human_bytes(c: Column) -> Column:
+    """A size in B, KB, MB or GB, with one decimal from KB on."""
+    n = c.cast("double")
+    steps = [(2**10, "B", 0), (2**20, "KB", 1), (2**30, "MB", 1)]
+    out = F.when(F.lit(False), "")
+    for top, unit, places in steps:
+        out = out.when(F.abs(n) < top, F.concat(F.format_number(n / (top / 1024), places), F.lit(f" {unit}")))
+    return F.when(n.isNotNull(), out.otherwise(F.concat(F.format_number(n / 2**30, 1), F.lit(" GB"))))
+
+
+def human_time(c: Column) -> Column:
+    """A duration in seconds as s, m and s, or h and m; null is still being estimated."""
+    s = F.greatest(F.lit(0.0), c.cast("double"))
+    n = F.bround(s).cast("long")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    hours = F.concat(F.floor(n / 3600).cast("string"), F.lit("h "), two(F.floor(n % 3600 / 60)), F.lit("m"))
+    minutes = F.concat(F.floor(n / 60).cast("string"), F.lit("m "), two(n % 60), F.lit("s"))
+    return F.when(c.isNull(), "estimating").when(s < 1, "less than a second").when(s < 60, F.concat(n.cast("string"), F.lit("s"))).when(s < 3600, minutes).otherwise(hours)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -3,7 +3,7 @@
 import importlib
 
 #: In the order they are listed.
-NAMES = ("pipeline", "analytics", "search", "relational")
+NAMES = ("pipeline", "analytics", "search", "relational", "library")
 
 
 def core_modules() -> list:

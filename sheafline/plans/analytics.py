@@ -150,9 +150,9 @@ def perf_ranking(spark, sf):
     return insight.ranking(load(spark, sf, "orders"), "o_orderpriority", "sum(o_totalprice)")
 
 
-@query("with s as (select p_brand as segment, sum(p_retailprice) as m from part group by 1 having count(*) >= 30), r as (select *, row_number() over (order by m desc, segment) as r from s), k as (select count(*) as segments, sum(m) as t, sum(m) filter (r <= 5) as m from r) select segments, round(m, 2) as top_measure, round(100 * m / t, 4) as share, case when 100 * m / t >= 75 then 'medium' else 'low' end as severity from k where segments >= 5 and 100 * m / t >= 10")
+@query("with s as (select o_orderpriority as segment, sum(o_totalprice) as m from orders group by 1 having count(*) >= 30), r as (select *, row_number() over (order by m desc, segment) as r from s), k as (select count(*) as segments, sum(m) as t, sum(m) filter (r <= 5) as m from r) select segments, round(m, 2) as top_measure, round(100 * m / t, 4) as share, case when 100 * m / t >= 75 then 'medium' else 'low' end as severity from k where segments >= 5 and 100 * m / t >= 50")
 def perf_concentration(spark, sf):
-    return insight.concentration(load(spark, sf, "part"), "p_brand", "sum(p_retailprice)", least=10.0)
+    return insight.concentration(load(spark, sf, "orders"), "o_orderpriority", "sum(o_totalprice)")
 
 
 @query("with m as (select strftime(o_orderdate, '%Y-%m') as month, sum(o_totalprice) as v from orders group by 1), k as (select month, v, lead(v) over (order by month desc) as before, row_number() over (order by month desc) as k from m) select month, round(v, 2) as value, round(before, 2) as before, round(100 * (v - before) / abs(before), 2) as pct, case when v < before then 'wrong' else 'right' end as way, case when v < before and abs(100 * (v - before) / abs(before)) > 15 then 'medium' else 'low' end as severity from k where k = 2 and before is not null and before <> 0")
@@ -166,6 +166,6 @@ def gap_benchmark(spark, sf):
     return insight.benchmark(d, "n_name", "sum(c_acctbal)")
 
 
-@query("with a as (select count(*) as n, count(*) filter (note is null or trim(note) = '') as note, count(*) filter (region is null or trim(region) = '') as region, count(*) filter (dealer is null or trim(dealer) = '') as dealer from tickets), x as (select unnest(['region', 'dealer', 'note']) as c, unnest([region, dealer, note]) as b, n from a) select c as \"column\", b as blank, round(100.0 * b / n, 4) as pct, case when 100.0 * b / n >= 50 then 'high' else 'medium' end as severity from x where 100.0 * b / n >= 5 and 100.0 * b / n < 100 limit 3")
+@query("with a as (select count(*) as n, count(*) filter (note is null or trim(note) = '') as note, count(*) filter (region is null or trim(region) = '') as region, count(*) filter (dealer is null or trim(dealer) = '') as dealer from tickets), x as (select unnest(['region', 'dealer', 'note']) as c, unnest([region, dealer, note]) as b, n from a) select c as \"column\", b as blank, round(100.0 * b / n, 4) as pct, case when 100.0 * b / n >= 50 then 'high' else 'medium' end as severity from x where 100.0 * b / n >= 20 and 100.0 * b / n < 100 limit 3")
 def gap_coverage(spark, sf):
-    return insight.coverage(load(spark, sf, "tickets"), ["region", "dealer", "note"], low=5.0)
+    return insight.coverage(load(spark, sf, "tickets"), ["region", "dealer", "note"])

@@ -206,8 +206,9 @@ def ann_search(spark, sf):
 
 @query()
 def locate_file(spark, sf):
-    q = spark.createDataFrame([(1, "where is the workbook about the coating in contracts"), (2, "open the backlog pdf")], "qid long, question string")
-    return locate.locate(load(spark, sf, "files").select("id", "name"), q)
+    f = load(spark, sf, "files").where("trim(name) <> ''").select("id", "name")
+    q = f.where("id % 50 = 0").select(F.col("id").alias("qid"), F.concat(F.lit("where is the file "), F.regexp_replace("name", r"\.\w+$", "")).alias("question"))
+    return locate.locate(f, q)
 
 
 @query()

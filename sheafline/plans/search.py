@@ -88,10 +88,10 @@ def hybrid_search(spark, sf):
 
 def _hits(spark, sf):
     c = load(spark, sf, "chunks").where("text is not null").select("id", "file_id", F.col("ord").cast("long").alias("ord"), "text", "loc")
-    return c, c.where("ord % 7 = 2").select(F.lit(1).alias("qid"), "file_id", "ord", (F.lit(1.0) / (F.col("id") + 1)).alias("score")).dropDuplicates(["file_id", "ord"])
+    return c, c.where("id % 50 = 0").select(F.col("id").alias("qid"), "file_id", "ord", (F.lit(1.0) / (F.col("id") + 1)).alias("score")).dropDuplicates(["qid", "file_id", "ord"])
 
 
-@query("with c as (select id, file_id, ord::bigint as ord, text from chunks where text is not null), h as (select file_id, ord, max(1.0 / (id + 1)) as score from c where ord % 7 = 2 group by 1, 2), w as (select distinct file_id, ord + d as ord from h, (select unnest([-1, 0, 1]) as d)), j as (select w.file_id, w.ord, c.text, h.score from w join c using (file_id, ord) left join h using (file_id, ord)), i as (select *, ord - row_number() over (partition by file_id order by ord) as run from j) select 1 as qid, file_id, min(ord) as first_ord, max(ord) as last_ord, sum(length(text))::bigint + count(*) - 1 as n from i group by file_id, run having max(score) is not null")
+@query("with c as (select id, file_id, ord::bigint as ord, text from chunks where text is not null), h as (select id as qid, file_id, ord, 1.0 / (id + 1) as score from c where id % 50 = 0), w as (select distinct qid, file_id, ord + d as ord from h, (select unnest([-1, 0, 1]) as d)), j as (select w.qid, w.file_id, w.ord, c.text, h.score from w join c using (file_id, ord) left join h using (qid, file_id, ord)), i as (select *, ord - row_number() over (partition by qid, file_id order by ord) as run from j) select qid, file_id, min(ord) as first_ord, max(ord) as last_ord, sum(length(text))::bigint + count(*) - 1 as n from i group by qid, file_id, run having max(score) is not null")
 def neighbour_merge(spark, sf):
     c, h = _hits(spark, sf)
     return r.neighbours(h, c).select("qid", "file_id", "first_ord", "last_ord", F.length("text").cast("long").alias("n"))

@@ -278,3 +278,21 @@ def test_scan_finds_every_kind(spark):
     d = spark.createDataFrame(rows, "tid string, day string, dealer string, hours double, src string").selectExpr("tid", "cast(day as date) as day", "dealer", "hours", "src")
     got = {(r.check, r.column) for r in quality.scan(d, ["hours"], ["day"], None, "2025-06-30", labels=["dealer"], ids=["tid"], source="src").collect()}
     assert got == {("constant", "hours"), ("constant", "src"), ("near_duplicate", "dealer"), ("duplicate_id", "tid"), ("date_spread", "day"), ("future_date", "day")}
+
+
+def test_joins_on_order(spark):
+    import datetime as dt
+
+    from sheafline.operators import joins
+
+    def at(h, m=0):
+        return dt.datetime(2025, 1, 1 + h // 24, h % 24, m, tzinfo=dt.UTC)
+
+    L = spark.createDataFrame([(1, "a", at(5)), (2, "a", at(30)), (3, "a", at(80)), (4, "b", at(5)), (5, None, at(5)), (6, "a", None), (7, "a", at(1))], "id long, k string, t timestamp")
+    R = spark.createDataFrame([("a", at(2), 10), ("a", at(2), 11), ("a", at(29), 12), ("a", at(31), 13), ("c", at(1), 14), (None, at(1), 15), ("a", None, 16)], "k string, t timestamp, v long")
+    for width in (3600.0, 86_400.0, 1e9):
+        assert {r.id: r.v for r in joins.asof(L, R, "t", "k", "v", width).collect()} == {1: 11, 2: 12, 3: 13, 4: None, 5: None, 6: None, 7: None}
+    assert joins.asof(L.limit(0), R, "t", "k", "v").count() == 0 and joins.asof(L, R.limit(0), "t", "k", "v").where("v is not null").count() == 0
+    S = spark.createDataFrame([(1, at(4), at(6)), (2, at(5), at(90)), (3, at(6), at(6)), (4, None, at(6)), (5, at(80), at(80, 1))], "sid long, a timestamp, b timestamp")
+    for width in (1800.0, 86_400.0):
+        assert sorted((r.id, r.sid) for r in joins.within(L.select("id", "t"), S, "t", "a", "b", width).collect()) == [(1, 1), (1, 2), (2, 2), (3, 2), (3, 5), (4, 1), (4, 2), (5, 1), (5, 2)]
