@@ -24,6 +24,8 @@ from sheafline.operators.ranks import value_at_rank
 from sheafline.session import cut, load
 
 COUNTS = "load string, column string, value string, num double, n long"
+#: With `edge`: whether a value is the least or greatest filled one of its load in some row group.
+MARKED = COUNTS + ", edge boolean"
 
 
 def footers(spark: SparkSession, path: str, load_col: str, columns: Sequence[str]) -> DataFrame:
@@ -95,14 +97,15 @@ def plan(foot: DataFrame, counted: Sequence[str] = ()) -> DataFrame:
     return foot.withColumn("way", way)
 
 
-_COUNTS = pa.schema([("load", pa.string()), ("column", pa.string()), ("value", pa.string()), ("num", pa.float64()), ("n", pa.int64())])
+_COUNTS = pa.schema([("load", pa.string()), ("column", pa.string()), ("value", pa.string()), ("num", pa.float64()), ("n", pa.int64()), ("edge", pa.bool_())])
 
 
 def value_counts(foot: DataFrame, load_col: str, parts: int | None = None) -> DataFrame:
-    """(load, column, value, num, n): the values of the chunks in `foot` (of `plan`, or of
+    """(load, column, value, num, n, edge): the values of the chunks in `foot` (of `plan`, or of
     `footers`, which scans all), counted per row group.
 
-    Value is the text of a value as it stands (null for null), num its number for numeric
+    edge marks the least and the greatest filled text of a load in any row group, so that the
+    extrema of a column are found among a few rows.  Value is the text of a value as it stands (null for null), num its number for numeric
     columns.  n is 0 for the candidates of a dictionary.  A row group is the unit of work and of
     memory.
     """
@@ -118,7 +121,12 @@ def value_counts(foot: DataFrame, load_col: str, parts: int | None = None) -> Da
             number = pa.types.is_floating(v.type) or pa.types.is_integer(v.type)
             num = pc.cast(v, pa.float64()) if number else pa.nulls(len(v), pa.float64())
             load = load.dictionary_decode() if pa.types.is_dictionary(load.type) else load
-            return pa.RecordBatch.from_arrays([load.cast(pa.string()), pa.array([column] * len(v), pa.string()), pc.cast(v, pa.string()), num, n.cast(pa.int64())], schema=_COUNTS)
+            load, v = load.cast(pa.string()), pc.cast(v, pa.string())
+            full = pc.fill_null(pc.not_equal(pc.ascii_trim_whitespace(v), ""), False)
+            ends = pa.table({"load": load, "v": pc.if_else(full, v, None)}).group_by("load").aggregate([("v", "min"), ("v", "max")])
+            place = pc.index_in(load, ends["load"].combine_chunks())
+            edge = pc.or_(*(pc.fill_null(pc.equal(v, ends[c].combine_chunks().take(place)), False) for c in ("v_min", "v_max")))
+            return pa.RecordBatch.from_arrays([load, pa.array([column] * len(v), pa.string()), v, num, n.cast(pa.int64()), edge], schema=_COUNTS)
 
         # Rows come sorted by row group; what belongs to one is gathered across batches.
         last, todo = None, []
@@ -157,9 +165,9 @@ def value_counts(foot: DataFrame, load_col: str, parts: int | None = None) -> Da
 
     n = parts or max(1, foot.sparkSession.sparkContext.defaultParallelism)
     todo = foot.where("way <> 'footer'").select("file", "row_group", "column", "load", "dictionary", "way")
-    counts = todo.repartition(n, "file", "row_group").sortWithinPartitions("file", "row_group").mapInArrow(read, COUNTS)
-    told = foot.where("way = 'footer'").select("load", "column", F.col("lo").alias("value"), F.col("lo").cast("double").alias("num"), F.col("rows").alias("n"))
-    return counts.unionByName(told).groupBy("load", "column", "value", "num").agg(F.sum("n").alias("n"))
+    counts = todo.repartition(n, "file", "row_group").sortWithinPartitions("file", "row_group").mapInArrow(read, MARKED)
+    told = foot.where("way = 'footer'").select("load", "column", F.col("lo").alias("value"), F.col("lo").cast("double").alias("num"), F.col("rows").alias("n"), F.lit(True).alias("edge"))
+    return counts.unionByName(told).groupBy("load", "column", "value", "num").agg(F.sum("n").alias("n"), F.max("edge").alias("edge"))
 
 
 def exact_median(counts: DataFrame, keys: Sequence[str], value: str = "num", n: str = "n") -> DataFrame:
@@ -167,7 +175,8 @@ def exact_median(counts: DataFrame, keys: Sequence[str], value: str = "num", n:
     (`ranks.value_at_rank`).  Groups without values are left out."""
     keys = list(keys)
     c = counts.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("v"), F.col(n).alias("c"))
-    mid = value_at_rank(c, {"low": F.floor((F.col("n") + 1) / 2), "high": F.floor(F.col("n") / 2) + 1}, keys)
+    # Counted values are told once per group.
+    mid = value_at_rank(c, {"low": F.floor((F.col("n") + 1) / 2), "high": F.floor(F.col("n") / 2) + 1}, keys, once=True)
     return mid.groupBy(*keys).agg((F.sum("at") / 2).alias("median"))
 
 
@@ -192,12 +201,14 @@ def profile(counts: DataFrame, patterns: dict[str, str] | None = None, foot: Dat
         F.sum("n").alias("n_rows"),
         F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("n_filled"),
         F.sum(F.when(ok, 1).otherwise(0)).cast("long").alias("n_distinct"),
-        F.min(F.when(ok, F.col("value"))).alias("lo"),
-        F.max(F.when(ok, F.col("value"))).alias("hi"),
         F.min(F.when(ok, F.col("num"))).alias("lo_num"),
         F.max(F.when(ok, F.col("num"))).alias("hi_num"),
         F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("n_bad"),
     )
+    # Texts are compared apart: an aggregate of texts would sort all rows.
+    edges = counts.where("edge") if "edge" in counts.columns else counts
+    ends = edges.where(ok).groupBy("load", "column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    got = got.join(ends, ["load", "column"], "left").select("load", "column", "n_rows", "n_filled", "n_distinct", "lo", "hi", "lo_num", "hi_num", "n_bad")
     if foot is None:
         return got
     text, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
@@ -281,14 +292,16 @@ TICKET_COUNTED = ("hours", "amount", "region", "status")
 
 
 def table_profile(spark: SparkSession, path: str, load_col: str, columns: Sequence[str], patterns: dict[str, str] | None = None, counted: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile, counts, footers with their way) of the loads of a Parquet table.
-
-    Columns with a pattern are counted, so that every malformed value is told.  Missing columns
+    """(profile, counts of the columns in `counted`, footers with their way) of the loads of a
+    Parquet table.  Columns with a pattern are counted, so that every malformed value is told.  Missing columns
     give no rows, an empty table gives none at all.
     """
     foot = cut(plan(footers(spark, path, load_col, columns), [*counted, *(patterns or {})]))
-    counts = cut(value_counts(foot, load_col))
-    return profile(counts, patterns, foot), counts, foot
+    # Columns whose values are compared later lie apart, as they are read several times.
+    kept = F.col("column").isin(list(counted))
+    counts = cut(value_counts(foot.where(kept), load_col))
+    rest = cut(value_counts(foot.where(~kept), load_col))
+    return profile(counts, patterns, foot.where(kept)).unionByName(profile(rest, patterns, foot.where(~kept))), counts, foot
 
 
 def ticket_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
