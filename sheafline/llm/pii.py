@@ -37,8 +37,8 @@ def _plain_email(m: re.Match) -> str:
 
 # --- numbers ----------------------------------------------------------------------------
 # Words that announce a number of a person, a phone, or something else.
-ID_CUE = re.compile(r"(?:national id|\bid(?:entity)?(?: card)?(?: no\.?| number)?|\bni no\.?|national insurance|social security|security number|passport|pass(?:nummer|eport)|ausweis\w*|steuer-?id\w*|steuernummer|personalausweis|sozialversicherung\w*|dni|nie|nif|pasaporte|documento|document no\.?|identity \w+(?: \w+){0,3}|carte d.identité|sécurité sociale|numéro fiscal|passeport|tax (?:id|number)|driving licen[cs]e|on the pay ?slip)", re.I)
-PHONE_CUE = re.compile(r"(?:\b(?:phone|tel|tél|tlf|tfno|telefon|teléfono|téléphone|mob|mobile?|mobil|móvil|portable|fax|call|text|cell|handy|hotline|night line|line is|rappeler|répond|llamar|llame|rückruf|anruf\w*|reach|driver on|driver|fahrer|chauffeur|chófer|conductor|atiende|contesta|code to|erreichbar|unter|ring|whatsapp)\b)", re.I)
+ID_CUE = re.compile(r"(?:national id|\bid(?:entity)?(?: card)?(?: no\.?| number)?|\bni no\.?|national insurance|social security|security number|passport|pass(?:nummer|eport)|ausweis\w*|steuer-?id\w*|steuernummer|personalausweis|sozialversicherung\w*|dni|nie|nif|pasaporte|documento|document no\.?|identity \w+(?: \w+){0,3}|carte d.identité|sécurité sociale|numéro fiscal|passeport|tax (?:id|number)|driving licen[cs]e|driver.s licen[cs]e|identification(?: no\.?| number)?|insurance number|tax reference|matriculation|carnet|cédula|führerschein\w*|permis de conduire)", re.I)
+PHONE_CUE = re.compile(r"(?:\b(?:phone|tel|tél|tlf|tfno|telefon|teléfono|téléphone|mob|mobile?|mobil|móvil|portable|fax|call|text|cell|handy|hotline|line|extension|pager|rappeler|répond|llamar|llame|rückruf|anruf\w*|reach|driver|courier|agent|desk|office|kontakt|contact|fahrer|chauffeur|chófer|conductor|atiende|contesta|dial|joignable|localizable|erreichbar|unter|ring|whatsapp)\b)", re.I)
 OTHER_CUE = re.compile(r"(?:\b(?:serial(?: no\.?| number)?|part(?: number| no\.?)?|order(?: no\.?)?|invoice|booked under|ref\.?|reference|firmware|version|ticket|batch|unit|model|item|article|account|iban|customer no\.?|contract no\.?|tracking|lot|code|seriennummer|teilenummer|artikel\w*|bestell\w*|rechnung\w*|auftrag\w*|kundennummer|vorgang|charge|gerät|modell|teil|pièce|commande|facture|n° de série|série|dossier|modèle|appareil|pedido|factura|serie|pieza|modelo|unidad|lote|caso|expediente|case|replaces|since|seit|depuis|desde)\b[\s.:#]*(?:is|no|nr|n°|number)?[\s.:#]*)\Z", re.I)
 EXTENSION = re.compile(r"\s*\(?(?:ext|x|extension|durchwahl|poste|extensión)\.?\s*\d{1,5}\)?", re.I)
 
@@ -88,7 +88,7 @@ _NO = r"\d{1,5}"
 ADDRESSES = tuple(
     re.compile(x, f)
     for x, f in (
-        (rf"(?<![\w,.-])(?<!\bUnit )(?<!\bBatch ){_NO}\s?[A-Za-z]?,?\s(?:{_CAP}\s){{1,3}}{_EN}(?![\w])", 0),
+        (rf"(?<![\w,.-]){_NO}\s?[A-Za-z]?,?\s(?:{_CAP}\s){{1,3}}{_EN}(?![\w])", 0),
         (rf"(?<![\w-]){_NO}(?:\s?(?:bis|ter|quater|[A-Da-d]\b))?,?\s{_FR}\s(?:(?:de la|de l'|de l’|de|du|des|d'|d’|la|le|les)\s?)?{_CAP}(?:(?:\s|-)(?:(?:de|du|des|la|le)(?:\s|-))?{_CAP}(?=[,\s.]|\Z)(?!\s?{_CAP}))?", 0),
         (rf"(?<![\w-]){_ES}\s(?:(?:de la|de los|de las|del|de|la|el|los|las)\s)?{_CAP}(?:\s(?:de\s|del\s|y\s)?{_CAP})?,?\s(?:(?:n\.?\s?[ºo°]\.?|núm\.?|nº|No\.?)\s?)?{_NO}(?:\s?(?:bis|ter)\b|[A-Za-z]\b)?", 0),
         (rf"(?<![\w-])(?:(?:An der|An den|Am|Auf der|Auf dem|In der|Im|Zum|Zur|Alte|Alter|Neue|Neuer|Große|Kleine|Obere|Untere)\s)?[A-ZÄÖÜ][\wäöüß-]*{_DE}\s{_NO}(?:\s?[a-z]\b|[A-Z]\b)?(?![\w])", 0),
@@ -119,7 +119,7 @@ AFTER = re.compile(rf"({NAME})(?=\s(?:signed the|has signed|hat das|hat die|hat
 NAME_RX = re.compile(NAME)
 TITLE_FIRST = re.compile(rf"{_TITLE}\b\.?(?:\s|\Z)")
 #: A company follows the name.
-COMPANY = re.compile(r"\s?(?:&|\+|GmbH|AG\b|KG\b|SA\b|S\.A|SL\b|S\.L|SARL|SAS\b|Ltd|LLC|Inc|Corp|Co\b|PLC|Service\b|Group|G\.M\.B\.H)|\s(?:invoice|gasket|branch|seal|account)\b")
+COMPANY = re.compile(r"\s?(?:&|\+|GmbH|AG\b|KG\b|SA\b|S\.A|SL\b|S\.L|SARL|SAS\b|Ltd|LLC|Inc|Corp|Co\b|PLC|Service\b|Group|G\.M\.B\.H|Holdings?\b|Partners\b|Bros\b|OHG\b)|\s(?:invoices?|branch|accounts?|brand|model|series|products?|contracts?)\b")
 PAIR = re.compile(rf"(?<![\w.@/-])({_C})(,?\s)(?={_C}|{_I})")
 WORDS = re.compile(rf"(?<![\w.@/-])(?:{_C}|{_I})")
 
@@ -150,6 +150,8 @@ ADDRESS_SIGNS = tuple(
     )
 )
 #: Where a capitalised word may begin, and digits that lie close enough to be one number.
+#: Nouns that a number follows.
+NUMBERED = frozenset("unit batch model part item lot order serial no nr number ref invoice ticket room hall gate line page figure table step stage phase case file version machine pump valve type series code gerät modell teil charge raum halle tor seite schritt fall typ auftrag pièce appareil modèle lot salle page étape dossier unidad pieza modelo lote sala página caso pedido".split())
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ](?<![\w.@/-].)")
 DIGITS = re.compile(r"\d(?:[A-Z\s().,/+-]{0,4}\d){4,}")
 FAMILY_GIVEN = re.compile(_C)
@@ -188,7 +190,8 @@ class Finder:
                     continue
                 for m in rx.finditer(flat):
                     a, b = m.span()
-                    if free(a, b):
+                    # "Unit 12 Mill Road": the number belongs to what is before it.
+                    if free(a, b) and not (flat[a].isdigit() and flat[flat.rfind(" ", 0, a - 1) + 1 : a - 1].lower() in NUMBERED):
                         add(a, b, "address", flat[a:b].rstrip(","))
         self._names(flat, free, add)
         return sorted(found)

@@ -382,6 +382,11 @@ FOUND = [
     ("lives at 99A Mill Road.", {("address", "99A Mill Road")}), ("Send to Flat 3, 131 Oak Street.", {("address", "131 Oak Street")}), ("Anschrift: Dosemstraße 99b, Ulm", {("address", "Dosemstraße 99b")}), ("Livrer au 133 bis, avenue Sulehe, 08960 X", {("address", "133 bis, avenue Sulehe")}), ("Entregar en Paseo del Velisste, n.º 33, 06874 C", {("address", "Paseo del Velisste, n.º 33")}),
     ("We spoke with Hugo Stone about it.", {("name", "Hugo Stone")}), ("cc STONE, Carmen The order", {("name", "STONE, Carmen")}), ("raised by Mr Winter last week", {("name", "Winter")}), ("Approved by: Ilse Sulor-Baker The pump", {("name", "Ilse Sulor-Baker")}), ("Thanks to Petra L. for it", {("name", "Petra L.")}), ("B. Wixa signed the protocol.", {("name", "B. Wixa")}),
 ]
+#: Wordings and values that the test tables do not hold.
+OTHER_WORDS = [
+    ("Dial +31 20 555 0199 for the desk.", {("phone", "31205550199")}), ("The courier answers 0171 2345 6789 at weekends", {("phone", "017123456789")}), ("His driving licence X1234567 expired", {("idno", "X1234567")}), ("Führerschein B0726AB12 liegt vor", {("idno", "B0726AB12")}),
+    ("Deliver to 4 Elm Terrace today", {("address", "4 Elm Terrace")}), ("Valve 12 Mill Road is a product name", set()), ("wohnhaft Lindenallee 7, Kiel", {("address", "Lindenallee 7")}), ("mail jo.doe+x@sub.dept.example now", {("email", "jo.doe+x@sub.dept.example")}), ("Signed: Petra Iltiquell, manager", {("name", "Petra Iltiquell")}), ("Stone Partners sent it", set()), ("Model Hugo Stone series", set()),
+]
 NOTHING = ["Serial no. 480-98-0126", "Order 0047-425-846 covers the Stone gasket.", "The Stone GmbH invoice over 67,312.00 is booked under 47218054.", "Our field crew", "Rose tint on the May batch", "Will stone chips damage it?", "Winter service starts at hall 30, gate 4.", "Part number 555-546-418", "runs since 2024-05-16", "The Field Road branch closes early.", "Stone & Co sent a list", "", None]
 
 
@@ -391,6 +396,11 @@ def test_personal_information(text, want):
     assert {(k, v) for _, _, k, v in FINDER.find(text.replace(" ", "\n", 1).replace(" ", "  ", 1))} >= {(k, v) for k, v in want if k in ("phone", "idno")}
 
 
+@pytest.mark.parametrize("text,want", OTHER_WORDS)
+def test_personal_information_in_other_words(text, want):
+    assert {(k, v) for _, _, k, v in FINDER.find(text)} == want
+
+
 @pytest.mark.parametrize("text", NOTHING)
 def test_no_personal_information(text):
     assert FINDER.find(text) == []
