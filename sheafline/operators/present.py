@@ -214,3 +214,17 @@ def export_html(result: Result) -> str:
     cell = lambda tag, v: f"<{tag}>{escape('' if v is None else str(v))}</{tag}>"
     head = "".join(cell("th", c) for c in result.columns)
     return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in result.rows) + "</table>"
+
+
+def packaged(sql: str, result, catalog, missing: str = "") -> dict:
+    """The answer of a query with what it rests on: tables, rows looked at, id columns to be kept
+    as they stand, a table in text, and what could not be answered.
+
+    catalog: the session's Catalog; a name counts where it stands in the query as a word.
+    """
+    used = [n for n in catalog.tables if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", sql, re.I)]
+    # A union view over tables of its own is not counted twice.
+    base = [n for n in used if catalog.tables[n].kind == "table"] or used
+    scanned = sum(catalog.tables[n].n_rows for n in base)
+    ids = sorted({c.name for n in used for c in catalog.tables[n].columns if c.role == "id" and c.name in result.columns})
+    return {"tables": used, "scanned": scanned, "id_columns": ids, "text": result.to_markdown() if result.rows else "The query ran and matched no rows.", "rows": len(result.rows), "truncated": result.truncated, "missing": missing, "sql": sql}

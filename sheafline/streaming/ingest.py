@@ -21,6 +21,33 @@ def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, merge
     return q
 
 
+def one_by_one(process: Callable[[DataFrame], DataFrame], target: str, key: str, failed: str) -> Callable[[DataFrame, int], None]:
+    """A merge that saves a batch as a whole, and if that fails, each file of it for itself.
+
+    process(rows of files) gives rows to keep.  Files that fail alone too are noted in `failed`
+    (key, error, epoch) and keep no other file back.  A batch holds at most the files of one
+    trigger, so the files that come to the driver are bounded.
+    """
+
+    def save(rows: DataFrame, at: str) -> None:
+        process(rows).write.mode("overwrite").parquet(at)
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        try:
+            save(batch, f"{target}/epoch={epoch}/part=all")
+            return
+        except Exception:
+            bad = []
+        for n, r in enumerate(batch.select(key).distinct().orderBy(key).collect()):
+            try:
+                save(batch.where(F.col(key).eqNullSafe(F.lit(r[0]))), f"{target}/epoch={epoch}/part={n}")
+            except Exception as e:
+                bad.append((r[0], str(e).splitlines()[0][:300], epoch))
+        batch.sparkSession.createDataFrame(bad, f"{key} string, error string, epoch long").write.mode("overwrite").parquet(f"{failed}/epoch={epoch}")
+
+    return merge
+
+
 def merge_by_key(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
     """A merge that writes each batch to a folder of its epoch; `current` reads the latest row of
     every key over all epochs.  Writing an epoch twice gives the same."""

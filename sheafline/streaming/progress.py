@@ -6,9 +6,38 @@ import time
 from collections import deque
 from collections.abc import Callable
 
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
 WINDOW, ALPHA, LEAST_SECONDS, LEAST_FILES, FIRST_WEIGHT = 45.0, 0.3, 2.0, 3, 1e-6
 
 
+class Watch(StreamingQueryListener):
+    """Keeps the last progress of each streaming query and whether it has ended; add it with
+    spark.streams.addListener and ask for `rate`."""
+
+    def __init__(self, keep: int = 50):
+        self.recent: dict[str, deque] = {}
+        self.ended: dict[str, str | None] = {}
+        self.keep = keep
+
+    def onQueryStarted(self, event) -> None:
+        self.recent[str(event.id)] = deque(maxlen=self.keep)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.recent.setdefault(str(p.id), deque(maxlen=self.keep)).append({"batch": p.batchId, "rows": p.numInputRows, "processedRowsPerSecond": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)] = event.exception
+
+    def rows(self, query_id: str) -> int:
+        """Rows read so far; a batch that is looked at several times counts each time."""
+        return sum(p["rows"] for p in self.recent.get(str(query_id), ()))
+
+
 class Meter:
     """Files are announced, then completed; `eta` prices what is left.
 

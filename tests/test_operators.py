@@ -296,3 +296,74 @@ def test_joins_on_order(spark):
     S = spark.createDataFrame([(1, at(4), at(6)), (2, at(5), at(90)), (3, at(6), at(6)), (4, None, at(6)), (5, at(80), at(80, 1))], "sid long, a timestamp, b timestamp")
     for width in (1800.0, 86_400.0):
         assert sorted((r.id, r.sid) for r in joins.within(L.select("id", "t"), S, "t", "a", "b", width).collect()) == [(1, 1), (1, 2), (2, 2), (3, 2), (3, 5), (4, 1), (4, 2), (5, 1), (5, 2)]
+
+
+def test_files_by_initials_and_by_contents(spark):
+    from sheafline.operators import locate
+
+    f = spark.createDataFrame([(1, "Process Quality Index Kagal.xlsx", "/lib/q/Process Quality Index Kagal.xlsx"), (2, "AK_Analysis.xlsx", "/lib/AK_Analysis.xlsx"), (3, "260621 RAMS Study V2.pdf", "/lib/r/260621 RAMS Study V2.pdf"), (4, "roadmap.pptx", "/lib/roadmap.pptx")], "id long, name string, path string")
+    c = spark.createDataFrame([(3, "The reliability of the gas engine over ten years."), (3, "More on engine parts."), (4, "Plans for the year."), (1, None)], "id long, text string")
+    q = spark.createDataFrame([(1, "where is my PQI spreadsheet"), (2, "where is the AK analysis file"), (3, "locate the file about gas engine reliability"), (4, "where is the roadmap"), (5, "where is zzz")], "qid long, question string")
+    got = {(r.qid, r.rank): (r.id, r.how) for r in locate.locate_any(f, c, q).collect()}
+    assert got[1, 1] == (1, "name") and got[2, 1] == (2, "name") and got[3, 1] == (3, "content") and got[4, 1] == (4, "name") and (5, 1) not in got
+    assert locate.steps("/data/lib/q/x.pdf", "/data/lib") == ["lib", "q", "x.pdf"] and locate.steps("a\\b.txt") == ["a", "b.txt"]
+    text = locate.answer([{"name": "report[final].pdf", "path": "/lib/r/report[final].pdf", "score": 1.0, "how": "name"}, {"name": "o", "path": "/lib/o", "score": 0.5}], "/lib")
+    assert "is in:" in text and "P1[r]" in text and "P2((report(final).pdf))" in text and "- `/lib/o`" in text and locate.answer([]) == ""
+
+
+def test_plans_are_kept_for_measured_gaps_only():
+    import json
+
+    from sheafline.operators import explore
+
+    g = {"table": "t", "dimension": "dealer", "measure": "total", "severity": "high", "prize": 1200.0, "laggards": [{"segment": "A", "rate": 5.0, "benchmark": 10.0, "behind_pct": 50.0, "records": 240}]}
+    assert "A at 5.00 (50 % behind, 240 records)" in explore.brief([g]) and explore.brief([]) == "No measurable gap was found."
+    seen = []
+
+    def model(text):
+        seen.append(text)
+        return "```json\n" + json.dumps({"t.dealer.total": {"why": "w" * 900, "actions": "look"}, "made.up.id": {"why": "x"}}) + "\n```"
+
+    got = explore.plan([g], model)
+    assert list(got) == ["t.dealer.total"] and len(got["t.dealer.total"]["why"]) == 400 and got["t.dealer.total"]["actions"] == ["look"]
+    assert explore.plan([g], lambda t: "no json") == {} and explore.plan([g], lambda t: 1 / 0) == {} and explore.plan([], model) == {} and len(seen) == 1
+
+
+def test_answers_name_what_they_rest_on(spark):
+    from sheafline.catalog import Catalog
+    from sheafline.guard import run_sql
+    from sheafline.operators import present
+
+    cat = Catalog(spark)
+    cat.register("pk_orders", spark.createDataFrame([(i, float(i)) for i in range(30)], "order_id long, total double"))
+    cat.register("pk_other", spark.createDataFrame([(1,)], "x long"))
+    sql = "select order_id, total from pk_orders where total < 2"
+    got = present.packaged(sql, run_sql(spark, sql), cat, "nothing on returns")
+    assert got["tables"] == ["pk_orders"] and got["scanned"] == 30 and got["id_columns"] == ["order_id"] and got["rows"] == 2 and "| order_id |" in got["text"] and got["missing"]
+
+
+def test_one_bad_file_keeps_no_other_back(spark, tmp_path):
+    from sheafline.streaming import ingest, progress
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        spark.createDataFrame([(f"f{i}", "bad" if i == 1 else f"text {i}")], "path string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def process(rows):
+        return rows.selectExpr("path", "if(text = 'bad', raise_error('cannot be read'), text) as text")
+
+    watch = progress.Watch()
+    spark.streams.addListener(watch)
+    merge = ingest.one_by_one(process, str(tmp_path / "out"), "path", str(tmp_path / "failed"))
+    q = ingest.ingest(spark, str(tmp_path / "in"), "path string, text string", str(tmp_path / "cp"), merge)
+    assert {r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"f0", "f2"}
+    bad = spark.read.parquet(str(tmp_path / "failed")).collect()
+    assert [r.path for r in bad] == ["f1"] and "cannot be read" in bad[0].error
+    import time
+
+    for _ in range(50):
+        if watch.rows(q.id) >= 3:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(watch)
+    assert watch.rows(q.id) >= 3
