@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafline.llm.library import bounded
+from sheafline.session import cut
+
 #: Vectors of a part, sample vectors of a part, and the most vectors the index is fitted on.
 PART, PER_PART, MAX_SAMPLE = 1024, 64, 32_768
 #: Members and queries of one group of the ranking; larger parts are split into blocks of these.
@@ -455,3 +458,42 @@ def search(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFra
     # A few lists of k per query are merged; a query's rows are bounded by parts x blocks x k.
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
+def copies_apart(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """(surplus, last) of vectors (id, vec) that more than k + 1 records share exactly, None if
+    there are none.  surplus: (id, stand) of the copies beyond the k + 1 least ids, where stand is
+    the last id that stays; last: (id) of those.
+
+    The k most similar of a surplus copy are those of the last one that stays, as the lesser ids
+    come first among equals; so a group of copies costs as much as k + 1 vectors, whatever its
+    size.  Vectors are told apart by 128 bits of hashes; only ids and hashes are moved.
+    """
+    h = base.select("id", F.xxhash64("vec").alias("_h"), F.xxhash64("vec", F.lit(7)).alias("_g"))
+    many = cut(h.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > k + 1).select("_h", "_g"))
+    if not many.limit(1).count():
+        return None
+    hot = h.join(bounded(many), ["_h", "_g"], "left_semi")
+    # Only the least ids of a group leave a task.
+    least = hot.withColumn("_r", F.row_number().over(Window.partitionBy("_h", "_g").orderBy("id"))).where(F.col("_r") <= k + 1)
+    stand = cut(least.where(F.col("_r") == k + 1).select("_h", "_g", F.col("id").alias("stand")))
+    surplus = cut(hot.join(bounded(stand), ["_h", "_g"]).where(F.col("id") > F.col("stand")).select("id", "stand"))
+    return surplus, stand.select(F.col("stand").alias("id"))
+
+
+def similar(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFrame | None = None, min_cosine: float | None = None, block: int = BLOCK) -> DataFrame:
+    """`search` with groups of equal vectors searched once (`copies_apart`)."""
+    apart = copies_apart(base, k)
+    if apart is None:
+        return search(base, model, k, queries, min_cosine, block)
+    surplus, last = apart
+    rest = base.join(surplus.select("id"), "id", "left_anti")
+    asked = None
+    if queries is not None:
+        # The record that stands for surplus queries is asked as well.
+        stands = queries.select("id").join(surplus, "id").select(F.col("stand").alias("id")).distinct()
+        asked = queries.select("id", "vec").join(surplus.select("id"), "id", "left_anti").unionByName(rest.join(stands, "id", "left_semi").join(queries.select("id"), "id", "left_anti").select("id", "vec"))
+    got = cut(search(rest, model, k, asked, min_cosine, block))
+    own = got if queries is None else got.join(queries.select("id"), "id", "left_semi")
+    wanted = surplus if queries is None else surplus.join(queries.select("id"), "id", "left_semi")
+    return own.unionByName(wanted.join(got.withColumnRenamed("id", "stand"), "stand").select("id", "other", "cosine"))

@@ -23,7 +23,7 @@ def p1_found(spark, sf_dir):
     """Pairs of cosine 0.92 and more where one is among the ten most similar of the other."""
     v = live_vectors(spark, sf_dir)
     model = knn.fit(v, v.count(), COSINE)
-    s = knn.search(v, model, K, min_cosine=COSINE)
+    s = knn.similar(v, model, K, min_cosine=COSINE)
     return s.select(F.least("id", "other").alias("row_a"), F.greatest("id", "other").alias("row_b")).distinct()
 
 
@@ -31,7 +31,7 @@ def p1_search(spark, sf_dir):
     """The ten most similar of all live vectors for every fiftieth vector, at a recall of 0.95 on the sample."""
     v = live_vectors(spark, sf_dir)
     model = knn.fit(v, v.count(), None, 0.95)
-    return knn.search(v, model, K, queries=v.where("id % 50 = 0")).select(F.col("id").alias("vec_row"), F.col("other").alias("similar"), F.round("cosine", 6).alias("cosine"))
+    return knn.similar(v, model, K, queries=v.where("id % 50 = 0")).select(F.col("id").alias("vec_row"), F.col("other").alias("similar"), F.round("cosine", 6).alias("cosine"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_search": p1_search}

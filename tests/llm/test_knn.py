@@ -99,3 +99,19 @@ def test_one_hot_part_is_split(spark):
     m = knn.fit(v, 600, 0.92, part=100, per_part=32)
     got = knn.search(v, m, 3, min_cosine=0.92, block=100)
     assert got.count() == 1800 and {r.other for r in got.where("id = 500").collect()} == {0, 1, 2}
+
+
+def test_groups_of_copies_are_searched_once(spark, monkeypatch):
+    """A third of all vectors are equal, some others in smaller groups; the result is that of all."""
+    x = near_copies(300, 8, 3)
+    x[np.arange(0, 300, 3)] = x[0]
+    x[[1, 4, 7, 10, 13, 16]] = x[1]
+    v = frame(spark, x).repartition(3)
+    m = knn.fit(v, 300, 0.92, part=64, per_part=32)
+    surplus, last = knn.copies_apart(v, 3)
+    assert surplus.count() == 98 and {r.id for r in last.collect()} == {9, 10}
+    for kw in ({"min_cosine": 0.92}, {}, {"queries": v.where("id % 5 = 0")}):
+        m.mass = 1.0  # every part is searched, so that both ways are exact
+        a, b = (sorted((r.id, r.other) for r in f(v, m, 3, **kw).collect()) for f in (knn.search, knn.similar))
+        assert a == b and len(a) > 100
+    assert knn.copies_apart(v.where("id < 3"), 3) is None
