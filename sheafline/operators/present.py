@@ -118,7 +118,7 @@ def infer_chart(result: Result, roles: dict[str, str] | None = None) -> Chart:
         series, labels = list(dict.fromkeys(vals[b])), list(dict.fromkeys(vals[a]))
         if len(series) <= MOST_SERIES and len(series) * len(labels) <= MOST_CELLS:
             cell = {(x, y): v for x, y, v in zip(vals[a], vals[b], vals[nums[0]])}
-            return Chart("grouped_bar", a, [nums[0]], labels, {str(s): [cell.get((x, s)) for x in labels] for s in series}, [], title, ["grouped_bar", "table"])
+            return Chart("grouped_bar", a, [nums[0]], labels, {str(s): [cell.get((x, s), 0) for x in labels] for s in series}, [], title, ["grouped_bar", "table"])
     if cats and nums:
         c = cats[0]
         at = list(range(len(rows)))

@@ -277,7 +277,8 @@ def issues(prof: DataFrame, counts: DataFrame, catalog: DataFrame, loads: DataFr
     med = exact_median(counts.where(F.col("column").isin("hours", "amount")).select("load", "column", "num", "n"), ["load", "column"])
     moved = med.join(before, "load").join(med.select(F.col("load").alias("prev"), "column", F.col("median").alias("m0")), ["prev", "column"]).where(F.col("m0") > 0).where((F.col("median") >= SHIFT_RATIO * F.col("m0")) | (F.col("median") <= F.col("m0") / SHIFT_RATIO)).select("load", "column", F.lit("shift").alias("issue"))
 
-    vals = counts.where(F.col("column").isin("region", "status") & filled(F.col("value"))).select("load", "column", "value", "n")
+    # A few values a load; they are compared several times.
+    vals = cut(counts.where(F.col("column").isin("region", "status") & filled(F.col("value"))).select("load", "column", "value", "n"))
     share = vals.join(vals.groupBy("load", "column").agg(F.sum("n").alias("t")), ["load", "column"]).select("load", "column", "value", (F.col("n") / F.col("t")).alias("p"))
     both = share.join(before, "load").select("load", "column", "value", F.col("p"), F.lit(0.0).alias("q")).unionByName(share.withColumnRenamed("load", "prev").join(before, "prev").select("load", "column", "value", F.lit(0.0).alias("p"), F.col("p").alias("q")))
     drift = both.groupBy("load", "column", "value").agg(F.abs(F.sum("p") - F.sum("q")).alias("d")).groupBy("load", "column").agg((F.sum("d") / 2).alias("d"), F.count(F.lit(1)).alias("k")).where(F.col("d") >= SHIFT_SHARE - 1e-12)
