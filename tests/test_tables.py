@@ -118,7 +118,7 @@ def test_charts():
     assert present.infer_chart(R(["c", "v"], [["a", 1], ["b", 3]])).labels == ["b", "a"]
     assert present.infer_chart(R(["c", "v"], [[f"a label that is long {i}", i] for i in range(20)])).kind == "hbar"
     assert len(present.infer_chart(R(["c", "v"], [[str(i) + "x", i] for i in range(40)])).labels) == 15
-    assert present.infer_chart(R(["a", "b", "v"], [["x", "p", 1], ["x", "q", 2], ["y", "p", 3]])).series == {"p": [1, 3], "q": [2, None]}
+    assert present.infer_chart(R(["a", "b", "v"], [["x", "p", 1], ["x", "q", 2], ["y", "p", 3]])).series == {"p": [1, 3], "q": [2, 0]}
     assert present.infer_chart(R(["id", "v"], [[1, 2], [2, 3]]), {"id": "id"}).kind == "table"
     assert len(present.thin(1000)) <= 401 and present.thin(1000)[-1] == 999
 
