@@ -34,6 +34,17 @@ def p3_files(spark, sf_dir):
 
 QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p3_files": p3_files}
 ORACLES = {
+    "p3_links": """
+with w as (select id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from chunks where text is not null),
+s as (select distinct id, array_to_string(w[k : k + 2], ' ') as s from (select id, w, unnest(range(1, len(w) - 1)) as k from w where len(w) >= 3)),
+c as (select id, md5(string_agg(s, '|' order by s)) as c, count(*) as n from s group by 1),
+r as (select c, min(id) as class_id, count(*) as copies, any_value(n) as n from c group by 1),
+rs as (select c, s from r join s on s.id = class_id),
+j as (select a.c as a, b.c as b, count(*) as k from rs a join rs b on a.s = b.s and a.c < b.c group by 1, 2),
+l as (select a, b from j join r x on x.c = a join r y on y.c = b where k >= 0.7 * (x.n + y.n - k) - 1e-9),
+d as (select c, count(*) as links from (select a as c from l union all select b from l) group by 1)
+select id as chunk_id, class_id, copies, coalesce(links, 0) as links from c join r using (c) left join d using (c)
+""",
     "p3_files": """
 with f as (select distinct id, regexp_replace(lower(trim(hash)), '^(sha-?256|sha-?1|md5)\\s*[:=]\\s*', '') as h from files where hash is not null)
 select id as file_id, min(id) over (partition by h) as class_id, count(*) over (partition by h) as copies from f where h <> ''
