@@ -97,10 +97,10 @@ def filter_bounds(spark, sf):
     return spark.createDataFrame([(lo, hi)], "lo string, hi string")
 
 
-@query()
+@query("select doc_id from documents order by md5(doc_id || '-7'), doc_id limit 100")
 def random_sample(spark, sf):
     """A hundred rows in the order of a seeded hash: the same ones in every run."""
-    return load(spark, sf, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(100).select("doc_id")
+    return load(spark, sf, "documents").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-7"))), "doc_id").limit(100).select("doc_id")
 
 
 @query("select user_id, time_bucket(interval '1 hour', ts) as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
@@ -197,8 +197,9 @@ def sheet_text(spark, sf):
     return sheets.sheet_text(load(spark, sf, "tickets"), [("Region", "region"), ("Dealer", "dealer"), ("Status", "status")], keys=("table_name",))
 
 
-@query()
+@query("with u as (select vec_id, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), s as (select a.vec_id as qid, b.vec_id as id, list_dot_product(a.v, b.v) / a.n / b.n as score from u a, u b where a.vec_id % 50 = 0) select qid, id, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as k from s) where k <= 10")
 def ann_search(spark, sf):
+    """The ten nearest of every fiftieth vector; exact below 200,000 vectors, as in these tables."""
     v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     q = v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
     return ann.find(v, q, 10).select("qid", "id", F.round("score", 6).alias("score"))
