@@ -10,6 +10,8 @@ a part candidates are ranked by their exact cosine.
 The number of parts follows the number of vectors.  Beyond what one bounded sample can tell apart
 the index has two levels (`Tree`): the parts of the first are fitted each on a sample of their
 own, by a task each, so a part of PART vectors stays that small up to some 10 ** 8 vectors.
+There a vector is sent once to each coarse part that it searches, not to each part below, and the
+coarse parts take turns, so that the vectors on disk at once are a few times the vectors searched.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.llm.library import bounded
-from sheafline.session import cut
+from sheafline.session import cut, tidy
 
 #: Vectors of a part, sample vectors of a part, and the most vectors the index is fitted on.
 PART, PER_PART, MAX_SAMPLE = 1024, 64, 32_768
@@ -32,6 +34,9 @@ BLOCK = 16_384
 NEIGHBOURS = 10
 #: Shuffled bytes of vectors for one task of the ranking.
 PARTITION_BYTES = 16 << 20
+#: Bytes of the members that a task of the two-level search holds, queries per member of a task, and
+#: the vectors that are shuffled at once, as a multiple of the members.
+HELD_BYTES, QUERIES_EACH, AT_ONCE = 48 << 20, 4, 2
 
 
 @dataclass
@@ -287,7 +292,8 @@ def _fit_below(vectors: DataFrame, top: Model, min_cosine: float | None, target:
 
     rate = F.least(F.lit(1.0), F.lit(float(max_sample)) / F.element_at(F.create_map(*[F.lit(v) for kv in size.items() for v in kv]), F.col("part")))
     drawn = homed.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) < rate * (1 << 30))
-    rows = drawn.select("part", "vec").groupBy("part").applyInArrow(learn, "part long, weights binary, bias binary, mass double").collect()
+    with tidy(vectors.sparkSession):
+        rows = drawn.select("part", "vec").groupBy("part").applyInArrow(learn, "part long, weights binary, bias binary, mass double").collect()
     out = [Model(np.zeros((top.dim, 1), np.float32), np.zeros(1, np.float32), 1.0) for _ in range(top.parts)]
     for r in rows:
         out[r.part] = Model(np.frombuffer(r.weights, np.float32).reshape(top.dim, -1), np.frombuffer(r.bias, np.float32), r.mass)
@@ -306,7 +312,8 @@ def fit(vectors: DataFrame, n: int, min_cosine: float | None = None, target: flo
     wanted, most = max(1, n // part), max_sample // per_part
     deep = wanted > most
     m = min(most, int(np.ceil(np.sqrt(wanted)))) if deep else wanted
-    size = min(n, max_sample, max(per_part * m, min(n, 2 * part)))
+    # Coarse parts decide how often a vector is sent, and a larger sample tells them apart better.
+    size = min(n, max_sample, max_sample if deep else max(per_part * m, min(n, 2 * part)))
     draw = vectors if size >= n else vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * size / n))
     got = draw.select("vec").limit(int(size * 1.2) + 64).toArrow().column(0).combine_chunks()
     x = unit(got.values.to_numpy(zero_copy_only=False).reshape(len(got), -1).astype(np.float32))
@@ -353,22 +360,141 @@ def _sizes(base: DataFrame, queries: DataFrame | None, model: Model | Tree) -> t
     return {r.part: r.m for r in rows}, {r.part: r.q for r in rows}
 
 
-def search(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFrame | None = None, min_cosine: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(id, other, cosine): for every query its k most similar vectors of base, itself left out.
-
-    base, queries: (id, vec) of usable vectors with unique ids; without queries every vector of
-    base is one.  min_cosine leaves less similar ones out.  Ties in the cosine go to the lesser
-    id.  Parts larger than a block are split, members against queries in blocks, so no task
-    holds more than a block of each, and nothing is cut off.
+def _nearest(raw: np.ndarray, u: np.ndarray, ids: np.ndarray, m_raw: np.ndarray, m_u: np.ndarray, m_ids: np.ndarray, k: int, min_cosine: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, member, cosine): the k most similar members of each query, itself left out, in tiles.  u: unit vectors of raw."""
+    tile = max(1, 4_000_000 // max(1, len(m_ids)))
+    for s in range(0, len(ids) if len(m_ids) else 0, tile):
+        z = np.arange(s, min(s + tile, len(ids)))
+        sim = u[z] @ m_u.T
+        if min_cosine is not None:
+            i, j = np.nonzero(sim >= min_cosine - 1e-4)
+            other = ids[z[i]] != m_ids[j]
+            i, j = i[other], j[other]
+        else:
+            sim[ids[z][:, None] == m_ids[None, :]] = -2.0
+            # All ties, with slack for rounding; the exact order is made below.
+            least = np.partition(sim, len(m_ids) - k, axis=1)[:, len(m_ids) - k, None] - 1e-5 if len(m_ids) > k else -2.0
+            i, j = np.nonzero((sim >= least) & (sim > -2.0))
+        few = [slice(t, t + 65_536) for t in range(0, len(i), 65_536)]
+        c = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", unit(raw[z[i[t]]].astype(np.float64)), unit(m_raw[j[t]].astype(np.float64))) for t in few)])
+        if min_cosine is not None:
+            good = c >= min_cosine
+            i, j, c = i[good], j[good], c[good]
+        i, j, c = _first(z[i], j, c, m_ids[j], k)
+        yield i, j, c
+
+
+def _first(i: np.ndarray, j: np.ndarray, c: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query i the k pairs of the highest cosine, ties by the lesser id."""
+    order = np.lexsort((other, -c, i))
+    i, j, c = i[order], j[order], c[order]
+    good = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+    return i[good], j[good], c[good]
+
+
+class _Held:
+    """The members of one group of a coarse part by their parts below, and what queries find there."""
+
+    def __init__(self, below: Model, ids: np.ndarray, raw: np.ndarray) -> None:
+        u = unit(raw)
+        home = np.concatenate([below.probabilities(u[s : s + 10_000]).argmax(axis=1) for s in range(0, len(ids), 10_000)])
+        order = np.lexsort((ids, home))
+        self.below, self.ids, self.raw, self.u = below, ids[order], raw[order], u[order]
+        self.at = np.searchsorted(home[order], np.arange(below.parts + 1))
+
+    def ask(self, ids: np.ndarray, raw: np.ndarray, k: int, min_cosine: float | None) -> pa.RecordBatch:
+        u = unit(raw)
+        _, query, part = self.below.route(u)
+        order = np.argsort(part, kind="stable")
+        query, part = query[order], part[order]
+        to = np.searchsorted(part, np.arange(self.below.parts + 1))
+        got = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for p in np.unique(part).tolist():
+            q, m = query[to[p] : to[p + 1]], slice(self.at[p], self.at[p + 1])
+            got += [(q[i], self.at[p] + j, c) for i, j, c in _nearest(raw[q], u[q], ids[q], self.raw[m], self.u[m], self.ids[m], k, min_cosine)]
+        i, j, c = (np.concatenate(x) for x in zip(*got))
+        i, j, c = _first(i, j, c, self.ids[j], k)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(self.ids[j]), pa.array(c)], names=["id", "other", "cosine"])
+
+
+def _turns(rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """Coarse parts in turns of at most `most` rows together, or of one part."""
+    out, now = [[]], 0
+    for p in np.argsort(-rows, kind="stable").tolist():
+        if out[-1] and now + rows[p] > most:
+            out.append([])
+            now = 0
+        out[-1].append(p)
+        now += rows[p]
+    return [np.array(x) for x in out]
+
+
+def _search_tree(base: DataFrame, tree: Tree, k: int, queries: DataFrame | None, min_cosine: float | None, held: int | None = None) -> DataFrame:
+    """`search` by two levels: the parts below a coarse part are told apart where its vectors have arrived.
+
+    A group holds at most `held` members; its queries pass by in batches.  The coarse parts take
+    turns, and the shuffle files of one turn go before the next.
     """
-    spark = base.sparkSession
-    if model is None:
-        return spark.createDataFrame([], _FOUND)
-    members, asked = _sizes(base, queries, model)
-    top = max(model.parts, 1)
-    mb = np.array([max(1, -(-members.get(p, 0) // block)) for p in range(top)])
-    qb = np.array([max(1, -(-asked.get(p, 0) // (2 * block))) for p in range(top)])
-    start = np.concatenate([[0], np.cumsum(mb * qb)])
+    top, held = tree.top, held or max(1, HELD_BYTES // (4 * tree.dim))
+    members, asked = _sizes(base, queries, top)
+    m, q = (np.array([x.get(p, 0) for p in range(top.parts)], np.int64) for x in (members, asked))
+    mb, qb = np.maximum(1, -(-m // held)), np.maximum(1, -(-q // (QUERIES_EACH * held)))
+
+    def rank(start: np.ndarray):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grp, ids, raw, role, index = None, [], [], [], None
+
+            def close() -> Iterator[pa.RecordBatch]:
+                """Members are complete: those that are queries too ask first."""
+                nonlocal index, ids, raw, role
+                if ids:
+                    i, x, r = np.concatenate(ids), np.concatenate(raw), np.concatenate(role)
+                    ids, raw, role = [], [], []
+                    index = _Held(tree.below[int(np.searchsorted(start, grp, "right")) - 1], i, x)
+                    own = np.flatnonzero(r & _QUERY)
+                    for s in range(0, len(own), 10_000):
+                        yield index.ask(i[own[s : s + 10_000]], x[own[s : s + 10_000]], k, min_cosine)
+
+            for b in it:
+                g = b.column("grp").to_numpy()
+                v = b.column("vec")
+                x = np.frombuffer(b"".join(v.to_pylist()), np.float32).reshape(len(g), -1)
+                n, what = b.column("id").to_numpy(), b.column("role").to_numpy()
+                edge = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+                for s, e in zip(edge, edge[1:]):
+                    if s == e:
+                        continue
+                    if grp != g[s]:
+                        yield from close()
+                        grp, index = g[s], None
+                    own = s + np.flatnonzero(what[s:e] & _MEMBER)
+                    if len(own):
+                        ids.append(n[own]), raw.append(x[own]), role.append(what[own])
+                    rest = s + np.flatnonzero(what[s:e] == _QUERY)
+                    if len(rest):
+                        yield from close()
+                        if index is not None:
+                            yield index.ask(n[rest], x[rest], k, min_cosine)
+            yield from close()
+
+        return run
+
+    found = None
+    for turn in _turns(m * qb + q * mb, int(AT_ONCE * max(m.sum(), 4 * held))):
+        # Groups of this turn alone, numbered from 0; the other parts have none.
+        groups = np.zeros(top.parts, np.int64)
+        groups[turn] = (mb * qb)[turn]
+        start = np.concatenate([[0], np.cumsum(groups)])
+        rows = _sent(base, queries, top, mb, qb, start, groups > 0)
+        rows = rows.repartitionById(int(start[-1]), F.col("grp").cast("int")).sortWithinPartitions("grp", F.col("role") == _QUERY)
+        with tidy(base.sparkSession):
+            part = cut(rows.mapInArrow(rank(start), _FOUND))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _sent(base: DataFrame, queries: DataFrame | None, model: Model | Tree, mb: np.ndarray, qb: np.ndarray, start: np.ndarray, served: np.ndarray | None = None) -> DataFrame:
+    """(grp, id, role, vec): the vectors of each group of member and query blocks; served: the parts that count."""
 
     def spread(role: int):
         def salt(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -381,11 +507,14 @@ def search(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFra
                     continue
                 ids, raw = b.column(0).to_numpy(), _matrix(b, 1)
                 home, query, part = model.route(unit(raw))
+                if served is not None:
+                    query, part = query[served[part]], part[served[part]]
                 rows, grp, what = [], [], []
                 if role & _MEMBER:
                     # A member meets every block of its part's queries.
-                    at = np.repeat(np.arange(len(ids)), qb[home])
-                    j = np.arange(len(at)) - np.repeat(np.cumsum(qb[home]) - qb[home], qb[home])
+                    n = qb[home] if served is None else np.where(served[home], qb[home], 0)
+                    at = np.repeat(np.arange(len(ids)), n)
+                    j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                     h = home[at]
                     rows.append(at), grp.append(start[h] + salt(ids[at], mb[h]) * qb[h] + j), what.append(np.full(len(at), _MEMBER))
                 if role & _QUERY:
@@ -402,6 +531,8 @@ def search(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFra
                 twin[1:] = (rows[1:] == rows[:-1]) & (grp[1:] == grp[:-1])
                 what[:-1][twin[1:]] = _MEMBER | _QUERY
                 rows, grp, what = rows[~twin], grp[~twin], what[~twin]
+                if not len(rows):
+                    continue
                 width = raw.shape[1] * 4
                 blob = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(raw[rows]))])
                 yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(ids[rows]), pa.array(what.astype(np.int8)), blob], schema=_ROWS)
@@ -412,40 +543,42 @@ def search(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFra
     rows = base.select("id", "vec").mapInArrow(spread(_MEMBER | (_QUERY if queries is None else 0)), shape)
     if queries is not None:
         rows = rows.unionByName(queries.select("id", "vec").mapInArrow(spread(_QUERY), shape))
+    return rows
+
+
+def search(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFrame | None = None, min_cosine: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, other, cosine): for every query its k most similar vectors of base, itself left out.
+
+    base, queries: (id, vec) of usable vectors with unique ids; without queries every vector of
+    base is one.  min_cosine leaves less similar ones out.  Ties in the cosine go to the lesser
+    id.  Parts larger than a block are split, members against queries in blocks, so no task
+    holds more than a block of each, and nothing is cut off.
+    """
+    spark = base.sparkSession
+    if model is None:
+        return spark.createDataFrame([], _FOUND)
+    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    if isinstance(model, Tree):
+        found = _search_tree(base, model, k, queries, min_cosine)
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    members, asked = _sizes(base, queries, model)
+    top = max(model.parts, 1)
+    mb = np.array([max(1, -(-members.get(p, 0) // block)) for p in range(top)])
+    qb = np.array([max(1, -(-asked.get(p, 0) // (2 * block))) for p in range(top)])
+    start = np.concatenate([[0], np.cumsum(mb * qb)])
+
+    rows = _sent(base, queries, model, mb, qb, start)
 
     def rank(t: pa.Table) -> pa.Table:
         ids, role = t.column("id").to_numpy(), t.column("role").to_numpy()
         x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(len(ids), -1)
-        x64 = unit(x.astype(np.float64))
-        x = x64.astype(np.float32)
+        u = unit(x.astype(np.float64)).astype(np.float32)
         m = np.flatnonzero(role & _MEMBER)
         q = np.flatnonzero(role & _QUERY)
         m = m[np.argsort(ids[m], kind="stable")]
         out_a, out_b, out_c = [], [], []
-        tile = max(1, 4_000_000 // max(1, len(m)))
-        for s in range(0, len(q) if len(m) else 0, tile):
-            z = q[s : s + tile]
-            sim = x[z] @ x[m].T
-            sim[ids[z][:, None] == ids[m][None, :]] = -2.0
-            if min_cosine is not None:
-                i, j = np.nonzero(sim >= min_cosine - 1e-4)
-            elif len(m) > k:
-                # Slack for ties and for rounding; the exact order is made below.
-                w = min(len(m), k + 8)
-                i, j = np.repeat(np.arange(len(z)), w), np.argpartition(-sim, w - 1, axis=1)[:, :w].ravel()
-                keep = sim[i, j] > -2.0
-                i, j = i[keep], j[keep]
-            else:
-                i, j = np.nonzero(sim > -2.0)
-            c = np.einsum("ij,ij->i", x64[z[i]], x64[m[j]])
-            if min_cosine is not None:
-                good = c >= min_cosine
-                i, j, c = i[good], j[good], c[good]
-            order = np.lexsort((ids[m[j]], -c, i))
-            i, j, c = i[order], j[order], c[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i, "left")
-            good = place < k
-            out_a.append(ids[z[i[good]]]), out_b.append(ids[m[j[good]]]), out_c.append(c[good])
+        for i, j, c in _nearest(x[q], u[q], ids[q], x[m], u[m], ids[m], k, min_cosine):
+            out_a.append(ids[q[i]]), out_b.append(ids[m[j]]), out_c.append(c)
         cat = lambda p, d: np.concatenate(p).astype(d) if p else np.empty(0, d)
         return pa.table({"id": cat(out_a, np.int64), "other": cat(out_b, np.int64), "cosine": cat(out_c, np.float64)})
 
@@ -456,7 +589,6 @@ def search(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFra
     rows = rows.repartition(max(need, min(shuffle, int(start[-1]))), "grp")
     found = rows.groupBy("grp").applyInArrow(rank, _FOUND)
     # A few lists of k per query are merged; a query's rows are bounded by parts x blocks x k.
-    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
@@ -483,11 +615,14 @@ def copies_apart(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
 
 def similar(base: DataFrame, model: Model | Tree | None, k: int, queries: DataFrame | None = None, min_cosine: float | None = None, block: int = BLOCK) -> DataFrame:
     """`search` with groups of equal vectors searched once (`copies_apart`)."""
-    apart = copies_apart(base, k)
+    with tidy(base.sparkSession):
+        apart = copies_apart(base, k)
     if apart is None:
         return search(base, model, k, queries, min_cosine, block)
     surplus, last = apart
-    rest = base.join(surplus.select("id"), "id", "left_anti")
+    # Read for the sizes of the parts and for each turn.
+    with tidy(base.sparkSession):
+        rest = cut(base.join(surplus.select("id"), "id", "left_anti"))
     asked = None
     if queries is not None:
         # The record that stands for surplus queries is asked as well.

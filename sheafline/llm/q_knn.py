@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheafline.llm import knn
 from sheafline.llm.library import bounded
-from sheafline.session import cut, load
+from sheafline.session import cut, load, tidy
 
 K, COSINE = 10, 0.92
 
@@ -15,8 +15,9 @@ def live_vectors(spark, sf_dir):
     """(id, vec) of the vectors that a chunk points to and that have a direction."""
     used = load(spark, sf_dir, "chunks").where("vec_row >= 0").select(F.col("vec_row").alias("id"))
     v = load(spark, sf_dir, "vectors").select(F.col("vec_row").alias("id"), "vec")
-    # Read several times: for the fit, the sizes of the parts and the search.
-    return cut(knn.usable(v.join(bounded(used), "id", "left_semi")))
+    # Read several times: for the fit, the sizes of the parts and the search.  Beyond a million ids the join moves the vectors.
+    with tidy(spark):
+        return cut(knn.usable(v.join(bounded(used), "id", "left_semi")))
 
 
 def p1_found(spark, sf_dir):

@@ -8,8 +8,14 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes the shuffle files of a query as it ends, instead of when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_session(app: str = "sheafline", cores: int | None = None, **conf: str) -> SparkSession:
     """A local session with the settings the engine relies on (UTC, AQE, Arrow)."""
@@ -57,6 +63,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: `df` as a table written to the shared folder.
 

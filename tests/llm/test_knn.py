@@ -115,3 +115,41 @@ def test_groups_of_copies_are_searched_once(spark, monkeypatch):
         a, b = (sorted((r.id, r.other) for r in f(v, m, 3, **kw).collect()) for f in (knn.search, knn.similar))
         assert a == b and len(a) > 100
     assert knn.copies_apart(v.where("id < 3"), 3) is None
+
+
+def shuffled(spark):
+    x = spark.sparkContext._jsc.sc()
+    x.listenerBus().waitUntilEmpty(30_000)
+    e = x.statusStore().executorList(True)
+    return sum(e.apply(i).totalShuffleWrite() for i in range(e.size()))
+
+
+@pytest.mark.parametrize("least", [0.92, None])
+def test_two_levels_send_a_vector_once_to_a_coarse_part(spark, least):
+    """Not once to every part below: the bytes shuffled follow the coarse parts searched."""
+    x = near_copies(6000, 64, 4)
+    v = frame(spark, x).repartition(4).localCheckpoint()
+    m = knn.fit(v, len(x), least, 0.999, part=32, per_part=8, max_sample=640)
+    assert isinstance(m, knn.Tree)
+    coarse, fine = (len(r.route(knn.unit(x))[1]) for r in (m.top, m))
+    assert fine > 3 * coarse
+    before = shuffled(spark)
+    assert knn.search(v, m, 10, min_cosine=least).count()
+    lists = 0 if least else coarse * 10 * 40
+    assert shuffled(spark) - before < 1.2 * (coarse + len(x)) * (4 * 64 + 40) + lists + 1_000_000
+
+
+def test_two_levels_in_turns_and_blocks_find_all(spark, monkeypatch):
+    """Parts over what a task holds, a turn for each few of them: the exact result where everything is searched."""
+    x = near_copies(1500)
+    v = frame(spark, x).repartition(3)
+    m = knn.fit(v, len(x), None, 0.99, part=64, per_part=32, max_sample=320)
+    for one in (m.top, *m.below):
+        one.mass = 1.1
+    monkeypatch.setattr(knn, "HELD_BYTES", 4 * 16 * 50)
+    monkeypatch.setattr(knn, "QUERIES_EACH", 6)
+    assert len(knn._turns(np.full(m.top.parts, 3000), 4000)) == m.top.parts
+    asked = v.where("id % 7 = 0")
+    for queries, least in ((None, 0.92), (asked, None)):
+        got = {(r.id, r.other) for r in knn.search(v, m, 10, queries=queries, min_cosine=least).collect()}
+        assert got == {p for p in brute(x, 10, least) if queries is None or p[0] % 7 == 0}
