@@ -5,7 +5,9 @@ import random
 import sqlite3
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as t
@@ -199,6 +201,35 @@ def test_locate():
     assert locate.score("unrelated words here", "turnover report.xlsx") == 0.0
 
 
+def test_locate_more_questions_than_a_block(spark):
+    f = spark.createDataFrame([(1, "turnover report.xlsx"), (2, "pump 7 manual.pdf"), (3, None)], "id long, name string")
+    q = spark.range(10_050).select(F.col("id").alias("qid"), F.expr("if(id % 2 = 0, 'where is the turnover report', 'find pump manual')").alias("question"))
+    got = locate.locate(f, q).collect()
+    assert sorted((r.qid, r.id, r.rank) for r in got) == [(i, 1 + i % 2, 1) for i in range(10_050)]
+    assert locate.locate(f, q.limit(0)).count() == 0
+
+
+def test_locate_finds_every_name_that_scores():
+    r = random.Random(5)
+    words = "report port porch qui q q3 2024 20 2 turnover process quality index notes xlsx pqi pq the file über a x re".split()
+
+    def name():
+        return r.choice(" _-").join(r.choices(words, k=r.randint(1, 5))) + r.choice([".pdf", ".xlsx", ".txt", ""])
+
+    names = [name() for _ in range(300)]
+    asked = [f"where is the file {name()}{r.choice(['', ' 2024 2024', ' pdf'])}" for _ in range(80)] + [None, "", "re", "q", "pq"]
+    questions = locate._Questions(asked)
+    best = {}
+    run = locate._finder([Row(qid=n, question=t) for n, t in enumerate(asked)], 4, 0.3)
+    for pdf in run(iter([pd.DataFrame({"id": range(300), "name": names})])):
+        for x in pdf.itertuples(index=False):
+            best.setdefault(x.qid, []).append((-x.score, x.name, x.id))
+    for n, t in enumerate(asked):
+        want = [(-s, name, i) for i, name in enumerate(names) if (s := locate.score(t, name)) >= 0.3]
+        assert all(n in questions.near(locate._named(name)) for _, name, _ in want)
+        assert sorted(best.get(n, [])) == sorted(want)[:4]
+
+
 def test_store(spark):
     a = spark.createDataFrame([(1, "f1", "a"), (2, "f1", "b"), (3, "f2", "c")], "id long, f string, t string")
     assert sorted(r.t for r in store.upsert(a, spark.createDataFrame([(9, "f1", "new")], a.schema), "f").collect()) == ["c", "new"]
